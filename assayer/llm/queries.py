@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import canonical, ledger, quota, topn
+from assayer.llm import canonical, ledger, quota, survivor, topn
 from assayer.sources.tables import table
 
 FIELDS = ("source", "category", "subcategory")
@@ -87,8 +87,44 @@ def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _ledger(spark, folder)[1].select(F.col("first_record").alias("record_id"), "copies")
 
 
+TEXTS = ("observed_issue", "suggested_fix")
+
+
+def _merge_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The usable values of the comments that are merged: group_id, field_name, comment_id, value, dropped, updated_at, comment_source."""
+    reviews = table(spark, folder, "dup_reviews", "custom_id", "left_comment_id", "right_comment_id", "recommended_action", "reviewed_at")
+    groups, dropped = survivor.merge_groups(reviews, "custom_id", "reviewed_at", "left_comment_id", "right_comment_id", "recommended_action")
+    comments = table(spark, folder, "human_comments", "comment_id", "comment_source", *TEXTS, "updated_at")
+    member = groups.select(F.col("node").alias("comment_id"), F.col("component").alias("group_id"))
+    held = comments.join(member, "comment_id").join(dropped.withColumn("dropped", F.lit(1)), "comment_id", "left")
+    pairs = ", ".join(f"'{f}', {f}" for f in TEXTS)
+    long = held.selectExpr("group_id", "comment_id", "coalesce(dropped, 0) AS dropped", "updated_at", "comment_source", f"stack({len(TEXTS)}, {pairs}) AS (field_name, value)")
+    return survivor.usable_values(long)
+
+
+def p4_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    """The surviving value of each merged group and field, with the comment it was taken from."""
+    # Later first; no time at all goes last.
+    order = [F.col("dropped"), F.coalesce(-F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(2**62))]
+    return survivor.survivors(_merge_values(spark, folder), order)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_survivors(spark, folder).select("group_id", "field_name", "comment_id")
+
+
+def p4_fused(spark: SparkSession, folder: str) -> DataFrame:
+    """As p4_survivors, by the posterior of Bayesian fusion with the comments' origin as source."""
+    values = _merge_values(spark, folder)
+    item = F.concat_ws("|", "group_id", "field_name")
+    claims = values.select(item.alias("item"), F.coalesce("comment_source", F.lit("unknown")).alias("source"), "value")
+    fused = survivor.posteriors(claims).select("item", "value", "posterior").distinct()
+    scored = values.withColumn("item", item).join(fused, ["item", "value"])
+    return survivor.survivors(scored, [-F.round("posterior", 9), F.col("dropped")])
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_found, p6_counts, p1_found, p1_unmatched, p2_found, p2_quotas, p2_sample, p3_found, p3_top)}
+    return {f.__name__: f for f in (p4_found, p4_survivors, p4_fused, p6_found, p6_counts, p1_found, p1_unmatched, p2_found, p2_quotas, p2_sample, p3_found, p3_top)}
 
 
 def oracle_sql() -> dict[str, str]:
