@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import canonical, ledger, quota, survivor, topn
+from assayer.llm import canonical, consensus, ledger, quota, survivor, topn
 from assayer.sources.tables import table
 
 FIELDS = ("source", "category", "subcategory")
@@ -123,8 +123,36 @@ def p4_fused(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.survivors(scored, [-F.round("posterior", 9), F.col("dropped")])
 
 
+def _votes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The counted votes of the judges and of the raters."""
+    judges = table(spark, folder, "judge_votes", "pair_id", "judge_id", "relation", "voted_at")
+    known = table(spark, folder, "relation_ranks", "relation").where("relation IS NOT NULL").select(F.col("relation").alias("label")).distinct()
+    # Seven labels; a spelling is led back to its label by letters alone.
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    spelled = F.create_map(*(x for r in known.collect() for x in (F.lit("".join(ch for ch in r.label.lower() if ch.isalnum())), F.lit(r.label))))
+    relation = F.coalesce(F.try_element_at(spelled, plain(F.col("relation"))), F.trim("relation"))
+    raters = table(spark, folder, "raw_critiques", "screen_task_id", "rater_id", "aesthetics_rating", "rated_at")
+    rating = F.when(F.col("aesthetics_rating").between(1, 10), F.col("aesthetics_rating"))
+    return consensus.latest_votes(judges, "pair_id", "judge_id", relation, "voted_at"), consensus.latest_votes(raters, "screen_task_id", "rater_id", rating, "rated_at")
+
+
+def p5_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The agreed label of each pair and screen task, with its agreement."""
+    judges, raters = _votes(spark, folder)
+    return consensus.consensus(judges).unionByName(consensus.consensus(raters, numeric=True)).withColumnRenamed("item", "item_id")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_labels(spark, folder).select("item_id", "label")
+
+
+def p5_reliability(spark: SparkSession, folder: str) -> DataFrame:
+    judges, raters = (consensus.reliability(v) for v in _votes(spark, folder))
+    return judges.unionByName(raters)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_survivors, p4_fused, p6_found, p6_counts, p1_found, p1_unmatched, p2_found, p2_quotas, p2_sample, p3_found, p3_top)}
+    return {f.__name__: f for f in (p5_found, p5_labels, p5_reliability, p4_found, p4_survivors, p4_fused, p6_found, p6_counts, p1_found, p1_unmatched, p2_found, p2_quotas, p2_sample, p3_found, p3_top)}
 
 
 def oracle_sql() -> dict[str, str]:
