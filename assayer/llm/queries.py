@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import canonical, consensus, ledger, quota, survivor, topn
+from assayer.llm import canonical, consensus, encoding, leakage, ledger, packing, quota, survivor, topn
 from assayer.sources.tables import table
 
 FIELDS = ("source", "category", "subcategory")
@@ -151,8 +151,33 @@ def p5_reliability(spark: SparkSession, folder: str) -> DataFrame:
     return judges.unionByName(raters)
 
 
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return packing.pack(docs, "doc_id", "text", total=docs.count())
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill(p8_packed(spark, folder))
+
+
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "heldout_items"), "doc_id", "text", "item_id", "text")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.find_garbled(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_restored(spark, folder).select("doc_id").distinct()
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p5_labels, p5_reliability, p4_found, p4_survivors, p4_fused, p6_found, p6_counts, p1_found, p1_unmatched, p2_found, p2_quotas, p2_sample, p3_found, p3_top)}
+    return {f.__name__: f for f in (p8_packed, p8_fill, p9_found, p9_leaks, p10_found, p10_restored, p5_found, p5_labels, p5_reliability, p4_found, p4_survivors, p4_fused, p6_found, p6_counts, p1_found, p1_unmatched, p2_found, p2_quotas, p2_sample, p3_found, p3_top)}
 
 
 def oracle_sql() -> dict[str, str]:
