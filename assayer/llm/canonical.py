@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.text import latin, unmark
 from assayer.operators.lookup import lookup_join
+from assayer.session import cut_lineage
 
 #: Most reference forms that are broadcast; a longer list is joined by a shuffle.
 BROADCAST_FORMS = 50_000
@@ -105,6 +106,8 @@ def match_values(values: DataFrame, reference: DataFrame) -> DataFrame:
         .groupBy("tier", "value", "f.kind", "f.form")
         .agg(F.min("rank").alias("rank"))
     )
+    # Written once: the plans that read it stay small, and so does what the driver holds of them.
+    value_forms, entry_forms = cut_lineage(value_forms), cut_lineage(entry_forms)
     n_forms, longest = entry_forms.agg(F.count("*"), F.max(F.length("form"))).first()
     small = n_forms <= BROADCAST_FORMS
     # Longer forms are out of reach of any entry.
@@ -115,12 +118,11 @@ def match_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     exact = value_forms.join(side(entry_forms.select("tier", "kind", "form", "canon_id")), ["tier", "kind", "form"]).select(
         "tier", "value", "canon_id", F.lit(0).alias("edits"), "rank"
     )
-    settled = _best(exact)
+    settled = cut_lineage(_best(exact))
     open_forms = value_forms.join(settled.select("tier", "value"), ["tier", "value"], "left_anti")
 
-    pieces = entry_forms.select("tier", "kind", "canon_id", "k", F.col("form").alias("entry"), F.explode(_segments(F.col("form"), F.col("k"))).alias("s")).select(
-        "tier", "kind", "canon_id", "k", "entry", "s.at", "s.piece"
-    )
+    pieces = entry_forms.select("tier", "kind", "canon_id", "k", F.col("form").alias("entry"), F.explode(_segments(F.col("form"), F.col("k"))).alias("s"))
+    pieces = cut_lineage(pieces.select("tier", "kind", "canon_id", "k", "entry", "s.at", "s.piece"))
     lengths = [r[0] for r in pieces.select(F.length("piece").alias("n")).distinct().collect()] or [1]
     windows = F.flatten(F.array(*(_substrings(F.col("form"), n) for n in sorted(lengths))))
     probes = open_forms.select("tier", "kind", "value", "rank", "form", F.explode(windows).alias("w")).select("tier", "kind", "value", "rank", "form", "w.pos", "w.piece")
@@ -131,7 +133,7 @@ def match_values(values: DataFrame, reference: DataFrame) -> DataFrame:
         .where((F.col("edits") >= 0) & (F.col("edits") <= F.col("k")))
         .select("tier", "value", "canon_id", "edits", "rank")
     )
-    near = _best(candidates)
+    near = cut_lineage(_best(candidates))
     short = _shortened(readings.join(settled.select("tier", "value"), ["tier", "value"], "left_anti"), entries, side)
     found = near.unionByName(short.join(near.select("tier", "value"), ["tier", "value"], "left_anti"))
     return settled.unionByName(found).select("tier", "value", "canon_id", "edits")
@@ -182,8 +184,8 @@ def map_to_reference(rows: DataFrame, reference: DataFrame, key: str, fields: Se
     long = long.where(F.col("value").rlike(r"[^\s\p{Z}]"))
     counted = long.groupBy("tier", "value").agg(F.count("*").alias("n"))
     labels = reference.select("tier", F.col("label").alias("value")).distinct()
-    counted = counted.join(labels, ["tier", "value"], "left_anti")
-    matched = match_values(counted.select("tier", "value"), reference)
+    counted = cut_lineage(counted.join(labels, ["tier", "value"], "left_anti"))
+    matched = cut_lineage(match_values(counted.select("tier", "value"), reference))
     unmatched = counted.join(matched, ["tier", "value"], "left_anti").select("tier", "value", F.lit(none_id).alias("canon_id"))
     mapping = matched.select("tier", "value", "canon_id").unionByName(unmatched).join(counted, ["tier", "value"])
     cases = lookup_join(long, mapping, ["tier", "value"], "n", rows.count() * len(fields))
