@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.operators.packed import unpack
+from assayer.plans import prepare
 from assayer.sources.tables import table
 
 
@@ -21,9 +22,12 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return citations(spark, folder).where("n_values >= 2").select("ref_id", "pos", "value_text")
 
 
+PARTS = (prepare,)
+
+
 def queries() -> dict:
-    return {"p7_found": p7_found}
+    return {"p7_found": p7_found} | {k: v for part in PARTS for k, v in part.registry.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for part in PARTS for k, v in part.registry.sql.items()}
