@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import canonical, consensus, encoding, leakage, ledger, packing, quota, survivor, topn
+from assayer.operators.reshape import latest_per_key
 from assayer.sources.tables import table
 
 FIELDS = ("source", "category", "subcategory")
@@ -51,7 +52,7 @@ def p2_sample(spark: SparkSession, folder: str) -> DataFrame:
 def p3_top(spark: SparkSession, folder: str) -> DataFrame:
     """The three best pairs of each expert comment: expert_comment_id, rank, pair_id, relation, confidence."""
     rows = table(spark, folder, "match_pairs", "pair_id", "expert_comment_id", "relation", "confidence", "judged_at")
-    latest = topn.latest_per_key(rows, "pair_id", "judged_at", ["expert_comment_id", "relation", "confidence"])
+    latest = latest_per_key(rows, "pair_id", "judged_at", ["expert_comment_id", "relation", "confidence"])
     ranks = table(spark, folder, "relation_ranks")
     # One row per relation, a handful by its nature.
     judged = latest.where("confidence IS NOT NULL AND NOT isnan(confidence)").join(F.broadcast(ranks), "relation")

@@ -14,17 +14,6 @@ from pyspark.sql import functions as F
 from assayer.operators.lookup import lookup_join
 
 
-def latest_per_key(rows: DataFrame, key: str, at: str, columns: Sequence[str]) -> DataFrame:
-    """``columns`` of the row with the latest ``at`` of each ``key``; equal times go by the greatest values of ``columns`` in order.
-
-    A null time is older than any; a null key is left out. It is one aggregate over ``key``, combined before the shuffle, so a key of any size is
-    taken.
-    """
-    values = F.struct(*(F.col(f"`{c}`").alias(c) for c in columns))
-    held = rows.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias(key)).agg(F.max(F.struct(F.col(f"`{at}`").alias("at"), values.alias("v"))).alias("b"))
-    return held.select(key, *(F.col(f"b.v.{c}").alias(c) for c in columns))
-
-
 def top_n(rows: DataFrame, group: str, n: int, bucket: Column, order: Sequence[Column], size_of_rows: int | None = None) -> DataFrame:
     """The first ``n`` rows of each ``group`` by ``order``, with their place in ``rank``.
 
