@@ -93,10 +93,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 def binned(score: Column, scale: Column | int) -> Column:
     """low, mid or high: right-closed bins of a 10-point or a 5-point scale; null outside of it."""
-    scale = F.lit(scale) if isinstance(scale, int) else scale
-    first, second = F.when(scale == 10, 3).otherwise(2), F.when(scale == 10, 7).otherwise(4)
-    inside = (score >= 0) & (score <= scale)
-    return F.when(inside & (score <= first), "low").when(inside & (score <= second), "mid").when(inside, "high")
+    if isinstance(scale, int):
+        first, second = (3, 7) if scale == 10 else (2, 4)
+        return F.when((score < 0) | (score > scale) | score.isNull(), None).when(score <= first, "low").when(score <= second, "mid").otherwise("high")
+    return F.when(scale == 10, binned(score, 10)).otherwise(binned(score, 5))
 
 
 def issue_bucket(n: Column) -> Column:

@@ -15,7 +15,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def __call__(self, name: str, *columns: str) -> DataFrame:
+    def __call__(self, name: str, *columns) -> DataFrame:
         return table(self.spark, self.folder, name, *columns)
 
 

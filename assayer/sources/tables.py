@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+def table(spark: SparkSession, folder: str, name: str, *columns) -> DataFrame:
     """The table ``name`` of ``folder``; ``columns`` prunes the scan."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
