@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.operators.packed import unpack
-from assayer.plans import agreement, prepare, ratings
+from assayer.plans import agreement, prepare, ratings, texts
 from assayer.sources.tables import table
 
 
@@ -22,7 +22,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return citations(spark, folder).where("n_values >= 2").select("ref_id", "pos", "value_text")
 
 
-PARTS = (prepare, agreement, ratings)
+PARTS = (prepare, agreement, ratings, texts)
 
 
 def queries() -> dict:
