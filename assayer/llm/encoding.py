@@ -39,6 +39,8 @@ LABEL = 60
 WRONG = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "cp437", "cp850", "cp852", "cp866", "mac_roman", "koi8_r", "iso8859_2", "iso8859_15")
 WRITTEN = ("cp1252", "cp1250", "iso8859_2", "cp1251", "koi8_r", "mac_roman", "cp850", "cp437")
 WIDE = ("gbk", "shift_jis", "big5")
+#: Encodings of two bytes a character that a text may have been written in.
+WRITTEN_WIDE = ("euc_jp", "shift_jis", "gb18030", "big5", "euc_kr")
 
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}")
 _ENTITIES = re.compile(r"(?:&#(?:x[0-9a-fA-F]{2,6}|[0-9]{3,7});)+")
@@ -216,6 +218,19 @@ def _restored(run: str, before: str, after: str, pairs: Pairs) -> tuple[str | No
                     continue
                 if (gain := cost - pairs.cost(before + right + after)) >= GAIN_UTF8 and gain > best_gain:
                     best, best_gain = right, gain
+        if best is None and found is None and wide >= 4:
+            for wrong in WRONG:
+                table = to_byte(wrong)
+                if any(ch > "\x7f" and ch not in table for ch in now):
+                    continue
+                data = bytes(table.get(ch, ord(ch) & 0x7F) for ch in now)
+                for written in WRITTEN_WIDE:
+                    try:
+                        right = data.decode(written)
+                    except UnicodeDecodeError:
+                        continue
+                    if (gain := cost - pairs.cost(before + right + after)) >= GAIN_SINGLE and gain > best_gain and _known(right, pairs, 2):
+                        best, best_gain = right, gain
         if best is None and found is None:
             for wrong in WRONG:
                 for written in WRITTEN:

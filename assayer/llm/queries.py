@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import canonical, consensus, encoding, leakage, ledger, packing, quota, survivor, topn
+from assayer.llm.sql import SQL
 from assayer.operators.reshape import latest_per_key
 from assayer.sources.tables import table
 
@@ -182,4 +183,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
