@@ -47,14 +47,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Lines are numbered within their file, which one task reads whole.
     """
-    text = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     lines = text.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value")).where("trim(value) <> ''")
     return lines.select("value", "file", (F.col("line") + 1).alias("line"), batch_number(F.col("file")).alias("batch"), F.col("file").contains("retry").alias("is_retry"))
 
 
 def one_field_per_file(spark: SparkSession, path: str, field: str) -> DataFrame:
     """key (the file's name without ending) and the field's value of one JSON document per file."""
-    docs = spark.read.option("wholetext", True).text(path)
+    docs = spark.read.text(path, wholetext=True)
     return docs.select(F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("key"), F.get_json_object("value", f"$.{field}").alias("value"))
 
 
