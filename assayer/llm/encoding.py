@@ -191,7 +191,7 @@ def _utf8(text: str, wrong: str) -> tuple[str, int]:
 
 
 def restored(run: str, before: str, after: str, pairs: Pairs) -> tuple[str | None, tuple[str, str] | None]:
-    """``run`` in its likeliest original form, None if no inverse mapping makes it likelier by enough bits; the single-byte mapping used, if any."""
+    """``run`` in its likeliest original form, None if no inverse mapping makes it likelier by enough bits; the mapping used, if it is one of WRONG."""
     key = run, before, after
     if key not in pairs.tested:
         if len(pairs.tested) > 200_000:
@@ -209,7 +209,7 @@ def _restored(run: str, before: str, after: str, pairs: Pairs) -> tuple[str | No
         for wrong in WRONG:
             right, n = _utf8(now, wrong)
             if n and (gain := cost - pairs.cost(before + right + after)) >= GAIN_UTF8 and gain > best_gain and _known(right, pairs, 1):
-                best, best_gain = right, gain
+                best, best_gain, mapping = right, gain, (wrong, "utf-8")
         if any("⺀" <= ch for ch in now):
             for wrong in WIDE:
                 try:
@@ -241,7 +241,7 @@ def _restored(run: str, before: str, after: str, pairs: Pairs) -> tuple[str | No
                     if not changed or changed < wide:
                         continue
                     gain = cost - pairs.cost(before + right + after)
-                    if gain >= max(GAIN_SINGLE, GAIN_BY_CHARACTER * changed) and gain > best_gain and _known(right, pairs, 5):
+                    if gain >= max(GAIN_SINGLE, GAIN_BY_CHARACTER * changed) and gain > best_gain and _known(right, pairs, 5) and _joined(now, before + right + after, len(before)):
                         best, best_gain, mapping = right, gain, (wrong, written)
         if best is None:
             return found, mapping
@@ -249,6 +249,24 @@ def _restored(run: str, before: str, after: str, pairs: Pairs) -> tuple[str | No
     return found, mapping
 
 
+def _joined(old: str, new: str, offset: int) -> bool:
+    """Whether a changed character is no letter, or stands beside a letter of its own script: a letter by itself proves nothing."""
+    for i, was in enumerate(old):
+        ch = new[offset + i]
+        if ch == was:
+            continue
+        near = new[max(offset + i - 1, 0) : offset + i] + new[offset + i + 1 : offset + i + 2]
+        if not ch.isalpha() or any(x.isalpha() and _script(x) == _script(ch) for x in near):
+            return True
+    return False
+
+
+def _script(ch: str) -> int:
+    """Latin, Greek, Cyrillic, or the block of another letter."""
+    code = ord(ch)
+    return 0 if code < 0x250 else 1 if 0x370 <= code < 0x400 else 2 if 0x400 <= code < 0x530 else code >> 8
+
+
 def _known(text: str, pairs: Pairs, least: int) -> bool:
     return all(ch < "\x80" or pairs.counts.get(ord(ch), 0) >= least for ch in text)
 
@@ -313,18 +331,20 @@ def _repair(text: str, pairs: Pairs) -> tuple[str, list[tuple[int, int, str]]]:
     pieces.append((text[done:], False))
     if mappings:
         # What was read wrongly once in a text was so throughout: weaker evidence is enough for the same mapping.
-        table = remap(*mappings.most_common(1)[0][0])
-        pieces = [(p if put_right else _BEYOND.sub(lambda m, p=p: _again(m, p, table, pairs), p), put_right) for p, put_right in pieces]
+        for found, _ in mappings.most_common(2):
+            pieces = [(p if put_right else _BEYOND.sub(lambda m, p=p, found=found: _again(m, p, found, pairs), p), put_right) for p, put_right in pieces]
     return "".join(p for p, _ in pieces), wrong
 
 
 _BEYOND = re.compile(r"[^\x00-\x7f]+")
 
 
-def _again(m: re.Match, text: str, table: dict[int, str], pairs: Pairs) -> str:
+def _again(m: re.Match, text: str, mapping: tuple[str, str], pairs: Pairs) -> str:
     before, after = text[max(m.start() - 1, 0) : m.start()], text[m.end() : m.end() + 1]
-    right = m.group().translate(table)
-    return right if pairs.cost(before + m.group() + after) - pairs.cost(before + right + after) > 3 else m.group()
+    wrong, written = mapping
+    right = _utf8(m.group(), wrong)[0] if written == "utf-8" else m.group().translate(remap(wrong, written))
+    least = 0 if written == "utf-8" else 3
+    return right if pairs.cost(before + m.group() + after) - pairs.cost(before + right + after) > least else m.group()
 
 
 def corpus_pairs(docs: DataFrame) -> Pairs:

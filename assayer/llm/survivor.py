@@ -46,9 +46,13 @@ def usable_values(values: DataFrame) -> DataFrame:
     several = lengths.where("texts > 1").select(*by, "lengths", "size")
     texts = lookup_join(some.select(*by, "text"), several, by, "size", some.count()).select(*by, "text", "lengths").distinct()
     beginnings = texts.select(*by, "text", F.explode("lengths").alias("n")).where((F.col("n") > 0) & (F.col("n") < F.length("text")))
-    beginnings = beginnings.select(*by, F.expr("sha2(substring(text, 1, n), 256)").alias("h")).distinct()
-    marked = some.withColumn("h", F.sha2("stem", 256)).join(beginnings.withColumn("cut", F.lit(True)), [*by, "h"], "left")
-    return marked.where(F.col("cut").isNull()).drop("h", "cut", "text", "stem")
+    own = F.sha2("text", 256)
+    beginnings = beginnings.select(*by, F.expr("sha2(substring(text, 1, n), 256)").alias("h"), own.alias("of"))
+    # A beginning of two texts is one of another text, whichever is looked at.
+    beginnings = beginnings.groupBy(*by, "h").agg(F.min("of").alias("one"), F.max("of").alias("two"))
+    marked = some.withColumn("h", F.sha2("stem", 256)).join(beginnings, [*by, "h"], "left")
+    cut = F.coalesce((F.col("one") != own) | (F.col("two") != own), F.lit(False))
+    return marked.where(~cut).drop("h", "one", "two", "text", "stem")
 
 
 def posteriors(claims: DataFrame, rounds: int = 4, false_values: int = 10, copy_rate: float = 0.8, copy_prior: float = 0.2) -> DataFrame:
@@ -63,16 +67,17 @@ def posteriors(claims: DataFrame, rounds: int = 4, false_values: int = 10, copy_
     claims = cut_lineage(claims.where("item IS NOT NULL AND source IS NOT NULL AND value IS NOT NULL").select("item", "source", "value").distinct())
     n = float(false_values)
     accuracy = claims.select("source").distinct().withColumn("accuracy", F.lit(0.8))
-    copying = None
-    out = claims
+    # Before anything is known of the truth, agreeing counts as agreeing on it: only sources that agree beyond their accuracy are then dependent,
+    # and copies cannot outvote the rest in the first round.
+    out = claims.withColumn("posterior", F.lit(1.0))
+    copying = cut_lineage(_copying(out, accuracy, n, copy_rate, copy_prior))
     for _ in range(rounds):
         votes = claims.join(accuracy, "source")
         votes = votes.withColumn("vote", F.log(F.lit(n) * F.col("accuracy") / (1 - F.col("accuracy"))))
-        if copying is not None:
-            other = claims.select("item", "value", F.col("source").alias("original"))
-            copied = votes.select("item", "value", "source").join(other, ["item", "value"]).join(copying, ["source", "original"])
-            kept = copied.groupBy("item", "value", "source").agg(F.exp(F.sum(F.log(1 - F.lit(copy_rate) * F.col("dependent")))).alias("kept"))
-            votes = votes.join(kept, ["item", "value", "source"], "left").withColumn("vote", F.col("vote") * F.coalesce("kept", F.lit(1.0)))
+        other = claims.select("item", "value", F.col("source").alias("original"))
+        copied = votes.select("item", "value", "source").join(other, ["item", "value"]).join(copying, ["source", "original"])
+        kept = copied.groupBy("item", "value", "source").agg(F.exp(F.sum(F.log(1 - F.lit(copy_rate) * F.col("dependent")))).alias("kept"))
+        votes = votes.join(kept, ["item", "value", "source"], "left").withColumn("vote", F.col("vote") * F.coalesce("kept", F.lit(1.0)))
         score = votes.groupBy("item", "value").agg(F.sum("vote").alias("score"))
         top = score.groupBy("item").agg(F.max("score").alias("top"))
         share = score.join(top, "item").withColumn("e", F.exp(F.col("score") - F.col("top")))
@@ -80,7 +85,7 @@ def posteriors(claims: DataFrame, rounds: int = 4, false_values: int = 10, copy_
         value = share.join(whole, "item").select("item", "value", (F.col("e") / F.col("whole")).alias("posterior"))
         out = cut_lineage(claims.join(value, ["item", "value"]))
         accuracy = out.groupBy("source").agg(F.least(F.greatest(F.avg("posterior"), F.lit(0.05)), F.lit(0.95)).alias("accuracy"))
-        copying = _copying(out, accuracy, n, copy_rate, copy_prior)
+        copying = cut_lineage(_copying(out, accuracy, n, copy_rate, copy_prior))
     return out
 
 
