@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from assayer.operators.lookup import lookup_join
 from assayer.session import cut_lineage
 
-STEPS = 10
+STEPS, MORE_STEPS = 8, 5
+#: Between a kind and what it is prefixed to.
+MARK = "\x1f"
 #: Agreement beyond chance and skills from which two annotators count as dependent.
 DEPENDENT = 0.3
 
@@ -53,12 +55,13 @@ def agreement(votes: DataFrame) -> DataFrame:
     return one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"), "n", "kappa"))
 
 
-def skills(annotators: DataFrame, matrix: DataFrame, steps: int = STEPS) -> DataFrame:
+def skills(start: DataFrame, matrix: DataFrame, steps: int = STEPS) -> DataFrame:
     """annotator, skill: the leading eigenvector of ``matrix``, so scaled that kappa is about the product of two skills.
 
-    Half of each step's result and half of the last one are taken, which settles its scale. An annotator without a partner has skill 0.
+    ``start`` has annotator and skill. Half of each step's result and half of the last one are taken, which settles its scale. A step needs no sum over
+    all annotators, so kinds that share none settle side by side. An annotator without a partner has skill 0.
     """
-    now = annotators.select("annotator", F.lit(0.5).alias("skill"))
+    now = start
     for _ in range(steps):
         met = matrix.join(now.select(F.col("annotator").alias("b"), "skill"), "b")
         found = met.groupBy("a").agg((F.sum(F.col("n") * F.col("kappa") * F.col("skill")) / F.greatest(F.sum(F.col("n") * F.col("skill") * F.col("skill")), F.lit(1e-9))).alias("new"))
@@ -69,50 +72,70 @@ def skills(annotators: DataFrame, matrix: DataFrame, steps: int = STEPS) -> Data
     return now
 
 
-def reliability(votes: DataFrame) -> DataFrame:
-    """annotator, n_votes, skill, accuracy, dependents, weight; ``weight`` is what a vote counts.
+def _joined(votes: DataFrame) -> DataFrame:
+    """``votes`` with the kind in front of items and annotators, so all kinds are worked on at once."""
+    kind = F.col("kind") if "kind" in votes.columns else F.lit("")
+    return votes.select(F.concat(kind, F.lit(MARK), "item").alias("item"), F.concat(kind, F.lit(MARK), "annotator").alias("annotator"), "label")
 
-    Accuracy: right with probability skill, else by chance at the annotator's own label frequencies. Weight: ln((K - 1) accuracy / (1 - accuracy))
-    with K labels in all, not under 0, divided by 1 + the annotators it depends on.
-    """
+
+def _kind(c: str) -> Column:
+    return F.substring_index(c, MARK, 1)
+
+
+def _name(c: str) -> Column:
+    return F.expr(f"substring({c}, locate('{MARK}', {c}) + 1)")
+
+
+def _reliability(votes: DataFrame) -> DataFrame:
     matrix = cut_lineage(agreement(votes))
     counts = votes.groupBy("annotator", "label").agg(F.count("*").alias("n"))
-    # One row per annotator.
-    own = cut_lineage(counts.groupBy("annotator").agg(F.sum("n").alias("n_votes"), (F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("chance")))
-    n_labels = max(votes.select("label").distinct().count(), 2)
-    first = skills(own, matrix)
+    # One row per annotator; kinds are a handful.
+    own = counts.groupBy("annotator").agg(F.sum("n").alias("n_votes"), (F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("chance"))
+    labels = counts.groupBy(_kind("annotator").alias("kind")).agg(F.greatest(F.count_distinct("label"), F.lit(2)).alias("labels"))
+    own = cut_lineage(own.join(labels, _kind("annotator") == F.col("kind")).drop("kind"))
+    first = skills(own.select("annotator", F.lit(0.5).alias("skill")), matrix)
     a = first.select(F.col("annotator").alias("a"), F.col("skill").alias("sa"))
     b = first.select(F.col("annotator").alias("b"), F.col("skill").alias("sb"))
     judged = matrix.join(a, "a").join(b, "b").withColumn("tied", F.col("kappa") - F.col("sa") * F.col("sb") > DEPENDENT)
     # With three annotators or fewer there is nothing to tell a tie from skill by.
     partners = judged.groupBy("a").agg(F.count("*").alias("partners"))
     judged = cut_lineage(judged.join(partners, "a").withColumn("tied", F.col("tied") & (F.col("partners") >= 3)).select("a", "b", "n", "kappa", "tied"))
-    final = skills(own, judged.where("NOT tied").drop("tied"))
+    final = skills(first, judged.where("NOT tied").drop("tied"), MORE_STEPS)
     ties = judged.where("tied").groupBy(F.col("a").alias("annotator")).agg(F.count("*").alias("dependents"))
     skill = F.least(F.greatest("skill", F.lit(0.0)), F.lit(0.98))
-    accuracy = F.least(skill + (1 - skill) * F.least("chance", F.lit(1.0 / n_labels)), F.lit(0.99))
-    whole = own.join(final, "annotator").join(ties, "annotator", "left").na.fill(0, ["dependents"])
-    whole = whole.withColumn("accuracy", accuracy)
-    odds = F.log(F.col("accuracy") * (n_labels - 1) / (1 - F.col("accuracy")))
+    accuracy = F.least(skill + (1 - skill) * F.least("chance", 1.0 / F.col("labels")), F.lit(0.99))
+    whole = own.join(final, "annotator").join(ties, "annotator", "left").na.fill(0, ["dependents"]).withColumn("accuracy", accuracy)
+    odds = F.log(F.col("accuracy") * (F.col("labels") - 1) / (1 - F.col("accuracy")))
     return whole.select("annotator", "n_votes", "skill", "accuracy", "dependents", (F.greatest(odds, F.lit(0.0)) / (1 + F.col("dependents"))).alias("weight"))
 
 
-def consensus(votes: DataFrame, least_votes: int = 3, numeric: bool = False) -> DataFrame:
-    """item, label, agreement, n_votes of each item with at least ``least_votes`` votes.
+def reliability(votes: DataFrame) -> DataFrame:
+    """kind, annotator, n_votes, skill, accuracy, dependents, weight; ``weight`` is what a vote counts.
+
+    Accuracy: right with probability skill, else by chance at the annotator's own label frequencies. Weight: ln((K - 1) accuracy / (1 - accuracy))
+    with the K labels of its kind, not under 0, divided by 1 + the annotators it depends on. ``votes`` has item, annotator, label and, if there is more than
+    one kind of items and labels, kind.
+    """
+    found = _reliability(cut_lineage(_joined(votes)))
+    return found.select(_kind("annotator").alias("kind"), _name("annotator").alias("annotator"), "n_votes", "skill", "accuracy", "dependents", "weight")
+
+
+def consensus(votes: DataFrame, least_votes: int = 3) -> DataFrame:
+    """kind, item, label, agreement, n_votes of each item with at least ``least_votes`` votes (see ``reliability``).
 
-    The label with the greatest sum of weights wins; equal sums go by more votes, then, for ``numeric`` labels, by nearness to the weighted mean of the
+    The label with the greatest sum of weights wins; equal sums go by more votes, then, for labels that are numbers, by nearness to the weighted mean of the
     item's votes, then by the smaller label. agreement is the winner's share of the weights (of the votes, if all weigh nothing).
     """
-    votes = cut_lineage(votes)
-    weights = reliability(votes)
+    votes = cut_lineage(_joined(votes))
+    weights = _reliability(votes)
     weighed = lookup_join(votes, weights.select("annotator", "n_votes", "weight"), ["annotator"], "n_votes", votes.count()).select("item", "label", "weight")
     sums = weighed.groupBy("item", "label").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
-    value = F.col("label").try_cast("double") if numeric else F.lit(None).cast("double")
-    whole = sums.groupBy("item").agg(F.sum("w").alias("all_w"), F.sum("n").alias("n_votes"), (F.sum(F.col("w") * value) / F.sum("w")).alias("mean") if numeric else F.lit(0.0).alias("mean"))
+    value = F.col("label").try_cast("double")
+    whole = sums.groupBy("item").agg(F.sum("w").alias("all_w"), F.sum("n").alias("n_votes"), F.try_divide(F.sum(F.col("w") * value), F.sum("w")).alias("mean"))
     away = F.coalesce(F.round(F.abs(value - F.col("mean")), 6), F.lit(0.0))
     order = F.struct((-F.round("w", 6)).alias("w"), (-F.col("n")).alias("n"), away.alias("away"), value.alias("v"), F.col("label"))
     best = sums.join(whole.where(F.col("n_votes") >= least_votes), "item").groupBy("item").agg(
         F.min(F.struct(order.alias("o"), F.col("w"), F.col("n"))).alias("b"), F.first("all_w").alias("all_w"), F.first("n_votes").alias("n_votes")
     )
     share = F.when(F.col("all_w") > 0, F.col("b.w") / F.col("all_w")).otherwise(F.col("b.n") / F.col("n_votes"))
-    return best.select("item", F.col("b.o.label").alias("label"), share.alias("agreement"), "n_votes")
+    return best.select(_kind("item").alias("kind"), _name("item").alias("item"), F.col("b.o.label").alias("label"), share.alias("agreement"), "n_votes")

@@ -125,8 +125,8 @@ def p4_fused(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.survivors(scored, [-F.round("posterior", 9), F.col("dropped")])
 
 
-def _votes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The counted votes of the judges and of the raters."""
+def _votes(spark: SparkSession, folder: str) -> DataFrame:
+    """The counted votes of the judges on pairs and of the raters on screen tasks."""
     judges = table(spark, folder, "judge_votes", "pair_id", "judge_id", "relation", "voted_at")
     known = table(spark, folder, "relation_ranks", "relation").where("relation IS NOT NULL").select(F.col("relation").alias("label")).distinct()
     # Seven labels; a spelling is led back to its label by letters alone.
@@ -135,13 +135,14 @@ def _votes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     relation = F.coalesce(F.try_element_at(spelled, plain(F.col("relation"))), F.trim("relation"))
     raters = table(spark, folder, "raw_critiques", "screen_task_id", "rater_id", "aesthetics_rating", "rated_at")
     rating = F.when(F.col("aesthetics_rating").between(1, 10), F.col("aesthetics_rating"))
-    return consensus.latest_votes(judges, "pair_id", "judge_id", relation, "voted_at"), consensus.latest_votes(raters, "screen_task_id", "rater_id", rating, "rated_at")
+    judged = consensus.latest_votes(judges, "pair_id", "judge_id", relation, "voted_at").withColumn("kind", F.lit("pair"))
+    rated = consensus.latest_votes(raters, "screen_task_id", "rater_id", rating, "rated_at").withColumn("kind", F.lit("screen"))
+    return judged.unionByName(rated)
 
 
 def p5_labels(spark: SparkSession, folder: str) -> DataFrame:
     """The agreed label of each pair and screen task, with its agreement."""
-    judges, raters = _votes(spark, folder)
-    return consensus.consensus(judges).unionByName(consensus.consensus(raters, numeric=True)).withColumnRenamed("item", "item_id")
+    return consensus.consensus(_votes(spark, folder)).withColumnRenamed("item", "item_id")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,8 +150,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_reliability(spark: SparkSession, folder: str) -> DataFrame:
-    judges, raters = (consensus.reliability(v) for v in _votes(spark, folder))
-    return judges.unionByName(raters)
+    return consensus.reliability(_votes(spark, folder))
 
 
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:

@@ -164,7 +164,7 @@ def make_votes(rng, items=400):
 def test_spectral_consensus_beats_majority(spark):
     rows, truth = make_votes(np.random.default_rng(1))
     votes = spark.createDataFrame(rows, "item string, annotator string, label string")
-    got = {r.item: r.label for r in consensus.consensus(votes, 3, numeric=True).collect()}
+    got = {r.item: r.label for r in consensus.consensus(votes, 3).collect()}
     n = {}
     for i, _, _ in rows:
         n[i] = n.get(i, 0) + 1
