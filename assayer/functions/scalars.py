@@ -119,3 +119,9 @@ def first_match(text: Column, patterns: Sequence[tuple[str, str]], otherwise: st
     for name, pattern in patterns:
         out = F.when(text.rlike(pattern), name) if out is None else out.when(text.rlike(pattern), name)
     return out.otherwise(otherwise)
+
+
+def identifier_parts(text: Column) -> Column:
+    """struct(identifier, name): what stands before and after the first slash; empty parts are null."""
+    parts = F.split(text, "/", 2)
+    return F.struct(F.nullif(F.element_at(parts, 1), F.lit("")).alias("identifier"), F.nullif(F.get(parts, F.lit(1)), F.lit("")).alias("name"))

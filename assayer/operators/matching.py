@@ -127,3 +127,49 @@ def bipartite(cells: DataFrame, keys: list[str]) -> DataFrame:
     matched = some.groupBy(*keys).applyInPandas(solve, schema)
     out = sizes.join(matched, keys, "left").withColumn("matched", F.coalesce("matched", F.lit(0.0)))
     return out.select(*keys, (F.col("matched") / F.col("n_expert")).alias("coverage"), (F.col("matched") / F.col("n_llm")).alias("support"), "matched")
+
+
+#: What a relation says about a flag, where it says anything. Fixed values.
+IMPLIED = {
+    "same_usability_problem": {"equivalent": "yes", "A_broader": "yes", "B_broader": "yes", "partial_overlap": "partial", "related_but_different": "no", "no_match": "no"},
+    "logical_conflict": {r: "yes" if r == "contradiction" else "no" for r in WEIGHTS},
+}
+
+
+def implied(flag: str, relation: Column) -> Column:
+    """The value of ``flag`` that follows from a relation; null where nothing follows."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in IMPLIED[flag].items() for x in pair)), relation)
+
+
+def finalize_flags(pairs: DataFrame, flags: list[str]) -> DataFrame:
+    """``pairs`` (final relation and decision_source, relation_a, relation_b, <flag>_a, <flag>_b) with each flag's final value.
+
+    What both judges say; else what the one judge says whose relation became final; else "disagree". A manual relation takes the flag that follows from it.
+    """
+    a, b = F.coalesce(F.col("relation") == F.col("relation_a"), F.lit(False)), F.coalesce(F.col("relation") == F.col("relation_b"), F.lit(False))
+    for flag in flags:
+        x, y = F.col(f"{flag}_a"), F.col(f"{flag}_b")
+        said = F.when(x == y, x).when(a & ~b, x).when(b & ~a, y).otherwise("disagree")
+        follows = implied(flag, F.col("relation"))
+        pairs = pairs.withColumn(flag, F.when((F.col("decision_source") == "manual_override") & follows.isNotNull(), follows).otherwise(said))
+    return pairs
+
+
+def flag_consistency(pairs: DataFrame, flags: list[str]) -> DataFrame:
+    """flag, n, share: how many pairs have the value that follows from their relation, among those where one follows."""
+    counts = [x for f in flags for x in (F.count(implied(f, F.col("relation"))).alias(f"n_{f}"), F.avg((F.col(f) == implied(f, F.col("relation"))).cast("int")).alias(f"s_{f}"))]
+    return pairs.agg(*counts).selectExpr(f"stack({len(flags)}, " + ", ".join(f"'{f}', n_{f}, s_{f}" for f in flags) + ") AS (flag, n, share)")
+
+
+def comment_pairs(experts: DataFrame, models: DataFrame, model: str, task: str = "screen_task_id", most: int = 200) -> DataFrame:
+    """Every expert comment with every model comment of its task: pair_id and both sides' columns.
+
+    The result is what is to be judged, pair by pair, so a task must be of a size that can be judged: one with more than ``most`` comments on either
+    side is an error and not a silent flood of pairs.
+    """
+    for side in (experts, models):
+        if large := side.groupBy(task).count().where(F.col("count") > most).limit(1).collect():
+            raise ValueError(f"task {large[0][task]} has more than {most} comments on one side")
+    pair_id = F.concat(F.lit(model + "_"), "expert_comment_id", F.lit("_"), F.right("llm_comment_id", F.lit(3)))
+    both = experts.join(models, task)
+    return both.select(pair_id.alias("pair_id"), *both.columns)

@@ -91,3 +91,24 @@ def rule_table(df: DataFrame, keys: Sequence[str], rules: Sequence[tuple[str, Co
     found = df.groupBy(*keys).agg(*(F.bool_or(F.coalesce(c, F.lit(False))).alias(f"__r{i}") for i, (_, c) in enumerate(rules)))
     out = F.coalesce(*(F.when(F.col(f"__r{i}"), F.lit(label)) for i, (label, _) in enumerate(rules)), F.lit(otherwise))
     return found.select(*keys, out.alias(name))
+
+
+def exclude(df: DataFrame, key: str, ids: Sequence[str]) -> DataFrame:
+    """``df`` without the rows of a fixed list of keys, each of which must be there."""
+    here = {r[0] for r in df.where(F.col(key).isin(*ids)).select(key).distinct().collect()}
+    if missing := sorted(set(ids) - here):
+        raise ValueError(f"not there: {missing}")
+    return df.where(F.col(key).isNull() | ~F.col(key).isin(*ids))
+
+
+def find_texts(df: DataFrame, text: str, pattern: str, missing: bool = False) -> DataFrame:
+    """The rows whose ``text`` has a match of ``pattern``, whatever its case, or has none. Null texts are in neither."""
+    hit = F.col(text).rlike(f"(?i){pattern}")
+    return df.where(~hit if missing else hit)
+
+
+def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
+    """Counts of two fields with their margins, which are named (all); nulls are named (null)."""
+    counts = df.groupBy(row, column).agg(F.count("*").alias("n")).select(F.coalesce(row, F.lit("(null)")).alias(row), F.coalesce(column, F.lit("(null)")).alias(column), "n")
+    cube = counts.cube(row, column).agg(F.sum("n").alias("n"))
+    return cube.select(F.coalesce(row, F.lit("(all)")).alias(row), F.coalesce(column, F.lit("(all)")).alias(column), "n")

@@ -189,3 +189,53 @@ def _normal_quantile(p: float) -> float:
     from statistics import NormalDist
 
     return NormalDist().inv_cdf(p)
+
+
+def bootstrap_gap(df: DataFrame, keys: list[str], cluster: str, side: str, value: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """gap, low, high of each key: the mean where ``side`` is true less the mean where it is false, clusters resampled for both at once."""
+    sums = df.where(F.col(value).isNotNull() & F.col(cluster).isNotNull() & F.col(side).isNotNull()).groupBy(*keys, cluster).agg(
+        *(x for s, c in (("t", F.col(side)), ("f", ~F.col(side))) for x in (F.coalesce(F.sum(F.when(c, F.col(value))), F.lit(0)).cast("double").alias(f"__s{s}"), F.count(F.when(c, F.col(value))).alias(f"__c{s}")))
+    )
+    kinds = dict(df.dtypes)
+
+    def one(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values(cluster)
+        x = pdf[["__st", "__ct", "__sf", "__cf"]].to_numpy(float)
+        random = np.random.default_rng(seed)
+        gap = lambda s: s[0] / s[1] - s[2] / s[3] if s[1] and s[3] else np.nan
+        gaps = [gap(x[random.integers(0, len(x), len(x))].sum(0)) for _ in range(rounds)]
+        low, high = np.nanpercentile(gaps, [2.5, 97.5]) if not np.all(np.isnan(gaps)) else (None, None)
+        return pd.DataFrame([[*key, gap(x.sum(0)), low, high]], columns=[*keys, "gap", "low", "high"])
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", gap double, low double, high double"
+    return sums.groupBy(*keys).applyInPandas(one, schema)
+
+
+def manova(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """n, groups, wilks, pillai of a one-way comparison of several scores at once, from sums of products by group; rows with a null take no part."""
+    import numpy as np
+
+    whole = df.where(F.col(group).isNotNull()).dropna(subset=columns)
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    sums = [F.count("*").cast("double").alias("n"), *(F.sum(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)), *(F.sum(F.col(columns[i]).cast("double") * F.col(columns[j])).alias(f"q{i}_{j}") for i, j in pairs)]
+    # One row of sums per group.
+    rows = whole.groupBy(group).agg(*sums).collect()
+    n, wilks, pillai = sum(r["n"] for r in rows), None, None
+    if len(rows) > 1 and n > len(rows) + len(columns):
+        k = len(columns)
+        total, mean_sum = np.zeros((k, k)), np.zeros((k, k))
+        s_all = np.zeros(k)
+        for r in rows:
+            s = np.array([r[f"s{i}"] for i in range(k)])
+            for i, j in pairs:
+                total[i, j] += r[f"q{i}_{j}"]
+            mean_sum += np.outer(s, s) / r["n"]
+            s_all += s
+        total = np.triu(total) + np.triu(total, 1).T
+        within, between = total - mean_sum, mean_sum - np.outer(s_all, s_all) / n
+        wilks = float(np.linalg.det(within) / np.linalg.det(within + between))
+        pillai = float(np.trace(between @ np.linalg.inv(within + between)))
+    return df.sparkSession.createDataFrame([(int(n), len(rows), wilks, pillai)], "n long, groups long, wilks double, pillai double")

@@ -392,3 +392,42 @@ def pairs_within_critique(t: Tables):
     human = df.select("critique_id", "z", F.posexplode(F.filter("z", lambda x: x["s"] == "human")).alias("left_pos", "l"))
     both = human.select("critique_id", "left_pos", F.col("l.c").alias("left_comment"), F.posexplode(F.filter("z", lambda x: x["s"] == "llm")).alias("right_pos", "r"))
     return both.select("critique_id", "left_pos", "right_pos", "left_comment", F.col("r.c").alias("right_comment"))
+
+
+# ---- flags
+
+
+FLAGS = ["same_usability_problem", "logical_conflict"]
+_SAME = "CASE {x} WHEN 'equivalent' THEN 'yes' WHEN 'A_broader' THEN 'yes' WHEN 'B_broader' THEN 'partial' WHEN 'partial_overlap' THEN 'partial' ELSE 'no' END"
+_FLAGS_SQL = f"""WITH {VOTE}, {LBL}, two AS (SELECT pair_id, a.relation AS ra, b.relation AS rb, l.relation, l.decision_source = 'manual' AS manual, {_SAME.format(x='a.relation')} AS fa, {_SAME.format(x='b.relation')} AS fb FROM (SELECT * FROM vote WHERE judge_id = 'j01' AND relation IS NOT NULL) a
+    JOIN (SELECT * FROM vote WHERE judge_id = 'j09' AND relation IS NOT NULL) b USING (pair_id) JOIN lbl l USING (pair_id)),
+    i AS (SELECT *, CASE relation WHEN 'equivalent' THEN 'yes' WHEN 'A_broader' THEN 'yes' WHEN 'B_broader' THEN 'yes' WHEN 'partial_overlap' THEN 'partial' WHEN 'related_but_different' THEN 'no' WHEN 'no_match' THEN 'no' END AS follows, coalesce(relation = ra, false) AS ka, coalesce(relation = rb, false) AS kb FROM two),
+    f AS (SELECT pair_id, follows, CASE WHEN manual AND follows IS NOT NULL THEN follows WHEN fa = fb THEN fa WHEN ka AND NOT kb THEN fa WHEN kb AND NOT ka THEN fb ELSE 'disagree' END AS same_usability_problem FROM i)"""
+
+
+def flagged(t: Tables) -> DataFrame:
+    """Pairs read by two judges, whose flags are told from their relations, with the final relation of the labels."""
+    problem = lambda r: F.when(r.isin("equivalent", "A_broader"), "yes").when(r.isin("B_broader", "partial_overlap"), "partial").otherwise("no")
+    conflict = lambda r: F.when(r == "contradiction", "yes").otherwise("no")
+    two = two_judges(t, "inner").where("relation_a IS NOT NULL AND relation_b IS NOT NULL")
+    for s in ("a", "b"):
+        r = F.col(f"relation_{s}")
+        two = two.withColumn(f"same_usability_problem_{s}", problem(r)).withColumn(f"logical_conflict_{s}", conflict(r))
+    final = labels(t).select("pair_id", "relation", F.when(F.col("decision_source") == "manual", "manual_override").otherwise("judges").alias("decision_source"))
+    return M.finalize_flags(two.join(final, "pair_id"), FLAGS)
+
+
+@query(_FLAGS_SQL + " SELECT pair_id, same_usability_problem FROM f")
+def flag_finalize(t: Tables):
+    return flagged(t).select("pair_id", "same_usability_problem")
+
+
+@query(_FLAGS_SQL + " SELECT 'same_usability_problem' AS flag, count(follows)::BIGINT AS n, round(avg((same_usability_problem = follows)::INT), 6) AS share FROM f")
+def flag_consistency(t: Tables):
+    """How far the final flags are what the final relations imply."""
+    return M.flag_consistency(flagged(t), FLAGS[:1]).withColumn("share", F.round("share", 6))
+
+
+@query("""SELECT coalesce(model_short, '(all)') AS model_short, coalesce(relation, '(all)') AS relation, sum(n)::BIGINT AS n FROM (SELECT model_short, coalesce(relation, '(null)') AS relation, count(*) AS n FROM match_pairs GROUP BY ALL) GROUP BY CUBE (model_short, relation)""")
+def crosstab_margins(t: Tables):
+    return R.crosstab(t("match_pairs", "model_short", "relation"), "model_short", "relation")

@@ -351,3 +351,22 @@ def source_header_crosstab(t: Tables):
     """Entries of the source lists by source."""
     s = t("raw_critiques", "comments_source").select(F.explode(S.literal_list(F.col("comments_source"))).alias("source"))
     return s.groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT task, count(DISTINCT screen_id)::BIGINT AS n_screens FROM screen_tasks WHERE task LIKE '%a%' AND NOT starts_with(task, 'set') GROUP BY 1 HAVING count(DISTINCT screen_id) > 1""")
+def reused_tasks(t: Tables):
+    """Tasks that stand on several screens, by string predicates."""
+    df = t("screen_tasks", "task", "screen_id").where(F.col("task").contains("a") & ~F.col("task").startswith("set"))
+    return df.groupBy("task").agg(F.count_distinct("screen_id").alias("n_screens")).where("n_screens > 1")
+
+
+@query("""SELECT record_id, comment_id FROM human_comments WHERE raw_text IS NOT NULL AND NOT regexp_matches(raw_text, '(?i)to fix this')""")
+def texts_without(t: Tables):
+    """Comments whose text lacks a wording."""
+    return R.find_texts(t("human_comments", "record_id", "comment_id", "raw_text"), "raw_text", "to fix this", missing=True).select("record_id", "comment_id")
+
+
+@query("""SELECT screen_task_id, split_part(screen_task_id, '_', 1) AS identifier, nullif(split_part(screen_task_id, '_', 2), '') AS name FROM screen_tasks""")
+def identifier_parts(t: Tables):
+    df = t("screen_tasks", "screen_task_id")
+    return df.select("screen_task_id", S.identifier_parts(F.replace("screen_task_id", F.lit("_"), F.lit("/"))).alias("p")).select("screen_task_id", "p.*")

@@ -258,3 +258,16 @@ def normality(t: Tables):
         return pd.DataFrame([[*key, w, p]], columns=["model", "aspect", "w", "p"])
 
     return counts.groupBy("model", "aspect").applyInPandas(one, "model string, aspect string, w double, p double")
+
+
+@query()
+def error_gap(t: Tables):
+    """How much larger a model's error is in the first half-year, with an interval from resampling apps."""
+    df = rating_long(t).join(t("screen_tasks", "screen_task_id", "app"), "screen_task_id").withColumn("e", F.abs("delta").cast("double")).withColumn("side", F.col("prompting") == "zero_shot")
+    return T.bootstrap_gap(df, ["model"], "app", "side", "e")
+
+
+@query()
+def manova(t: Tables):
+    """The raters compared on all five ratings at once."""
+    return T.manova(t("raw_critiques", "rater_id", *ASPECTS), "rater_id", list(ASPECTS))

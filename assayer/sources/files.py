@@ -102,3 +102,40 @@ def write_csv(df: DataFrame, path: str, digits: dict[str, int] | None = None, or
 
 def append_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON document of many lines as a table."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def load_all(spark: SparkSession, template: str, models: dict[str, str]) -> DataFrame:
+    """One table per model, at ``template`` with {model} filled in, as one with model_short in front; columns that one lacks are null."""
+    out = None
+    for short, name in models.items():
+        one = spark.read.parquet(template.format(model=name))
+        one = one.select(F.lit(short).alias("model_short"), *one.columns)
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def upsert_manifest(path: str, section: str, value: dict) -> None:
+    """Sets one section of a small JSON file, which is made if it is not there."""
+    import json
+    from pathlib import Path
+
+    file = Path(path)
+    held = json.loads(file.read_text()) if file.exists() else {}
+    file.write_text(json.dumps(held | {section: value}, indent=1, sort_keys=True))
+
+
+def ask(df: DataFrame, prompt: str, answer: Callable[[list[str]], list[str]], name: str = "answer", size: int = 64) -> DataFrame:
+    """``df`` with the answers of a callable that takes a list of prompts, called with at most ``size`` at a time on the executors."""
+    schema = df.select("*", F.lit(None).cast("string").alias(name)).schema
+
+    def call(batches):
+        for batch in batches:
+            texts = batch[prompt].tolist()
+            yield batch.assign(**{name: [a for i in range(0, len(texts), size) for a in answer(texts[i : i + size])]})
+
+    return df.mapInPandas(call, schema)

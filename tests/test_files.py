@@ -59,3 +59,19 @@ def test_stream_keeps_the_latest_and_resumes(spark, tmp_path):
 def test_windows(spark):
     events = spark.createDataFrame([(1, "x"), (1800, "x"), (3700, "x")], "s int, k string").select(F.timestamp_seconds("s").alias("at"), "k")
     assert sorted(r.n for r in ingest.windowed_counts(events, "at", ["k"], "1 hour", "1 hour").collect()) == [1, 2]
+
+
+def test_loaders_manifest_and_answers(spark, tmp_path):
+    spark.createDataFrame([(1, "x")], "id int, a string").write.parquet(str(tmp_path / "m1"))
+    spark.createDataFrame([(2, 5)], "id int, b int").write.parquet(str(tmp_path / "m2"))
+    both = files.load_all(spark, str(tmp_path / "{model}"), {"one": "m1", "two": "m2"})
+    assert sorted(map(tuple, both.collect())) == [("one", 1, "x", None), ("two", 2, None, 5)]
+    path = str(tmp_path / "manifest.json")
+    files.upsert_manifest(path, "a", {"n": 1})
+    files.upsert_manifest(path, "b", {"n": 2})
+    files.upsert_manifest(path, "a", {"n": 3})
+    assert json.loads(open(path).read()) == {"a": {"n": 3}, "b": {"n": 2}}
+    (tmp_path / "c.json").write_text('[\n{"screen_task_id": "t", "comment_index": 0, "field": "f", "value": null}\n]')
+    assert files.read_json(spark, str(tmp_path / "c.json"), "screen_task_id string, comment_index int, field string, value string").first().value is None
+    asked = files.ask(spark.createDataFrame([(i, f"p{i}") for i in range(5)], "id int, p string"), "p", lambda texts: [t.upper() for t in texts], size=2)
+    assert sorted(map(tuple, asked.collect()))[4] == (4, "p4", "P4")

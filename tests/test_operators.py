@@ -209,3 +209,32 @@ def test_scalars(spark):
     assert get(S.literal_list(F.lit("['it\\'s', \"b\"]"))) == ["it's", "b"]
     assert [get(S.binned(F.lit(x), 10)) for x in (0, 3, 4, 7, 8, 10, 11)] == ["low", "low", "mid", "mid", "high", "high", None]
     assert [get(S.binned(F.lit(x), 5)) for x in (2, 3, 4, 5)] == ["low", "mid", "mid", "high"]
+
+
+def test_flags_pairs_and_lists(spark):
+    kinds = "pair_id string, relation string, decision_source string, relation_a string, relation_b string, logical_conflict_a string, logical_conflict_b string"
+    rows = [("same", "no_match", "judge_agreement", "no_match", "no_match", "no", "no"), ("left", "no_match", "confidence_fallback", "no_match", "contradiction", "no", "yes"), ("neither", "equivalent", "confidence_fallback", "no_match", "contradiction", "no", "yes"), ("manual", "contradiction", "manual_override", "no_match", "contradiction", "no", "yes")]
+    final = M.finalize_flags(spark.createDataFrame(rows, kinds), ["logical_conflict"])
+    assert {r.pair_id: r.logical_conflict for r in final.collect()} == {"same": "no", "left": "no", "neither": "disagree", "manual": "yes"}
+    assert M.flag_consistency(final, ["logical_conflict"]).first().share == 0.75
+    experts = spark.createDataFrame([("t", "e1"), ("t", "e2"), ("u", "e3")], "screen_task_id string, expert_comment_id string")
+    models = spark.createDataFrame([("t", "L_001"), ("t", "L_002")], "screen_task_id string, llm_comment_id string")
+    assert sorted(r.pair_id for r in M.comment_pairs(experts, models, "m").collect()) == ["m_e1_001", "m_e1_002", "m_e2_001", "m_e2_002"]
+    with pytest.raises(ValueError):
+        M.comment_pairs(experts, models, "m", most=1)
+    with pytest.raises(ValueError):
+        R.exclude(experts, "expert_comment_id", ["e1", "e9"])
+    assert R.exclude(experts, "expert_comment_id", ["e1"]).count() == 2
+
+
+def test_manova_and_gap(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(rng.normal(m)), float(rng.normal(-m))) for g, m in (("a", 0), ("b", 2)) for _ in range(50)]
+    row = T.manova(spark.createDataFrame(rows + [("a", None, 1.0), (None, 1.0, 1.0)], "g string, x double, y double"), "g", ["x", "y"]).first()
+    x = np.array([r[1:] for r in rows])
+    parts = [x[:50], x[50:]]
+    within = sum((p - p.mean(0)).T @ (p - p.mean(0)) for p in parts)
+    total = (x - x.mean(0)).T @ (x - x.mean(0))
+    assert row.n == 100 and abs(row.wilks - np.linalg.det(within) / np.linalg.det(total)) < 1e-9 and abs(row.pillai - np.trace((total - within) @ np.linalg.inv(total))) < 1e-9
+    gaps = T.bootstrap_gap(spark.createDataFrame([("k", f"c{i % 9}", i % 2 == 0, float(i % 2 == 0)) for i in range(90)], "k string, c string, s boolean, v double"), ["k"], "c", "s", "v").first()
+    assert gaps.gap == gaps.low == gaps.high == 1.0
