@@ -74,6 +74,19 @@ def remap(wrong: str, written: str) -> dict[int, str]:
     return out
 
 
+def _chunks(texts: pd.Series, size: int = 2_000_000) -> Iterator[str]:
+    """The texts, set apart by line breaks, in pieces of about ``size`` characters; a text is never cut."""
+    held, n = [], 0
+    for text in texts:
+        held.append(text)
+        n += len(text)
+        if n >= size:
+            yield "\n".join(held)
+            held, n = [], 0
+    if held:
+        yield "\n".join(held)
+
+
 def count_pairs(docs: DataFrame) -> DataFrame:
     """a, b, n over all texts: adjacent characters with one beyond ASCII at least; b = -1 holds the counts of single characters."""
 
@@ -81,7 +94,7 @@ def count_pairs(docs: DataFrame) -> DataFrame:
         pairs: Counter = Counter()
         singles = np.zeros(0x110000, dtype=np.int64)
         for batch in batches:
-            for text in ("\n".join(batch["text"].iloc[i : i + 2000]) for i in range(0, len(batch), 2000)):
+            for text in _chunks(batch["text"]):
                 codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
                 singles += np.bincount(codes, minlength=0x110000)
                 wide = codes > 0x7F
