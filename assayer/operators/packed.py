@@ -37,52 +37,64 @@ def _java(text: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", text)
 
 
-def split_expr(text: Column, protected: Sequence[str] = ()) -> Column:
-    """The values of ``text`` as array<string>, in order, without empty ones.
+def split_values(df: DataFrame, column: str, name: str, protected: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``name``, the values of ``column`` as array<string>, in order, without empty ones.
 
     A null gives null; blank text, or delimiters only, gives an empty array. ``protected`` are labels that hold a delimiter and stay whole.
     """
     labels = "".join(f"|{_java(p)}" for p in sorted(protected, key=len, reverse=True))
     spans_re = f"(?s){_QUOTED}|{_REMARK}{labels}"
-    escaped = F.replace(text, F.lit(OPEN), F.lit(OPEN + LITERAL))
+    escaped = F.replace(F.col(f"`{column}`"), F.lit(OPEN), F.lit(OPEN + LITERAL))
     # A list literal loses its outer brackets.
     body = F.regexp_replace(escaped, rf"(?s)^{_BLANK}*\[({_BLANK}*[\"'].*[\"']{_BLANK}*,?{_BLANK}*)\]{_BLANK}*$", "$1")
-    spans = F.regexp_extract_all(body, F.lit(spans_re), F.lit(0))
-    between = F.split(body, spans_re, -1)
-    masked = F.array_join(
-        F.transform(between, lambda p, i: F.when(i < F.size(between) - 1, F.concat(p, F.lit(OPEN), i.cast("string"), F.lit(CLOSE))).otherwise(p)), ""
-    )
+    staged = _fixed(df, __body=body)
+    staged = _fixed(staged, __spans=F.regexp_extract_all("__body", F.lit(spans_re), F.lit(0)), __between=F.split("__body", spans_re, -1))
+    # As many placeholders as spans, and nothing after the last stretch between them.
+    marks = F.concat(F.transform(F.sequence(F.lit(1), F.size("__spans")), lambda i: F.concat(F.lit(OPEN), (i - 1).cast("string"), F.lit(CLOSE))), F.array(F.lit("")))
+    marks = F.when(F.size("__spans") > 0, marks).otherwise(F.array(F.lit("")))
+    masked = F.array_join(F.zip_with("__between", marks, lambda a, b: F.concat(a, b)), "")
     numbering = rf"(?:(?<=[\s\p{{Z}}{CLOSE}])\(\d{{1,3}}\)(?=[\s\p{{Z}}])|(?<=[\s\p{{Z}}{CLOSE}])\d{{1,3}}[.)](?=[\s\p{{Z}}]))"
     pieces = F.split(masked, rf"[\n\r,{''.join(_java(d) for d in DELIMITERS)}]|(?<=[\s\p{{Z}}{CLOSE}])\+(?=[\s\p{{Z}}])|{numbering}", -1)
 
     def restored(piece: Column) -> Column:
         """Each placeholder starts a part; the part's number looks the span up."""
-        parts = F.split(piece, f"(?={OPEN}\\d)", -1)
-        whole = F.array_join(
-            F.transform(
-                parts,
-                lambda p: F.when(
-                    p.rlike(f"^{OPEN}\\d"),
-                    F.concat(F.try_element_at(spans, F.regexp_extract(p, f"^{OPEN}(\\d+)", 1).cast("int") + 1), F.regexp_replace(p, f"^{OPEN}\\d+{CLOSE}", "")),
-                ).otherwise(p),
-            ),
-            "",
-        )
-        return F.replace(whole, F.lit(OPEN + LITERAL), F.lit(OPEN))
-
-    return F.filter(F.transform(pieces, lambda p: _bare(restored(p))), lambda v: v != "")
-
-
-def _bare(value: Column) -> Column:
-    """``value`` without blanks, list marks, numbering and enclosing quotes; the escapes of a quoted value are resolved."""
-    trimmed = F.regexp_replace(F.regexp_replace(value, _MARK, ""), rf"{_BLANK}+$", "")
-    plain = F.regexp_replace(F.regexp_replace(trimmed, r"(?s)^[\"'“„«‘](.*)[\"'”“»’]$", "$1"), rf"^{_BLANK}+|{_BLANK}+$", "")
-    quoted = trimmed.rlike(r"(?s)^(?:\".*\"|'.*'|“.*”|„.*[“”]|«.*»|‘.*’)$") & (F.length(trimmed) > 1)
-    # \uXXXX and the like are resolved by the JSON reader; a quote inside is escaped for it first.
-    as_json = F.concat(F.lit('["'), F.regexp_replace(F.regexp_replace(plain, r"\\'", "'"), r'(?<!\\)"', r'\\"'), F.lit('"]'))
-    resolved = F.when(plain.contains("\\"), F.coalesce(F.try_element_at(F.from_json(as_json, "array<string>"), F.lit(1)), plain)).otherwise(plain)
-    doubled = F.when(trimmed.startswith('"'), F.replace(resolved, F.lit('""'), F.lit('"'))).when(trimmed.startswith("'"), F.replace(resolved, F.lit("''"), F.lit("'"))).otherwise(resolved)
-    return F.when(quoted, doubled).otherwise(trimmed)
+        put_back = lambda p: F.when(
+            p.rlike(f"^{OPEN}\\d"), F.concat(F.try_element_at(F.col("__spans"), F.regexp_extract(p, f"^{OPEN}(\\d+)", 1).cast("int") + 1), F.regexp_replace(p, f"^{OPEN}\\d+{CLOSE}", ""))
+        ).otherwise(p)
+        whole = F.array_join(F.transform(F.split(piece, f"(?={OPEN}\\d)", -1), put_back), "")
+        return F.replace(F.when(piece.contains(OPEN), whole).otherwise(piece), F.lit(OPEN + LITERAL), F.lit(OPEN))
+
+    # One pass after the other: what a lambda reads is an element or a column, never an expression that would be worked out again for each element.
+    values = F.transform(F.transform(pieces, restored), _trimmed)
+    values = F.filter(F.transform(values, lambda v: F.when(v.rlike(_IS_QUOTED) & (F.length(v) > 1), _unquoted(v)).otherwise(v)), lambda v: v != "")
+    return staged.select(*df.columns, values.alias(name)) if name not in df.columns else staged.select(*(c for c in df.columns if c != name), values.alias(name))
+
+
+def _fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns`` worked out once for each row; a plain projection might be folded into the lambdas that read them."""
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*(F.col(f"`{c}`") for c in kept), F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+_IS_QUOTED = r"(?s)^(?:\".*\"|'.*'|“.*”|„.*[“”]|«.*»|‘.*’)$"
+
+
+def _trimmed(value: Column) -> Column:
+    """``value`` without blanks, list marks and numbering."""
+    return F.regexp_replace(F.regexp_replace(value, _MARK, ""), rf"{_BLANK}+$", "")
+
+
+def _unquoted(value: Column) -> Column:
+    """``value`` without its enclosing quotes, with the escapes of a quoted value resolved."""
+
+    def resolved(plain: Column) -> Column:
+        # \uXXXX and the like are resolved by the JSON reader; a quote inside is escaped for it first.
+        as_json = F.concat(F.lit('["'), F.regexp_replace(F.regexp_replace(plain, r"\\'", "'"), r'(?<!\\)"', r'\\"'), F.lit('"]'))
+        return F.when(plain.contains("\\"), F.coalesce(F.try_element_at(F.from_json(as_json, "array<string>"), F.lit(1)), plain)).otherwise(plain)
+
+    plain = F.regexp_replace(F.regexp_replace(value, r"(?s)^[\"'“„«‘](.*)[\"'”“»’]$", "$1"), rf"^{_BLANK}+|{_BLANK}+$", "")
+    once = F.element_at(F.transform(F.array(plain), resolved), 1)
+    return F.when(value.startswith('"'), F.replace(once, F.lit('""'), F.lit('"'))).when(value.startswith("'"), F.replace(once, F.lit("''"), F.lit("'"))).otherwise(once)
 
 
 def unpack(df: DataFrame, column: str, protected: Sequence[str] = (), pos: str = "pos", value: str = "value_text", count: str = "n_values") -> DataFrame:
@@ -91,6 +103,6 @@ def unpack(df: DataFrame, column: str, protected: Sequence[str] = (), pos: str =
     Null and blank fields give no row. Existing columns named like the new ones are replaced. Texts of any length are taken whole.
     """
     kept = [c for c in df.columns if c not in (pos, value, count)]
-    values = df.withColumn("__values", split_expr(F.col(f"`{column}`"), protected))
+    values = split_values(df, column, "__values", protected)
     out = values.select(*(F.col(f"`{c}`") for c in kept), F.size("__values").alias(count), F.posexplode("__values").alias("__pos", value))
     return out.select(*(F.col(f"`{c}`") for c in kept), (F.col("__pos") + 1).alias(pos), value, count)
