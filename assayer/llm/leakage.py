@@ -30,6 +30,8 @@ BLOCK_CHARS = 8_000_000
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 2, 4), (0, 2, 3, 4), (0, 1, 4, 5), (0, 2, 3, 5), (0, 1, 3, 5), (0, 2, 4, 6))
 #: A leak is so many running words of an item.
 LEAST_WORDS = 15
+#: Hits around one place of an item from which it is looked at: fifteen words with every fourth one changed still give nine.
+LEAST_HITS = 4
 #: Between two equal words of an alignment there may be so many others on either side.
 GAP = 2
 #: What an error costs against an equal word's 1, and the least sum and share of equal words of a leak.
@@ -149,37 +151,59 @@ def leaked(span: int, equal: int, score: float, least_words: int = LEAST_WORDS)
     return span >= least_words and score >= LEAST_SCORE and equal >= LEAST_SHARE * span
 
 
-def search(items: Items, doc: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-    """The items (by place) that ``doc`` has a hit of, each with its best alignment around its hits."""
-    spots: dict[int, list[int]] = defaultdict(list)
+def search(items: Items, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, float]]:
+    """The place in ``docs`` and the item (by place) of each document that has hits of it, with the best alignment around them.
+
+    All documents are hashed at once, set apart by words that are in no item.
+    """
+    gap = np.full(max(m[-1] for m in MASKS), -1, dtype=np.int64)
+    begins = np.cumsum([0, *(len(d) + len(gap) for d in docs)])
+    whole = np.concatenate([x for d in docs for x in (d, gap)]) if docs else gap
+    spots: dict[tuple[int, int], list[int]] = defaultdict(list)
     for m, mask in enumerate(MASKS):
-        key = seeds(doc, mask)
-        if not len(key):
-            continue
-        left = np.searchsorted(items.keys, key, "left")
-        hit = np.flatnonzero((key != 0) & (left < len(items.keys)))
-        hit = hit[items.keys[left[hit]] == key[hit]]
-        if not len(hit):
-            continue
-        right = np.searchsorted(items.keys, key[hit], "right")
-        for p, a, b in zip(hit.tolist(), left[hit].tolist(), right.tolist()):
+        key = seeds(whole, mask)
+        at = np.flatnonzero(key)
+        left = np.searchsorted(items.keys, key[at], "left")
+        inside = left < len(items.keys)
+        at, left = at[inside], left[inside]
+        same = items.keys[left] == key[at]
+        at, left = at[same], left[same]
+        right = np.searchsorted(items.keys, key[at], "right")
+        of = np.searchsorted(begins, at, "right") - 1
+        for d, p, a, b in zip(of.tolist(), (at - begins[of]).tolist(), left.tolist(), right.tolist()):
             for x in range(a, b):
                 if items.masks[x] == m:
-                    spots[int(items.items[x])].append(p - int(items.places[x]))
-    for n, shifts in spots.items():
-        if len(shifts) < 2:
-            continue  # fifteen running words with single errors give several hits
+                    spots[d, int(items.items[x])].append(p - int(items.places[x]))
+    for (d, n), shifts in spots.items():
+        if len(shifts) < LEAST_HITS:
+            continue
         item = items.words[n]
         slack = 4 + len(item) // 5
         shifts.sort()
         top = (0, 0, 0.0)
-        start = shifts[0]
+        start = 0
         for k, s in enumerate(shifts):
             if k + 1 == len(shifts) or shifts[k + 1] - s > slack:
-                found = aligned(doc, item, start - slack, s + len(item) + slack)
-                top = max(top, found, key=lambda f: f[2])
-                start = shifts[k + 1] if k + 1 < len(shifts) else 0
-        yield n, *top
+                if k + 1 - start >= LEAST_HITS:
+                    top = max(top, aligned(docs[d], item, shifts[start] - slack, s + len(item) + slack), key=lambda f: f[2])
+                start = k + 1
+        if top[0]:
+            yield d, n, *top
+
+
+def _some(keys: list, texts: list[str], read, size: int = 500_000) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Keys and read texts in portions of about ``size`` words."""
+    held, n = ([], []), 0
+    for key, text in zip(keys, texts):
+        words = read(text)
+        held[0].append(key)
+        held[1].append(words)
+        n += len(words)
+        if n >= size:
+            yield held
+            held, n = ([], []), 0
+    if held[0]:
+        yield held
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -205,10 +229,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, i
             ours = Items(*sent.value)
             for batch in batches:
                 out = []
-                for key, text in zip(batch["doc"], batch["text"]):
-                    for n, span, equal, score in search(ours, ours.read(text)):
-                        if leaked(span, equal, score, least_words):
-                            out.append((key, ours.ids[n], span, equal))
+                for keys, docs in _some(batch["doc"].tolist(), batch["text"].tolist(), ours.read):
+                    out += [(keys[d], ours.ids[n], span, equal) for d, n, span, equal, score in search(ours, docs) if leaked(span, equal, score, least_words)]
                 yield pd.DataFrame(out, columns=["doc", "item", "span_words", "equal_words"])
 
         parts.append(rows.mapInPandas(scan, schema))
