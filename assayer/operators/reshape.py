@@ -49,7 +49,10 @@ def is_duplicated(keys: Sequence[str]) -> Column:
 
 
 def nest(df: DataFrame, keys: Sequence[str], fields: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """One row per key with ``name``, the array of its rows' ``fields`` by ``order``. Null keys are kept."""
+    """One row per key with ``name``, the array of its rows' ``fields`` by ``order``. Null keys are kept.
+
+    A key's rows become one value, so they must fit one: nest by keys whose groups are bounded, and keep large ones long.
+    """
     rows = F.array_sort(F.collect_list(F.struct(*(F.col(o).alias(f"__o{i}") for i, o in enumerate(order)), F.struct(*fields).alias("__v"))))
     return df.groupBy(*keys).agg(F.transform(rows, lambda r: r["__v"]).alias(name))
 

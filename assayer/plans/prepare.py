@@ -114,12 +114,10 @@ def explode_nest_roundtrip(t: Tables):
     return R.unnest(R.nest(df, ["screen_task_id"], ["comment_id", "observed_issue"], ["comment_label", "comment_id"], "comments"), "comments", ["screen_task_id"])
 
 
-@query("""SELECT record_id, nullif(regexp_replace(trim(regexp_replace(translate(lower(suggested_fix), '‘’“”', '''''""'), '\\s+', ' ', 'g')), '^[^a-z0-9_]+|[^a-z0-9_]+$', '', 'g'), '') AS norm
-    FROM human_comments WHERE suggested_fix IS NULL OR regexp_full_match(suggested_fix, '[\\x00-\\x7F]*')""")
+@query("""SELECT record_id, nullif(regexp_replace(trim(regexp_replace(translate(lower(suggested_fix), '‘’“”', '''''""'), '[\\s\\pZ]+', ' ', 'g')), '^[^\\pL\\pM\\pN_]+|[^\\pL\\pM\\pN_]+$', '', 'g'), '') AS norm FROM human_comments""")
 def normalize_text(t: Tables):
-    """Normalised texts; the statement in SQL covers ASCII, so both sides take the texts that are."""
-    df = t("human_comments", "record_id", "suggested_fix").where(F.col("suggested_fix").isNull() | F.col("suggested_fix").rlike(r"^[\x00-\x7F]*$"))
-    return df.select("record_id", S.normalize_text(F.col("suggested_fix")).alias("norm"))
+    """Normalised texts."""
+    return t("human_comments", "record_id", "suggested_fix").select("record_id", S.normalize_text(F.col("suggested_fix")).alias("norm"))
 
 
 @query("""SELECT missing_parts, count(*)::BIGINT AS n FROM (SELECT array_to_string(list_filter(['expected_standard', 'observed_issue', 'suggested_fix'],
