@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from assayer.functions.text import LATIN, LOOKALIKE
 
 #: Characters of evaluation text that are held on each executor at a time.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 1_000_000
 #: Offsets of the words that a seed picks.
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 2, 4), (0, 2, 3, 4), (0, 1, 4, 5), (0, 2, 3, 5), (0, 1, 3, 5), (0, 2, 4, 6))
 #: A leak is so many running words of an item.
