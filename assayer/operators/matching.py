@@ -115,16 +115,28 @@ def bipartite(cells: DataFrame, keys: list[str]) -> DataFrame:
     for side, other in (("expert_comment_id", "llm_comment_id"), ("llm_comment_id", "expert_comment_id")):
         place = F.row_number().over(Window.partitionBy(*keys, side).orderBy(F.desc("weight"), other))
         some = some.withColumn("__place", place).where(F.col("__place") <= F.col("__most"))
+    # One row per group with its few cells, so a batch of rows holds many groups.
+    cell = F.collect_list(F.struct(F.col("expert_comment_id").alias("e"), F.col("llm_comment_id").alias("m"), F.col("weight").alias("w")))
+    grouped = some.groupBy(*keys).agg(F.max("__most").alias("__most"), F.max("weight").alias("__top"), cell.alias("__cells"))
+    plain = grouped.where("__most <= 1").select(*keys, F.col("__top").alias("matched"))
+    rest = grouped.where("__most > 1").select(*keys, *(F.col(f"__cells.{f}").alias(f"__{f}") for f in "emw"))
     kinds = dict(cells.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", matched double"
 
-    def solve(key, pdf):
-        import pandas as pd
+    def solve(batches):
+        import numpy as np
 
-        table = pdf.pivot_table(index="expert_comment_id", columns="llm_comment_id", values="weight", aggfunc="max", fill_value=0.0)
-        return pd.DataFrame([[*key, assignment(table.to_numpy())]], columns=[*keys, "matched"])
+        for batch in batches:
+            sums = []
+            for es, ms, ws in zip(batch["__e"], batch["__m"], batch["__w"]):
+                rows, columns = {e: i for i, e in enumerate(dict.fromkeys(es))}, {m: i for i, m in enumerate(dict.fromkeys(ms))}
+                table = np.zeros((len(rows), len(columns)))
+                for e, m, w in zip(es, ms, ws):
+                    table[rows[e], columns[m]] = max(w, table[rows[e], columns[m]])
+                sums.append(assignment(table))
+            yield batch[keys].assign(matched=sums)
 
-    matched = some.groupBy(*keys).applyInPandas(solve, schema)
+    matched = plain.unionByName(rest.mapInPandas(solve, schema))
     out = sizes.join(matched, keys, "left").withColumn("matched", F.coalesce("matched", F.lit(0.0)))
     return out.select(*keys, (F.col("matched") / F.col("n_expert")).alias("coverage"), (F.col("matched") / F.col("n_llm")).alias("support"), "matched")
 
