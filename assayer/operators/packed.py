@@ -22,14 +22,16 @@ _BLANK = r"[\s\p{Z}\x{200B}\x{FEFF}]"
 #: What may stand before an opening quote, and after a closing one.
 _BEFORE = r"(?<=^|[\[(,;|~·¦‖\t\n、；]|[,;|~·¦‖、；\[][\s\p{Z}]{1,4}|[\n\t][\s\p{Z}]{0,4}(?:[-*•–]|\(?\d{1,3}[.)])[\s\p{Z}]{1,4}|^[\s\p{Z}]{1,4})"
 _AFTER = rf"(?={_BLANK}*(?:$|[\],;|~·¦‖\t\n、；]|\(?\d{{1,3}}[.)]\s))"
+# The loops over escapes are possessive: Java runs those in a loop, any other group of alternatives in recursion that a long field would overflow.
+# They lose no match, for the quote that ends a span is never followed by another one.
 _QUOTED = (
-    rf'{_BEFORE}(?:"(?:\\.|""|[^"\\])*"{_AFTER}'
-    rf"|'(?:\\.|''|[^'\\])*?'{_AFTER}"
+    rf'{_BEFORE}(?:"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+"{_AFTER}'
+    rf"|'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'{_AFTER}"
     rf"|“[^”]*”{_AFTER}|„[^“”]*[“”]{_AFTER}|«[^»]*»{_AFTER}|‘.*?’{_AFTER})"
 )
 _REMARK = r"\((?!\d{1,3}\))[^()\n]*\)"
 #: Marks before a value: bullets and numbering.
-_MARK = rf"^(?:{_BLANK}|[-*•–—‣◦▪●]+(?={_BLANK})|[•‣◦▪●]|\(?\d{{1,3}}[.)](?={_BLANK})|\[\d{{1,3}}\](?={_BLANK})|#\d{{1,3}}[.):]?(?={_BLANK}))+"
+_MARK = rf"^(?:{_BLANK}|[-*•–—‣◦▪●]+(?={_BLANK})|[•‣◦▪●]|\(?\d{{1,3}}[.)](?={_BLANK})|\[\d{{1,3}}\](?={_BLANK})|#\d{{1,3}}[.):]?(?={_BLANK}))++"
 
 
 def _java(text: str) -> str:

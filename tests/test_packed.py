@@ -56,3 +56,17 @@ def test_round_trip(spark, delimiter):
     packed = delimiter.join('"' + v + '"' for v in values)
     rows = unpack(spark.createDataFrame([(packed,)], "t string"), "t").orderBy("pos").collect()
     assert [r.value_text for r in rows] == values
+
+
+@pytest.mark.parametrize("quote", ['"', "'"])
+def test_quoted_fields_of_a_million_characters(spark, quote):
+    n = 1_000_000
+    plain, pairs, escaped = "a; " * (n // 3) + "b", f"a{quote}{quote};" * (n // 4) + "b", f"a\\{quote};" * (n // 4) + "b"
+    texts = [f"{quote}{t}{quote}; c" for t in (plain, pairs, escaped)] + [quote + "a" * n, "x; " + quote + "a" * n + "; y", quote + f"a\\{quote}" * (n // 3), " " * n + "a; b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {}
+    for r in unpack(df, "t").orderBy("id", "pos").collect():
+        got.setdefault(r.id, []).append(r.value_text)
+    assert [len(got[i]) for i in range(7)] == [2, 2, 2, 1, 3, 1, 2]
+    assert got[0] == [plain, "c"] and got[1][0] == pairs.replace(quote * 2, quote) and got[2][0] == escaped.replace("\\" + quote, quote)
+    assert got[3] == texts[3:4] and got[4] == ["x", quote + "a" * n, "y"] and got[6] == ["a", "b"]
