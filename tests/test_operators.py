@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assayer.functions import scalars as S
 from assayer.operators import batch as B, dedup, guidelines as G, lookup, matching as M, parser as P, reshape as R, stats as T
 from assayer.operators.components import components
+from assayer.plans import ratings
 
 
 def test_components_of_random_graphs_chains_and_stars(spark):
@@ -238,3 +239,18 @@ def test_manova_and_gap(spark):
     assert row.n == 100 and abs(row.wilks - np.linalg.det(within) / np.linalg.det(total)) < 1e-9 and abs(row.pillai - np.trace((total - within) @ np.linalg.inv(total))) < 1e-9
     gaps = T.bootstrap_gap(spark.createDataFrame([("k", f"c{i % 9}", i % 2 == 0, float(i % 2 == 0)) for i in range(90)], "k string, c string, s boolean, v double"), ["k"], "c", "s", "v").first()
     assert gaps.gap == gaps.low == gaps.high == 1.0
+
+
+def test_normality_of_many_values_takes_all_of_them(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.round(rng.normal(size=7000) * 2), np.arange(8, 60), [-40.0, 90.0]])
+    few = np.round(rng.normal(size=300) * 2)
+    rows = [("m", "many", float(v)) for v in x] + [("m", "few", float(v)) for v in few] + [("m", "same", 1.0)] * 6000
+    monkeypatch.setattr(ratings, "rating_long", lambda t: spark.createDataFrame(rows, "model string, aspect string, delta double"))
+    got = {r.aspect: r for r in ratings.normality(None).collect()}
+    assert abs(got["many"].w - T.shapiro(x)[0]) < 1e-9 and got["many"].p is None
+    w, p = T.shapiro(few)
+    assert abs(got["few"].w - w) < 1e-12 and abs(got["few"].p - p) < 1e-12
+    assert got["same"].p is None and (got["same"].w is None or np.isnan(got["same"].w))
+    p = np.concatenate([[1e-12, 1e-7, 0.3, 0.5, 0.999], rng.random(200)])
+    assert np.allclose(T._normal_quantiles(p), [T._normal_quantile(v) for v in p], rtol=1e-12, atol=1e-14)
