@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.operators.lookup import lookup_join
 from assayer.operators.reshape import first_per_key
 
 #: Credit of a pair by relation, in the order from best to worst. Fixed values.
@@ -173,6 +174,45 @@ def flag_consistency(pairs: DataFrame, flags: list[str]) -> DataFrame:
     return pairs.agg(*counts).selectExpr(f"stack({len(flags)}, " + ", ".join(f"'{f}', n_{f}, s_{f}" for f in flags) + ") AS (flag, n, share)")
 
 
+def similar_pairs(df: DataFrame, key: str, group: str, vector: str, least: float = 0.40, block: int = 1000) -> DataFrame:
+    """left_id, right_id, cosine of every two rows of a group, the smaller key left, whose cosine is ``least`` or more.
+
+    The rows of a group are spread over blocks of about ``block`` rows and each two blocks meet in one task, so no task holds more than two blocks,
+    whatever the size of a group; every pair is compared. Rows without a group, vectors that are null, hold a null or a NaN or have no length, and pairs
+    of different dimensions have no cosine. Repeated rows give repeated pairs.
+    """
+    kind = dict(df.dtypes)[key]
+    rows = df.select(F.col(key).alias("__id"), F.col(group).alias("__g"), F.col(vector).cast("array<double>").alias("__v"))
+    rows = rows.where(F.col("__id").isNotNull() & F.col("__g").isNotNull() & F.forall("__v", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("__v", lambda x: x != 0)).withColumn("__d", F.size("__v"))
+    sizes = rows.groupBy("__g", "__d").agg(F.count("*").alias("__n")).withColumn("__blocks", F.ceil(F.col("__n") / block).cast("int"))
+    placed = lookup_join(rows, sizes, ["__g", "__d"], "__n", rows.count()).withColumn("__b", F.pmod(F.xxhash64("__id"), F.col("__blocks")).cast("int"))
+    b = F.col("__b")
+    spots = F.concat(
+        F.transform(F.sequence(b, F.col("__blocks") - 1), lambda j: F.struct(b.alias("__i"), j.alias("__j"), F.lit(True).alias("__left"))),
+        F.transform(F.sequence(F.lit(0), b), lambda i: F.struct(i.alias("__i"), b.alias("__j"), F.lit(False).alias("__left"))),
+    )
+
+    def meet(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        sides = []
+        for part in (pdf[pdf["__left"]], pdf[~pdf["__left"]]):
+            m = np.stack(part["__v"].to_numpy()) if len(part) else np.zeros((0, key[1]))
+            sides.append((part["__id"].to_numpy(), m / np.sqrt((m * m).sum(1))[:, None]))
+        (x, left), (y, right) = sides
+        cosine = left @ right.T
+        at = np.nonzero(cosine >= least)
+        x, y, c = x[at[0]], y[at[1]], cosine[at]
+        # Inside one block each pair is met from both sides.
+        keep = x < y if key[2] == key[3] else x != y
+        return pd.DataFrame({"left_id": np.where(x < y, x, y)[keep], "right_id": np.where(x < y, y, x)[keep], "cosine": c[keep]})
+
+    by = ["__g", "__d", "__i", "__j"]
+    met = placed.select("__g", "__d", "__id", "__v", F.explode(spots).alias("s")).select("__g", "__d", "s.*", "__id", "__v")
+    return met.groupBy(*by).applyInPandas(meet, f"left_id {kind}, right_id {kind}, cosine double")
+
+
 def comment_pairs(experts: DataFrame, models: DataFrame, model: str, task: str = "screen_task_id", most: int = 200) -> DataFrame:
     """Every expert comment with every model comment of its task: pair_id and both sides' columns.
 

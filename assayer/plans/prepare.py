@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assayer.functions import scalars as S
-from assayer.operators import reshape as R
+from assayer.operators import matching as M, reshape as R
 from assayer.plans.registry import Registry, Tables
 
 registry = Registry()
@@ -322,7 +322,7 @@ def elementwise_math(t: Tables):
 @query("""SELECT a.vec_id AS left_id, a.next_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM
     (SELECT *, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS next_id FROM embeddings) a JOIN embeddings b ON a.next_id = b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.15""")
 def cosine_candidates(t: Tables):
-    """Given pairs (neighbours by id within a label) that pass the cosine gate."""
+    """Given pairs (neighbours by id within a label) that pass the cosine gate, as its SQL says. Not the candidates of a label: these are cosine_pairs."""
     df = t("embeddings", "vec_id", "label", "embedding")
     pairs = df.select("vec_id", F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id")).alias("right_id")).where("right_id IS NOT NULL")
     left = pairs.join(df.select("vec_id", F.col("embedding").alias("a")), "vec_id")
@@ -330,6 +330,13 @@ def cosine_candidates(t: Tables):
     return both.where("c >= 0.15").select(F.col("vec_id").alias("left_id"), "right_id", F.round("c", 5).alias("cosine"))
 
 
+@query("""SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
+    WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.40""")
+def cosine_pairs(t: Tables):
+    """Every two vectors of a label that pass the reference's gate."""
+    return M.similar_pairs(t("embeddings", "vec_id", "label", "embedding"), "vec_id", "label", "embedding", least=0.40).withColumn("cosine", F.round("cosine", 5))
+
+
 @query("""SELECT event_id, (user_id // 3)::BIGINT AS k, round(value, 6) AS value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS text FROM events WHERE value IS NOT NULL""")
 def epoch_format(t: Tables):
     df = t("events", "event_id", "user_id", "value", "ts").where("value IS NOT NULL")

@@ -241,6 +241,20 @@ def test_manova_and_gap(spark):
     assert gaps.gap == gaps.low == gaps.high == 1.0
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_similar_pairs_are_all_pairs_of_a_group(spark, block):
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 2, [float(x) for x in rng.normal(size=6)]) for i in range(60)]
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, _, v in rows}
+    want = {(a, b): unit[a] @ unit[b] for a, b in itertools.combinations(range(60), 2) if a % 2 == b % 2 and unit[a] @ unit[b] >= 0.4}
+    odd = [(90, 0, None), (91, 0, [0.0] * 6), (92, None, rows[0][2]), (93, 0, [1.0]), (94, 0, [None] * 6), (95, 0, [float("nan")] * 6), (96, 0, [])]
+    df = spark.createDataFrame(rows + odd, "id long, g int, v array<float>")
+    got = M.similar_pairs(df, "id", "g", "v", block=block).collect()
+    assert any(b - a > 2 for a, b in want) and {(r.left_id, r.right_id) for r in got} == set(want) and len(got) == len(want)
+    assert all(abs(r.cosine - want[r.left_id, r.right_id]) < 1e-5 for r in got)
+    assert M.similar_pairs(df.limit(0), "id", "g", "v").count() == 0
+
+
 def test_normality_of_many_values_takes_all_of_them(spark, monkeypatch):
     rng = np.random.default_rng(6)
     x = np.concatenate([np.round(rng.normal(size=7000) * 2), np.arange(8, 60), [-40.0, 90.0]])
