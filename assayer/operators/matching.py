@@ -168,10 +168,10 @@ def finalize_flags(pairs: DataFrame, flags: list[str]) -> DataFrame:
     return pairs
 
 
-def flag_consistency(pairs: DataFrame, flags: list[str]) -> DataFrame:
-    """flag, n, share: how many pairs have the value that follows from their relation, among those where one follows."""
+def flag_consistency(pairs: DataFrame, flags: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """flag, n, share (of each of ``keys``): how many pairs have the value that follows from their relation, among those where one follows."""
     counts = [x for f in flags for x in (F.count(implied(f, F.col("relation"))).alias(f"n_{f}"), F.avg((F.col(f) == implied(f, F.col("relation"))).cast("int")).alias(f"s_{f}"))]
-    return pairs.agg(*counts).selectExpr(f"stack({len(flags)}, " + ", ".join(f"'{f}', n_{f}, s_{f}" for f in flags) + ") AS (flag, n, share)")
+    return pairs.groupBy(*keys).agg(*counts).selectExpr(*keys, f"stack({len(flags)}, " + ", ".join(f"'{f}', n_{f}, s_{f}" for f in flags) + ") AS (flag, n, share)")
 
 
 def similar_pairs(df: DataFrame, key: str, group: str, vector: str, least: float = 0.40, block: int = 1000) -> DataFrame:

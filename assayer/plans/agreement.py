@@ -151,7 +151,7 @@ def judge_latest_valid(t: Tables):
 @query(f"""WITH {VOTE} SELECT pair_id, a.relation AS relation_a, b.relation AS relation_b, a.confidence AS confidence_a, b.confidence AS confidence_b, coalesce(a.relation = b.relation, false) AS agreed
     FROM (SELECT * FROM vote WHERE judge_id = 'j01') a FULL JOIN (SELECT * FROM vote WHERE judge_id = 'j09') b USING (pair_id)""")
 def judge_compare_wide(t: Tables):
-    """Two judges side by side."""
+    """The judges j01 and j09 side by side, as the SQL says; every two judges are in judge_compare_all, and likewise for the other queries over two_judges."""
     return two_judges(t).select("pair_id", "relation_a", "relation_b", "confidence_a", "confidence_b", F.coalesce(F.col("relation_a") == F.col("relation_b"), F.lit(False)).alias("agreed"))
 
 
@@ -167,6 +167,26 @@ def failed_ids(t: Tables):
     return t("judge_votes", "pair_id").distinct().join(votes(t).where("relation IS NOT NULL"), "pair_id", "left_anti")
 
 
+BOTH = f"""{VOTE}, duo AS (SELECT a.pair_id, a.judge_id AS judge_a, b.judge_id AS judge_b, a.relation AS ra, b.relation AS rb, a.confidence AS ca, b.confidence AS cb FROM vote a JOIN vote b ON a.pair_id = b.pair_id AND a.judge_id < b.judge_id)"""
+JUDGES = ("judge_a", "judge_b")
+
+
+def judge_pairs(t: Tables, alone: bool = False) -> DataFrame:
+    """Every two judges that voted on a pair, side by side; no more of a pair than its judges squared. With ``alone`` also the only judge of a pair, with nulls for the other."""
+    columns = ("judge_id", "relation", "confidence", "error")
+    read = votes(t).where("judge_id IS NOT NULL").groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("v"))
+    first = read.select("pair_id", "v", F.posexplode("v").alias("at", "a"))
+    both = first.select("pair_id", "a", F.size("v").alias("n"), F.explode_outer(F.slice("v", F.col("at") + 2, F.size("v"))).alias("b")).where(F.col("b").isNotNull() | (F.lit(alone) & (F.col("n") == 1)))
+    return both.select("pair_id", *(F.col(f"{s}.{c}").alias(f"{'judge' if c == 'judge_id' else c}_{s}") for c in columns for s in ("a", "b")))
+
+
+@query(f"""WITH {BOTH} SELECT pair_id, judge_a, judge_b, ra AS relation_a, rb AS relation_b, ca AS confidence_a, cb AS confidence_b, coalesce(ra = rb, false) AS agreed FROM duo
+    UNION ALL SELECT pair_id, judge_id, NULL, relation, NULL, confidence, NULL, false FROM vote WHERE pair_id IN (SELECT pair_id FROM vote GROUP BY 1 HAVING count(*) = 1)""")
+def judge_compare_all(t: Tables):
+    """Every two judges of a pair side by side, and the only judge of a pair."""
+    return judge_pairs(t, alone=True).select("pair_id", *JUDGES, "relation_a", "relation_b", "confidence_a", "confidence_b", F.coalesce(F.col("relation_a") == F.col("relation_b"), F.lit(False)).alias("agreed"))
+
+
 _FALL = "CASE {x} WHEN 'contradiction' THEN 1 WHEN 'no_match' THEN 2 WHEN 'related_but_different' THEN 3 WHEN 'partial_overlap' THEN 4 WHEN 'equivalent' THEN 5 WHEN 'A_broader' THEN 6 WHEN 'B_broader' THEN 7 ELSE 999 END"
 
 
@@ -182,6 +202,35 @@ def match_finalize(t: Tables):
     return M.finalize(two).select("pair_id", "relation", F.round("confidence", 6).alias("confidence"), "decision_source")
 
 
+@query(f"""WITH {BOTH}, {LBL}, two AS (SELECT duo.*, CASE WHEN l.decision_source = 'manual' THEN l.relation END AS manual FROM duo JOIN lbl l USING (pair_id) WHERE ra IS NOT NULL AND rb IS NOT NULL),
+    s AS (SELECT *, coalesce(cb, -1) > coalesce(ca, -1) OR (coalesce(cb, -1) = coalesce(ca, -1) AND {_FALL.format(x='rb')} < {_FALL.format(x='ra')}) AS second FROM two)
+    SELECT pair_id, judge_a, judge_b, CASE WHEN ra = rb THEN ra WHEN manual IS NOT NULL THEN manual WHEN second THEN rb ELSE ra END AS relation, round(CASE WHEN ra = rb THEN (ca + cb) / 2 WHEN manual IS NOT NULL THEN 1 WHEN second THEN coalesce(cb, -1) ELSE coalesce(ca, -1) END, 6)::DOUBLE AS confidence,
+    CASE WHEN ra = rb THEN 'judge_agreement' WHEN manual IS NOT NULL THEN 'manual_override' ELSE 'confidence_fallback' END AS decision_source FROM s""")
+def match_finalize_all(t: Tables):
+    """match_finalize for every two judges with a valid vote on the pair."""
+    manual = labels(t).select("pair_id", F.when(F.col("decision_source") == "manual", F.col("relation")).alias("manual"))
+    two = judge_pairs(t).where("relation_a IS NOT NULL AND relation_b IS NOT NULL").join(manual, "pair_id")
+    return M.finalize(two).select("pair_id", *JUDGES, "relation", F.round("confidence", 6).alias("confidence"), "decision_source")
+
+
+@query(f"""WITH {BOTH} SELECT judge_a, judge_b, least(ra, rb) || ' | ' || greatest(ra, rb) AS label, count(*)::BIGINT AS n FROM duo WHERE ra <> rb GROUP BY ALL""")
+def disagreement_all(t: Tables):
+    """disagreement_pairs of every two judges."""
+    df = judge_pairs(t).where("relation_a <> relation_b")
+    return df.groupBy(*JUDGES, F.concat_ws(" | ", F.least("relation_a", "relation_b"), F.greatest("relation_a", "relation_b")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {BOTH}, c AS (SELECT judge_a, judge_b, ra, rb, count(*) AS n FROM duo GROUP BY ALL), f AS (SELECT j.judge_a, j.judge_b, x.relation AS relation_a, y.relation AS relation_b FROM (SELECT DISTINCT judge_a, judge_b FROM duo) j, relation_ranks x, relation_ranks y)
+    SELECT f.judge_a, f.judge_b, relation_a, relation_b, coalesce(n, 0)::BIGINT AS n FROM f LEFT JOIN c ON c.judge_a = f.judge_a AND c.judge_b = f.judge_b AND ra = relation_a AND rb = relation_b""")
+def confusion_all(t: Tables):
+    """confusion_fixed_labels of every two judges that voted on a pair."""
+    counts = judge_pairs(t).groupBy(*JUDGES, "relation_a", "relation_b").agg(F.count("*").alias("n"))
+    # Seven labels on either side, from arrays.
+    every = F.array(*(F.lit(r) for r in M.WEIGHTS))
+    full = counts.select(*JUDGES).distinct().select("*", F.explode(every).alias("relation_a")).select("*", F.explode(every).alias("relation_b"))
+    return full.join(counts, [*JUDGES, "relation_a", "relation_b"], "left").select(*JUDGES, "relation_a", "relation_b", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 @query(f"""WITH {VOTE} SELECT least(a.relation, b.relation) || ' | ' || greatest(a.relation, b.relation) AS label, count(*)::BIGINT AS n FROM (SELECT * FROM vote WHERE judge_id = 'j01') a JOIN (SELECT * FROM vote WHERE judge_id = 'j09') b USING (pair_id) WHERE a.relation <> b.relation GROUP BY 1""")
 def disagreement_pairs(t: Tables):
     df = two_judges(t, "inner").where("relation_a <> relation_b")
@@ -405,11 +454,11 @@ _FLAGS_SQL = f"""WITH {VOTE}, {LBL}, two AS (SELECT pair_id, a.relation AS ra, b
     f AS (SELECT pair_id, follows, CASE WHEN manual AND follows IS NOT NULL THEN follows WHEN fa = fb THEN fa WHEN ka AND NOT kb THEN fa WHEN kb AND NOT ka THEN fb ELSE 'disagree' END AS same_usability_problem FROM i)"""
 
 
-def flagged(t: Tables) -> DataFrame:
-    """Pairs read by two judges, whose flags are told from their relations, with the final relation of the labels."""
+def flagged(t: Tables, two: DataFrame) -> DataFrame:
+    """Pairs read by two judges (``two``), whose flags are told from their relations, with the final relation of the labels."""
     problem = lambda r: F.when(r.isin("equivalent", "A_broader"), "yes").when(r.isin("B_broader", "partial_overlap"), "partial").otherwise("no")
     conflict = lambda r: F.when(r == "contradiction", "yes").otherwise("no")
-    two = two_judges(t, "inner").where("relation_a IS NOT NULL AND relation_b IS NOT NULL")
+    two = two.where("relation_a IS NOT NULL AND relation_b IS NOT NULL")
     for s in ("a", "b"):
         r = F.col(f"relation_{s}")
         two = two.withColumn(f"same_usability_problem_{s}", problem(r)).withColumn(f"logical_conflict_{s}", conflict(r))
@@ -419,13 +468,30 @@ def flagged(t: Tables) -> DataFrame:
 
 @query(_FLAGS_SQL + " SELECT pair_id, same_usability_problem FROM f")
 def flag_finalize(t: Tables):
-    return flagged(t).select("pair_id", "same_usability_problem")
+    return flagged(t, two_judges(t, "inner")).select("pair_id", "same_usability_problem")
 
 
 @query(_FLAGS_SQL + " SELECT 'same_usability_problem' AS flag, count(follows)::BIGINT AS n, round(avg((same_usability_problem = follows)::INT), 6) AS share FROM f")
 def flag_consistency(t: Tables):
     """How far the final flags are what the final relations imply."""
-    return M.flag_consistency(flagged(t), FLAGS[:1]).withColumn("share", F.round("share", 6))
+    return M.flag_consistency(flagged(t, two_judges(t, "inner")), FLAGS[:1]).withColumn("share", F.round("share", 6))
+
+
+_FLAGS_ALL = f"""WITH {BOTH}, {LBL}, i AS (SELECT duo.*, l.decision_source = 'manual' AS manual, {_SAME.format(x='ra')} AS fa, {_SAME.format(x='rb')} AS fb, coalesce(l.relation = ra, false) AS ka, coalesce(l.relation = rb, false) AS kb,
+    CASE l.relation WHEN 'equivalent' THEN 'yes' WHEN 'A_broader' THEN 'yes' WHEN 'B_broader' THEN 'yes' WHEN 'partial_overlap' THEN 'partial' WHEN 'related_but_different' THEN 'no' WHEN 'no_match' THEN 'no' END AS follows FROM duo JOIN lbl l USING (pair_id) WHERE ra IS NOT NULL AND rb IS NOT NULL),
+    f AS (SELECT pair_id, judge_a, judge_b, follows, CASE WHEN manual AND follows IS NOT NULL THEN follows WHEN fa = fb THEN fa WHEN ka AND NOT kb THEN fa WHEN kb AND NOT ka THEN fb ELSE 'disagree' END AS same_usability_problem FROM i)"""
+
+
+@query(_FLAGS_ALL + " SELECT pair_id, judge_a, judge_b, same_usability_problem FROM f")
+def flag_finalize_all(t: Tables):
+    """flag_finalize for every two judges with a valid vote on the pair."""
+    return flagged(t, judge_pairs(t)).select("pair_id", *JUDGES, "same_usability_problem")
+
+
+@query(_FLAGS_ALL + " SELECT judge_a, judge_b, 'same_usability_problem' AS flag, count(follows)::BIGINT AS n, round(avg((same_usability_problem = follows)::INT), 6) AS share FROM f GROUP BY ALL")
+def flag_consistency_all(t: Tables):
+    """flag_consistency of every two judges."""
+    return M.flag_consistency(flagged(t, judge_pairs(t)), FLAGS[:1], JUDGES).withColumn("share", F.round("share", 6))
 
 
 @query("""SELECT coalesce(model_short, '(all)') AS model_short, coalesce(relation, '(all)') AS relation, sum(n)::BIGINT AS n FROM (SELECT model_short, coalesce(relation, '(null)') AS relation, count(*) AS n FROM match_pairs GROUP BY ALL) GROUP BY CUBE (model_short, relation)""")

@@ -268,3 +268,19 @@ def test_normality_of_many_values_takes_all_of_them(spark, monkeypatch):
     assert got["same"].p is None and (got["same"].w is None or np.isnan(got["same"].w))
     p = np.concatenate([[1e-12, 1e-7, 0.3, 0.5, 0.999], rng.random(200)])
     assert np.allclose(T._normal_quantiles(p), [T._normal_quantile(v) for v in p], rtol=1e-12, atol=1e-14)
+
+
+def test_every_pair_with_two_valid_votes_is_finalised(spark, folder):
+    from assayer.plans import agreement
+
+    class Without(agreement.Tables):
+        def __call__(self, name, *columns):
+            df = super().__call__(name, *columns)
+            return df.where("judge_id NOT IN ('j01', 'j09')") if name == "judge_votes" else df
+
+    t = Without(spark, folder)
+    valid = agreement.votes(t).where("relation IS NOT NULL").groupBy("pair_id").agg(F.count("*").alias("n")).where("n > 1")
+    want = {r.pair_id: r.n * (r.n - 1) // 2 for r in valid.join(t("match_pairs", "pair_id").distinct(), "pair_id").collect()}
+    for query in (agreement.match_finalize_all, agreement.flag_finalize_all):
+        got = {r.pair_id: r["count"] for r in query(t).groupBy("pair_id").count().collect()}
+        assert want and got == want
