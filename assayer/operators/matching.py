@@ -225,3 +225,25 @@ def comment_pairs(experts: DataFrame, models: DataFrame, model: str, task: str =
     pair_id = F.concat(F.lit(model + "_"), "expert_comment_id", F.lit("_"), F.right("llm_comment_id", F.lit(3)))
     both = experts.join(models, task)
     return both.select(pair_id.alias("pair_id"), *both.columns)
+
+
+def comment_pairs_in_blocks(experts: DataFrame, models: DataFrame, task: str = "screen_task_id", block: int = 1000) -> DataFrame:
+    """Every expert comment with every model comment of its task, whatever the size of the task: pair_id and both sides' columns.
+
+    ``experts`` has expert_comment_id, ``models`` has model_short and llm_comment_id. Both sides of a task are spread over blocks of about ``block``
+    rows, and each two blocks meet under a key of their own, so no key makes more than about ``block`` squared pairs. The pair_id ends with the whole
+    number of the model comment, which is that of comment_pairs up to three digits; its last three alone would repeat in large tasks.
+    """
+    counts = [side.where(F.col(task).isNotNull()).groupBy(task).agg(F.count("*").alias(n)) for side, n in ((experts, "__ne"), (models, "__nm"))]
+    sizes = counts[0].join(counts[1], task)
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+
+    def spread(side: DataFrame, key: str, own: str, other: str, own_block: str, other_block: str) -> DataFrame:
+        placed = lookup_join(side, sizes, [task], own, side.count())
+        return placed.select(*side.columns, F.pmod(F.xxhash64(key), blocks(own)).cast("int").alias(own_block), F.explode(F.sequence(F.lit(0), blocks(other) - 1)).alias(other_block))
+
+    left = spread(experts, "expert_comment_id", "__ne", "__nm", "__i", "__j")
+    right = spread(models, "llm_comment_id", "__nm", "__ne", "__j", "__i")
+    both = left.join(right, [task, "__i", "__j"]).drop("__i", "__j")
+    pair_id = F.concat_ws("_", "model_short", "expert_comment_id", F.regexp_extract("llm_comment_id", "[^_]*$", 0))
+    return both.select(pair_id.alias("pair_id"), *both.columns)

@@ -443,6 +443,15 @@ def pairs_within_critique(t: Tables):
     return both.select("critique_id", "left_pos", "right_pos", "left_comment", F.col("r.c").alias("right_comment"))
 
 
+@query("""SELECT model_short || '_' || expert_comment_id || '_' || regexp_extract(llm_comment_id, '[^_]*$') AS pair_id, model_short, screen_task_id, expert_comment_id, llm_comment_id
+    FROM (SELECT DISTINCT screen_task_id, comment_id AS expert_comment_id FROM human_comments) JOIN (SELECT DISTINCT model_short, screen_task_id, llm_comment_id FROM match_pairs) USING (screen_task_id)""")
+def expert_llm_pairs(t: Tables):
+    """Every reference comment of a task with every model comment of it, tasks of any size included."""
+    experts = t("human_comments", "screen_task_id", F.col("comment_id").alias("expert_comment_id")).distinct()
+    models = t("match_pairs", "model_short", "screen_task_id", "llm_comment_id").distinct()
+    return M.comment_pairs_in_blocks(experts, models).select("pair_id", "model_short", "screen_task_id", "expert_comment_id", "llm_comment_id")
+
+
 # ---- flags
 
 

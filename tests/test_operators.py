@@ -284,3 +284,13 @@ def test_every_pair_with_two_valid_votes_is_finalised(spark, folder):
     for query in (agreement.match_finalize_all, agreement.flag_finalize_all):
         got = {r.pair_id: r["count"] for r in query(t).groupBy("pair_id").count().collect()}
         assert want and got == want
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_pairs_of_large_tasks_in_blocks(spark, block):
+    experts = [("t", f"e{i}") for i in range(205)] + [("u", "e900"), (None, "e901"), ("w", "e902")]
+    models = [("m", "t", f"L_{i:03d}") for i in range(20)] + [("m", "t", "L_1005"), ("k", "u", "L_001"), ("k", None, "L_002"), ("k", "v", "L_003")]
+    df = M.comment_pairs_in_blocks(spark.createDataFrame(experts, "screen_task_id string, expert_comment_id string"), spark.createDataFrame(models, "model_short string, screen_task_id string, llm_comment_id string"), block=block)
+    got = [r.pair_id for r in df.collect()]
+    want = {f"{m}_{e}_{c.split('_')[1]}" for t, e in experts for m, u, c in models if t == u and t}
+    assert len(got) == len(want) == 205 * 21 + 1 and set(got) == want
