@@ -92,12 +92,67 @@ def test_leaks(spark, corpus):
     assert leakage.find_leaks(df, table.limit(0), "doc_id", "text", "item_id", "text").count() == 0
 
 
-def test_blocks_of_items_give_the_same(spark, corpus, monkeypatch):
+def test_shuffled_items_give_the_same(spark, corpus, monkeypatch):
     items, docs, truth = corpus
-    monkeypatch.setattr(leakage, "BLOCK_CHARS", 1500)
-    table = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items.items()], "item_id long, text string")
+    table = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items.items()] + [(100 + i, " ".join(items[0][:18])) for i in range(5)], "item_id long, text string")
     df = spark.createDataFrame([(d, " ".join(ws)) for d, ws in docs.items()], "doc_id long, text string")
-    assert {tuple(r)[:2] for r in leakage.find_leaks(df, table, "doc_id", "text", "item_id", "text").collect()} == truth
+    ask = lambda: {tuple(r) for r in leakage.find_leaks(df, table, "doc_id", "text", "item_id", "text").collect()}
+    whole = ask()
+    assert {r[:2] for r in whole} >= truth and {r[:2] for r in whole if r[1] < 100} == truth
+    monkeypatch.setattr(leakage, "BROADCAST_CHARS", 100)
+    monkeypatch.setattr(leakage, "SHARERS", 2)
+    monkeypatch.setattr(leakage, "BITMAP", 1 << 16)
+    assert ask() == whole
+    monkeypatch.setattr(leakage, "MOST_WORDS", 390)  # in groups of items
+    assert {r[:2] for r in ask()} == {r[:2] for r in whole}
+
+
+def found_in(items, docs):
+    lists = [leakage.words_of(t) for t in items]
+    v = leakage.Vocabulary(sorted({w for ws in lists for w in ws}))
+    table = leakage.Items(list(range(len(items))), [np.array([v.number[w] for w in ws], dtype=np.int64) for ws in lists])
+    return {(d, n) for d, n, *_ in leakage.search(table, [v.read(t) for t in docs])}
+
+
+@pytest.mark.parametrize("length", [15, 16, 18, 20, 30])
+@pytest.mark.parametrize("changed", [0, 1, 2, 3, 4])
+def test_recall_of_changed_passages(length, changed):
+    """Passages with single words changed at places drawn at random, the ends included: recall and precision by length and changes."""
+    rng = np.random.default_rng(length * 10 + changed)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(3000)]
+    weight = 1 / (np.arange(3000) + 2.7)  # word frequencies as in free text
+    often = lambda n: [words[i] for i in rng.choice(3000, n, p=weight / weight.sum())]
+    items = [often(60) for _ in range(80)]
+    docs, truth = [], set()
+    for d in range(240):
+        own = often(150)
+        if d % 3 < 2:
+            n, a = d % 80, int(rng.integers(0, 60 - length + 1))
+            passage = items[n][a : a + length]
+            # No two neighbours: single words.
+            spots = []
+            while len(spots) < changed:
+                k = int(rng.integers(length))
+                if all(abs(k - x) > 1 for x in spots):
+                    spots.append(k)
+            for k in spots:
+                passage[k] = "other" + str(k)
+            own[70:70] = passage
+            truth.add((d, n))
+        docs.append(own)
+    got = found_in([" ".join(x) for x in items], [" ".join(x) for x in docs])
+    assert len(got & truth) >= 0.9 * len(truth), len(got & truth) / len(truth)
+    assert len(got & truth) >= 0.99 * len(got), sorted(got - truth)[:5]
+
+
+def test_templates_are_no_leak():
+    """Sentences of one template with other fillings share most of their words, which say nothing."""
+    rng = np.random.default_rng(4)
+    slot = lambda c: " ".join(f"{c}{rng.integers(40)}" for _ in range(3))
+    fill = lambda: f"moderators of the {slot('w')} desk propose {slot('x')} before dates rather than {slot('y')} beside prices for all users"
+    items, docs = [fill() for _ in range(60)], [fill() for _ in range(60)]
+    got = found_in(items, docs + items)
+    assert {(60 + n, n) for n in range(60)} <= got and len(got) <= 1.01 * 60
 
 
 def test_words_ignore_formatting():
@@ -107,10 +162,12 @@ def test_words_ignore_formatting():
 
 
 def test_damaged_letters_are_read():
-    items = leakage.Items([1], ["lighthouse rental shows tilted prompt"])
+    items = leakage.Vocabulary(["lighthouse", "rental", "shows", "tilted", "prompt"])
     want = items.read("lighthouse rental shows tilted prompt").tolist()
     assert items.read("lighthuse rentall shwos tiltedd pronpt").tolist() == want
     assert items.read("something else").tolist() == [-1, -1]
+    for text in ("Tilted ½ prompt", "5½ shows; LIGHT­HOUSE", "the ½½ ① ﬁ"):
+        assert items.read(text).tolist() == [items._number(w) for w in leakage.words_of(text)]
 
 
 # ---- 10: encodings
