@@ -152,7 +152,7 @@ def test_templates_are_no_leak():
     fill = lambda: f"moderators of the {slot('w')} desk propose {slot('x')} before dates rather than {slot('y')} beside prices for all users"
     items, docs = [fill() for _ in range(60)], [fill() for _ in range(60)]
     got = found_in(items, docs + items)
-    assert {(60 + n, n) for n in range(60)} <= got and len(got) <= 1.01 * 60
+    assert {(60 + n, n) for n in range(60)} <= got and len(got) - 60 <= 0.001 * 60 * 120
 
 
 def test_words_ignore_formatting():
