@@ -1,12 +1,14 @@
 """Texts that were decoded with the wrong character encoding, found and restored.
 
 All adjacent character pairs with a character beyond ASCII are counted over the corpus. A pair is improbable if it adds little to the mutual
-information of neighbours. Runs of improbable pairs are isolated as maximum-scoring segments, and only inside them the inverse mappings are
+information of neighbours, or if it is what the corpus's own characters would look like when wrongly decoded: garbled text is part of the corpus and must not make itself
+probable. Runs of improbable pairs are isolated as maximum-scoring segments, and only inside them the inverse mappings are
 tested: written back with the encoding that was wrongly used and read again with the right one, a run must become likelier under the corpus
 counts by so many bits.
 
-The counts are combined in each task and again before the shuffle. What comes to the driver are the pairs that make up at least 1 / MOST_PAIRS of
-all counted ones, so there are at most MOST_PAIRS, whatever the corpus.
+Everything is told by shares, not by counts, so it does not depend on the size of the corpus. The counts are combined in each task and again before the
+shuffle. What comes to the driver are the pairs that make up at least FLOOR of all counted ones, a million at most, whatever the corpus; a rarer
+pair is worth the same as one that never occurs, so nothing is lost with it.
 """
 
 from __future__ import annotations
@@ -25,15 +27,22 @@ from pyspark.sql import functions as F
 
 from assayer.session import cut_lineage
 
-MOST_PAIRS = 1_000_000
+#: Share of all counted pairs from which a pair is told from one that never occurs.
+FLOOR = 1e-6
+#: Pairs that are counted in a task before they are passed on.
+HELD_PAIRS = 1_000_000
 #: Bits of mutual information (of all pairs) under which a pair is improbable.
 PROBABLE_BITS = 2e-3
 #: Scores of the segments: an improbable pair, a probable one, a pair of ASCII characters between them; a segment ends where it falls this low.
 UNLIKELY, LIKELY, PLAIN, DROP = 1.0, -1.0, -0.34, -2.0
 #: Bits that a restored run must gain, in all and by changed character, for UTF-8 read as something else and for two single-byte encodings mixed up.
-GAIN_UTF8, GAIN_SINGLE, GAIN_BY_CHARACTER = 9.0, 12.0, 5.0
-#: A longer quotation is not a label.
-LABEL = 60
+GAIN_UTF8, GAIN_SINGLE, GAIN_BY_CHARACTER = 9.0, 9.5, 4.0
+#: Two single-byte encodings are mixed up all over a corpus if so many of the commonest pairs of the right reading, at most and at least, have a wrong one, and
+#: what share of them must; a wrong pair counts from this share of the right one's number.
+COMMONEST, SEEN_WRONG, WRONG_SHARE = (40, 8), 0.7, 0.002
+
+#: Most words of a label.
+LABEL_WORDS = 4
 
 #: Encodings that texts are wrongly read with, and single-byte ones that they were written in.
 WRONG = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "cp437", "cp850", "cp852", "cp866", "mac_roman", "koi8_r", "iso8859_2", "iso8859_15")
@@ -44,7 +53,9 @@ WRITTEN_WIDE = ("euc_jp", "shift_jis", "gb18030", "big5", "euc_kr")
 
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}")
 _ENTITIES = re.compile(r"(?:&#(?:x[0-9a-fA-F]{2,6}|[0-9]{3,7});)+")
-_QUOTES = re.compile(r"“[^“”\n]{1,%d}”|«[^«»\n]{1,%d}»|„[^„“”\n]{1,%d}[“”]|‘[^‘’\n]{1,%d}’|\"[^\"\n]{1,%d}\"" % ((LABEL,) * 5))
+#: Marks that set something off; straight double quotes also enclose whole texts and are none of them.
+_SET_OFF = re.compile(r"“[^“”\n]*”|«[^«»\n]*»|„[^„“”\n]*[“”]|‘[^‘’\n]*’|\([^()\n]*\)")
+_SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*(?=[\s,}\]]|$)|[\n\r]")
 
 
 @cache
@@ -74,6 +85,27 @@ def remap(wrong: str, written: str) -> dict[int, str]:
     return out
 
 
+@cache
+def moved(wrong: str, written: str) -> frozenset[str]:
+    """The characters that ``remap`` changes."""
+    return frozenset(map(chr, remap(wrong, written)))
+
+
+class _Bytes(dict):
+    """A translation table of characters to their bytes; what has none becomes a blank."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = 0x20
+        return 0x20
+
+
+@cache
+def as_bytes(encoding: str) -> tuple[_Bytes, frozenset[str]]:
+    """The table of ``to_byte``, and the characters that can begin a UTF-8 sequence."""
+    table = to_byte(encoding)
+    return _Bytes({ord(ch): b for ch, b in table.items()}), frozenset(ch for ch, b in table.items() if 0xC2 <= b < 0xF5)
+
+
 def _chunks(texts: pd.Series, size: int = 2_000_000) -> Iterator[str]:
     """The texts, set apart by line breaks, in pieces of about ``size`` characters; a text is never cut."""
     held, n = [], 0
@@ -101,7 +133,7 @@ def count_pairs(docs: DataFrame) -> DataFrame:
                 at = np.flatnonzero(wide[:-1] | wide[1:])
                 keys, n = np.unique((codes[at] << 21) | codes[at + 1], return_counts=True)
                 pairs.update(dict(zip(keys.tolist(), n.tolist())))
-            if len(pairs) > MOST_PAIRS:
+            if len(pairs) > HELD_PAIRS:
                 yield _frame(pairs)
                 pairs = Counter()
         yield _frame(pairs)
@@ -119,24 +151,64 @@ def count_pairs(docs: DataFrame) -> DataFrame:
 class Pairs:
     """The corpus counts of pairs, with what is drawn from them."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, n: np.ndarray):
+    def __init__(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, total: int | None = None):
         single = b < 0
-        counts = dict(zip(a[single].tolist(), n[single].tolist()))
+        self.counts = dict(zip(a[single].tolist(), n[single].tolist()))
         a, b, n = a[~single], b[~single], n[~single]
-        self.whole = max(sum(counts.values()), 1)
+        self.whole = max(sum(self.counts.values()), 1)
+        #: All counted pairs, those too rare to be given here included.
+        self.total = max(int(n.sum()) if total is None else total, 1)
         keys = (a << 21) | b
         order = np.argsort(keys)
-        self.keys, self.n = keys[order], n[order]
-        na, nb = (np.array([counts.get(x, 1) for x in v.tolist()], dtype=float) for v in (a[order], b[order]))
-        p = self.n / self.whole
-        bits = p * np.log2(np.maximum(self.n * self.whole / np.maximum(na * nb, 1), 1e-9))
+        self.keys, n = keys[order], n[order]
+        na, nb = (np.array([self.counts.get(x, 1) for x in v.tolist()], dtype=float) for v in (a[order], b[order]))
         # Relative to the pairs that are counted at all: the share of plain ASCII in the corpus must not matter.
-        self.probable = bits >= PROBABLE_BITS * self.n.sum() / self.whole if len(p) else np.array([], dtype=bool)
-        self.bits = dict(zip(self.keys.tolist(), np.log2(self.n + 0.5).tolist()))
-        self.counts = counts
+        bits = n / self.total * np.log2(np.maximum(n * self.whole / np.maximum(na * nb, 1), 1e-9))
+        garbled = self._garbled(n) | self._mixed_up(n)
+        self.probable = (bits >= PROBABLE_BITS) & ~garbled
+        share = np.where(garbled, 0.0, n / self.total)
+        self.cost_of = dict(zip(self.keys.tolist(), (-np.log2(np.maximum(share, FLOOR))).tolist()))
+        self.unseen = -math.log2(FLOOR)
         #: Runs that were tested, with their result: the same phrases come again and again.
         self.tested: dict[tuple[str, str, str], tuple[str | None, tuple[str, str] | None]] = {}
 
+    def _garbled(self, n: np.ndarray) -> np.ndarray:
+        """Whether a pair is what characters of the corpus, as UTF-8, look like when read wrongly; such a pair is no more frequent than they are."""
+        of: Counter = Counter()
+        for code, count in self.counts.items():
+            if code > 0x7F and not 0xD800 <= code < 0xE000:
+                data = chr(code).encode()
+                of.update(dict.fromkeys((pair for wrong in WRONG for pair in _read_wrongly(data, wrong)), count))
+        return np.array([x <= of[k] for k, x in zip(self.keys.tolist(), n.tolist())], dtype=bool)
+
+    def _mixed_up(self, n: np.ndarray) -> np.ndarray:
+        """Whether a pair is the wrong reading of a commoner one under encodings that are mixed up all over the corpus: most common pairs have such a wrong reading."""
+        out = np.zeros(len(n), dtype=bool)
+        if not len(n):
+            return out
+        a, b = self.keys >> 21, self.keys & 0x1FFFFF
+        by_number = np.argsort(-n, kind="stable")
+        for wrong in WRONG:
+            for written in WRITTEN:
+                table = {ord(v): k for k, v in remap(wrong, written).items()} if wrong != written else {}
+                if not table:
+                    continue
+                # From the right reading to the wrong one; characters that both encodings have in one place stay.
+                to = np.arange(0x250, dtype=np.int64) if max(table) < 0x250 else np.arange(max(table) + 1, dtype=np.int64)
+                to[list(table)] = list(table.values())
+                inside = (a < len(to)) & (b < len(to))
+                x, y = to[np.where(inside, a, 0)], to[np.where(inside, b, 0)]
+                moved = inside & ((x != a) | (y != b))
+                common = by_number[moved[by_number]][: COMMONEST[0]]
+                if len(common) < COMMONEST[1]:
+                    continue
+                place = np.minimum(np.searchsorted(self.keys, (x << 21) | y), len(self.keys) - 1)
+                there = moved & (self.keys[place] == ((x << 21) | y))
+                seen = there[common] & (n[place[common]] >= np.maximum(2, WRONG_SHARE * n[common])) & (n[place[common]] <= n[common])
+                if seen.mean() >= SEEN_WRONG:
+                    out[place[there & (n[place] <= n)]] = True
+        return out
+
     def unlikely(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Whether the pairs of ``codes`` that begin ``at`` are improbable."""
         key = (codes[at] << 21) | codes[at + 1]
@@ -147,11 +219,29 @@ class Pairs:
 
     def cost(self, text: str) -> float:
         """The bits that the pairs of ``text`` with a character beyond ASCII take; a pair of ASCII characters takes what such pairs take at a usual place."""
-        get, total, usual = self.bits.get, 0.0, math.log2(self.whole)
+        get, total, unseen = self.cost_of.get, 0.0, self.unseen
         for x, y in zip(text, text[1:]):
-            total += usual - get((ord(x) << 21) | ord(y), -1.0) if x > "\x7f" or y > "\x7f" else 7.0
+            total += get((ord(x) << 21) | ord(y), unseen) if x > "\x7f" or y > "\x7f" else 7.0
         return total
 
+    def known(self, text: str, least: int) -> bool:
+        """Whether all characters of ``text`` occur in the corpus, ``least`` times in a hundred million and at least so often."""
+        least = max(least, least * self.whole / 1e8)
+        return all(ch < "\x80" or self.counts.get(ord(ch), 0) >= least for ch in text)
+
+
+def _read_wrongly(data: bytes, wrong: str) -> set[int]:
+    """The pairs of characters that ``data`` gives when read as ``wrong``; a byte without a character may stand for itself."""
+    kinds = []
+    for byte in data:
+        forms = {byte} if byte < 0xA0 else set()
+        try:
+            forms.add(ord(bytes([byte]).decode(wrong)))
+        except UnicodeDecodeError:
+            pass
+        kinds.append(forms)
+    return {(x << 21) | y for left, right in zip(kinds, kinds[1:]) for x in left for y in right}
+
 
 def segments(codes: np.ndarray, pairs: Pairs) -> list[tuple[int, int]]:
     """The maximum-scoring segments of improbable pairs, as (first character, end)."""
@@ -187,8 +277,7 @@ def segments(codes: np.ndarray, pairs: Pairs) -> list[tuple[int, int]]:
 
 def _utf8(text: str, wrong: str) -> tuple[str, int]:
     """``text`` with the sequences that are UTF-8 read as ``wrong`` put right, and their number."""
-    table = to_byte(wrong)
-    data = bytes(table.get(ch, 0x20) for ch in text)
+    data = text.translate(as_bytes(wrong)[0]).encode("latin-1")
     out, done, n = [], 0, 0
     for m in _UTF8.finditer(data):
         try:
@@ -215,15 +304,18 @@ def restored(run: str, before: str, after: str, pairs: Pairs) -> tuple[str | Non
 
 def _restored(run: str, before: str, after: str, pairs: Pairs) -> tuple[str | None, tuple[str, str] | None]:
     now, found, mapping = run, None, None
-    for _ in range(3):  # wrongly decoded up to three times over
+    while True:  # wrongly decoded several times over; each time must gain bits, so this ends
         cost = pairs.cost(before + now + after)
         best, best_gain = None, 0.0
-        wide = sum(ch > "\x7f" for ch in now)
+        wide = [ch for ch in now if ch > "\x7f"]
+        kinds = set(wide)
         for wrong in WRONG:
+            if as_bytes(wrong)[1].isdisjoint(kinds):
+                continue
             right, n = _utf8(now, wrong)
-            if n and (gain := cost - pairs.cost(before + right + after)) >= GAIN_UTF8 and gain > best_gain and _known(right, pairs, 1):
+            if n and (gain := cost - pairs.cost(before + right + after)) >= GAIN_UTF8 and gain > best_gain and pairs.known(right, 1):
                 best, best_gain, mapping = right, gain, (wrong, "utf-8")
-        if any("⺀" <= ch for ch in now):
+        if any("⺀" <= ch for ch in kinds):
             for wrong in WIDE:
                 try:
                     right = now.encode(wrong).decode("utf-8")
@@ -231,10 +323,10 @@ def _restored(run: str, before: str, after: str, pairs: Pairs) -> tuple[str | No
                     continue
                 if (gain := cost - pairs.cost(before + right + after)) >= GAIN_UTF8 and gain > best_gain:
                     best, best_gain = right, gain
-        if best is None and found is None and wide >= 4:
+        if best is None and found is None and len(wide) >= 4:
             for wrong in WRONG:
                 table = to_byte(wrong)
-                if any(ch > "\x7f" and ch not in table for ch in now):
+                if any(ch not in table for ch in kinds):
                     continue
                 data = bytes(table.get(ch, ord(ch) & 0x7F) for ch in now)
                 for written in WRITTEN_WIDE:
@@ -242,19 +334,17 @@ def _restored(run: str, before: str, after: str, pairs: Pairs) -> tuple[str | No
                         right = data.decode(written)
                     except UnicodeDecodeError:
                         continue
-                    if (gain := cost - pairs.cost(before + right + after)) >= GAIN_SINGLE and gain > best_gain and _known(right, pairs, 2):
+                    if (gain := cost - pairs.cost(before + right + after)) >= GAIN_SINGLE and gain > best_gain and pairs.known(right, 2):
                         best, best_gain = right, gain
         if best is None and found is None:
             for wrong in WRONG:
                 for written in WRITTEN:
-                    if wrong == written:
-                        continue
-                    right = now.translate(remap(wrong, written))
-                    changed = sum(x != y for x, y in zip(now, right))
-                    if not changed or changed < wide:
+                    # All characters beyond ASCII must change.
+                    if wrong == written or not wide or not kinds <= moved(wrong, written):
                         continue
+                    right, changed = now.translate(remap(wrong, written)), len(wide)
                     gain = cost - pairs.cost(before + right + after)
-                    if gain >= max(GAIN_SINGLE, GAIN_BY_CHARACTER * changed) and gain > best_gain and _known(right, pairs, 5) and _joined(now, before + right + after, len(before)):
+                    if gain >= max(GAIN_SINGLE, GAIN_BY_CHARACTER * changed) and gain > best_gain and pairs.known(right, 5) and _joined(now, before + right + after, len(before)):
                         best, best_gain, mapping = right, gain, (wrong, written)
         if best is None:
             return found, mapping
@@ -280,10 +370,6 @@ def _script(ch: str) -> int:
     return 0 if code < 0x250 else 1 if 0x370 <= code < 0x400 else 2 if 0x400 <= code < 0x530 else code >> 8
 
 
-def _known(text: str, pairs: Pairs, least: int) -> bool:
-    return all(ch < "\x80" or pairs.counts.get(ord(ch), 0) >= least for ch in text)
-
-
 def repair(text: str, pairs: Pairs) -> tuple[bool, bool, str]:
     """Whether ``text`` was decoded wrongly, whether all of that could be restored, and the text with what could be."""
     plain = text.isascii()
@@ -299,24 +385,38 @@ def repair(text: str, pairs: Pairs) -> tuple[bool, bool, str]:
     if not wrong and not lost:
         return False, True, text
     # Labels quoted from an app are none of the text's own damage.
-    quotes = [(m.start(), m.end(), m.group()) for m in _QUOTES.finditer(opened)]
-    own = [s for s in (*((a, b, r) for a, b, r in wrong), *((i, i + 1, None) for i in lost)) if not _label(s, quotes, opened)]
+    own = [s for s in (*wrong, *((i, i + 1, None) for i in lost)) if not _label(s, opened)]
     if not own:
         return False, True, text
     return True, not lost, whole
 
 
-def _label(spot: tuple[int, int, str | None], quotes: list[tuple[int, int, str]], text: str) -> bool:
+def _label(spot: tuple[int, int, str | None], text: str) -> bool:
+    """Whether what is garbled at ``spot`` is a label that the text speaks of: set off by intact marks that hold LABEL_WORDS words at most, or
+    followed or preceded in the same sentence by the same words rightly written."""
     a, b, right = spot
-    core_a, core_b = a, b
-    for x, y, quoted in quotes:
-        if x <= core_a + 1 and core_b - 1 <= y and x < core_b:
-            if quoted[0] != '"':
-                return True
-            inner = quoted[1:-1]
-            if right is not None and text.count(inner[: max(a - x - 1, 0)] + right.strip(quoted[0])) and len(inner) < LABEL // 2:
+    for m in _SET_OFF.finditer(text, max(a - 400, 0), b + 400):
+        if m.start() <= a and b <= m.end() or m.start() < b - 1 and a <= m.start() + 1 and b <= m.end() + 1:
+            if len(m.group().split()) <= LABEL_WORDS:
                 return True
-    return False
+    if right is None:
+        return False
+    # Blanks that a segment took in do not belong to the word.
+    run = text[a:b]
+    a, b, right = a + len(run) - len(run.lstrip()), b - len(run) + len(run.rstrip()), right.strip()
+    x = a
+    while x > 0 and not text[x - 1].isspace():
+        x -= 1
+    y = b
+    while y < len(text) and not text[y].isspace():
+        y += 1
+    word = (text[x:a] + right + text[b:y]).strip(".,;:!?()[]{}\"'“”«»„‘’")
+    if not word or len(word) == 1 and word.isalnum():
+        return False
+    begin = max((m.end() for m in _SENTENCE.finditer(text, max(x - 1000, 0), x)), default=max(x - 1000, 0))
+    end = _SENTENCE.search(text, b)
+    rest = text[begin:x] + "\n" + text[y : end.start() if end else len(text)]
+    return re.search(rf"(?<!\w){re.escape(word)}(?!\w)", rest) is not None
 
 
 def _repair(text: str, pairs: Pairs) -> tuple[str, list[tuple[int, int, str]]]:
@@ -344,7 +444,7 @@ def _repair(text: str, pairs: Pairs) -> tuple[str, list[tuple[int, int, str]]]:
     pieces.append((text[done:], False))
     if mappings:
         # What was read wrongly once in a text was so throughout: weaker evidence is enough for the same mapping.
-        for found, _ in mappings.most_common(2):
+        for found, _ in mappings.most_common():
             pieces = [(p if put_right else _BEYOND.sub(lambda m, p=p, found=found: _again(m, p, found, pairs), p), put_right) for p, put_right in pieces]
     return "".join(p for p, _ in pieces), wrong
 
@@ -361,11 +461,12 @@ def _again(m: re.Match, text: str, mapping: tuple[str, str], pairs: Pairs) -> st
 
 
 def corpus_pairs(docs: DataFrame) -> Pairs:
-    """The counts over the texts of ``docs``: pairs that make up 1 / MOST_PAIRS of all at least, and all single characters of these."""
+    """The counts over the texts of ``docs``: pairs that make up FLOOR of all at least, and all single characters."""
     counted = cut_lineage(count_pairs(docs))
     total = counted.where("b >= 0").agg(F.sum("n")).first()[0] or 0
-    kept = counted.where((F.col("b") < 0) | (F.col("n") * MOST_PAIRS >= total)).toPandas()
-    return Pairs(*(kept[c].to_numpy(dtype=np.int64) for c in ("a", "b", "n")))
+    # At most 1 / FLOOR pairs, and as many characters as there are.
+    kept = counted.where((F.col("b") < 0) | (F.col("n") >= FLOOR * total)).toPandas()
+    return Pairs(*(kept[c].to_numpy(dtype=np.int64) for c in ("a", "b", "n")), total)
 
 
 def find_garbled(docs: DataFrame, key: str, text: str) -> DataFrame:

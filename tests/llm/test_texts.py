@@ -236,3 +236,40 @@ def test_references_to_garbled_characters(spark, clean):
     rows = [(i, t) for i, t in enumerate([*clean.values()] * 40)] + [(999, spoiled)]
     got = encoding.find_garbled(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
     assert [(r.doc_id, r.restored) for r in got] == [(999, clean["en"])]
+
+
+@pytest.mark.parametrize(("size", "share"), [(180, 0.03), (1800, 0.001), (1800, 0.03), (1800, 0.2), (12000, 0.0005), (12000, 0.2)])
+def test_garbled_share_at_every_size(spark, clean, size, share):
+    """UTF-8 read as something else is found in small and large corpora, whether it is rare or frequent."""
+    rng = random.Random(size)
+    langs = ["de", "fr", "es", "en", "pl", "pt"]
+    wanted = max(1, int(size * share))
+    rows, truth = [], set()
+    for i in range(size):
+        lang = rng.choice(langs)
+        text = " ".join(rng.sample(clean[lang].split(), 12)) + f" {i}"
+        if i < wanted and not text.isascii():
+            text = spoil(text, "utf-8", ["cp1252", "mac_roman", "cp437"][i % 3])
+            truth.add(i)
+        rows.append((i, text))
+    got = {r.id for r in encoding.find_garbled(spark.createDataFrame(rows, "id long, text string").repartition(4), "id", "text").collect()}
+    assert len(got & truth) >= 0.97 * len(truth) and len(got - truth) <= 0.0005 * size, (len(got & truth), len(truth), len(got - truth))
+
+
+def test_quoted_labels_and_quoted_passages(spark, clean):
+    bad = lambda t: spoil(t, "utf-8", "cp1252")
+    labels = [f"The head reads “{bad('Größe')}” here.", f"Caption broken in the app itself ({bad('Année')}), please fix.", f"It is drawn as {bad('Übersicht')}; it should print Übersicht.", f"Label «{bad('Müde Prüfer')}» is the app's own."]
+    passages = [f"They wrote “{bad('für große Schrift zu schmal, daher wählen viele')}” twice.", f"({bad('Il faudrait préciser l’unité dès le début')})", f"It is drawn as {bad('Übersicht')}. Later it should print Übersicht.", bad("“Größe” or “Länge”")]
+    rows = [*enumerate([*clean.values()] * 30), *((900 + i, t) for i, t in enumerate(labels)), *((950 + i, t) for i, t in enumerate(passages))]
+    got = {r.id for r in encoding.find_garbled(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
+    assert got == {950, 951, 952, 953}
+
+
+def test_mixed_up_all_over_the_corpus(spark, clean):
+    """Windows text read as Mac in a tenth of all texts."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.sample(clean[lang].split(), 14))) for i in range(1500) for lang in [rng.choice(["de", "fr", "es", "pt"])]]
+    truth = {i for i, t in rows if i % 10 == 0 and sum(c > "\x7f" for c in t) >= 2}
+    df = spark.createDataFrame([(i, spoil(t, "cp1252", "mac_roman") if i in truth else t) for i, t in rows], "id long, text string")
+    got = {r.id for r in encoding.find_garbled(df, "id", "text").collect()}
+    assert len(got & truth) >= 0.9 * len(truth) and len(got - truth) <= 2, (len(got & truth), len(truth), len(got - truth))
