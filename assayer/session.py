@@ -32,12 +32,8 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` materialised with ``checkpoint()`` in the shared folder of ``spark.checkpoint.dir``.
-
-    The folder is read from the session. Only where none is set and the master is local (tests) is one made here.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, read from the session. Only where none is set and the master is local (tests) is one made here."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
@@ -45,4 +41,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix=f"assayer-{os.getpid()}-")
         spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` materialised with ``checkpoint()`` in ``shared_folder``."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
