@@ -7,6 +7,8 @@ matching buckets adds the counts and keeps the earlier representative.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,16 +33,21 @@ def canonical_text(text: Column) -> Column:
     Null for a text without a letter or digit.
     """
     parts = F.filter(F.split(text, _FIELD_START), lambda p: p.rlike(r"[\p{L}\p{N}]"))
-    named = (F.size(parts) >= 2) & F.forall(parts, lambda p: p.rlike(_IS_FIELD))
-    by_name = F.array_join(F.array_sort(F.transform(parts, bare_text)), "|")
-    return F.nullif(F.when(named, by_name).otherwise(bare_text(text)), F.lit(""))
+
+    def by_name(parts: Column) -> Column:
+        named = (F.size(parts) >= 2) & F.forall(parts, lambda p: p.rlike(_IS_FIELD))
+        return F.when(named, F.array_join(F.array_sort(F.transform(parts, bare_text)), "|")).otherwise(bare_text(text))
+
+    # The parts are bound to a lambda's variable, so they are worked out once, and only for texts that may hold two fields.
+    several = F.element_at(F.transform(F.array(parts), by_name), 1)
+    return F.nullif(F.when(text.rlike(r"(?s):.*[|;/,\n\r•·].*:"), several).otherwise(bare_text(text)), F.lit(""))
 
 
-def keyed(records: DataFrame, scope: str, text: str, record: str, buckets: int = BUCKETS) -> DataFrame:
-    """``record``, its canonical key and bucket. Records with a null id, or whose scope or text has no letter or digit, are left out."""
+def keyed(records: DataFrame, scope: str, text: str, record: str, buckets: int = BUCKETS, keep: Sequence[str] = ()) -> DataFrame:
+    """``record``, its canonical key and bucket, and the columns ``keep``. Records with a null id, or whose scope or text has no letter or digit, are left out."""
     scope_key = F.nullif(bare_text(unmark(F.col(f"`{scope}`").cast("string"))), F.lit(""))
     key = F.sha2(F.concat(scope_key, F.lit("\n"), canonical_text(F.col(f"`{text}`"))), 256)
-    named = records.select(F.col(f"`{record}`").alias("record"), key.alias("key")).where(F.col("key").isNotNull() & F.col("record").isNotNull())
+    named = records.select(*keep, F.col(f"`{record}`").alias("record"), key.alias("key")).where(F.col("key").isNotNull() & F.col("record").isNotNull())
     return named.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
 
 
@@ -56,7 +63,7 @@ def counted(batch: DataFrame) -> DataFrame:
 def fold(ledger: DataFrame, batch: DataFrame) -> DataFrame:
     """The ledger after a keyed ``batch``: counts added, the smaller record kept. Each batch must be folded in once.
 
-    The join is on bucket and key. A ledger stored by bucket is read for the batch's buckets only (``fold_into``).
+    The join is on bucket and key. A ledger stored by bucket is read and written for the batch's buckets only (``fold_into``).
     """
     new = counted(batch).select("bucket", "key", F.col("copies").alias("n"), F.col("first_record").alias("r"))
     both = ledger.join(new, ["bucket", "key"], "full")
@@ -64,21 +71,50 @@ def fold(ledger: DataFrame, batch: DataFrame) -> DataFrame:
     return both.select("bucket", "key", (F.coalesce("copies", zero) + F.coalesce("n", zero)).alias("copies"), F.least("first_record", "r").alias("first_record"))
 
 
-def fold_into(spark: SparkSession, folder: str, generation: int, batch: DataFrame) -> None:
-    """Folds ``batch`` into the stored ledger ``folder``/g=<generation - 1>, giving ``folder``/g=<generation>.
-
-    Only the batch's buckets are joined; the others are copied as they are. The old generation stays untouched, so a lost executor or a failed
-    write costs a retry and nothing else. Generation 0 is the first batch alone.
+def generations(spark: SparkSession, folder: str) -> dict[int, int]:
+    """The newest committed generation of each bucket of the stored ledger ``folder``."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = lambda path: [s.getPath() for s in system.listStatus(path)] if system.exists(path) else []
+    newest: dict[int, int] = {}
+    for generation in names(file):
+        inside = names(generation)
+        # A write that failed leaves no such mark and is not read.
+        if generation.getName().startswith("g=") and any(p.getName() == "_SUCCESS" for p in inside):
+            number = int(generation.getName()[2:])
+            for bucket in (int(p.getName()[7:]) for p in inside if p.getName().startswith("bucket=")):
+                newest[bucket] = max(number, newest.get(bucket, -1))
+    return newest
+
+
+def stored(spark: SparkSession, folder: str, newest: dict[int, int], record_type: str = "bigint") -> DataFrame:
+    """The rows of the buckets ``newest`` (bucket: generation) of the stored ledger ``folder``."""
+    if not newest:
+        return empty_ledger(spark, record_type)
+    paths = [f"{folder}/g={g}/bucket={b}" for b, g in sorted(newest.items())]
+    read = spark.read.option("basePath", folder).schema(f"key string, copies bigint, first_record {record_type}, g int, bucket int").parquet(*paths)
+    return read.select("bucket", "key", "copies", "first_record")
+
+
+def fold_into(spark: SparkSession, folder: str, batch: DataFrame) -> None:
+    """Folds a keyed ``batch`` into the ledger stored by bucket in ``folder``, which need not exist.
+
+    Only the batch's buckets are read, joined and written, as a new generation of theirs; the others stay as they are, and so do older generations, so
+    a lost executor or a failed write costs a retry and nothing else.
     """
-    target = f"{folder}/g={generation}"
-    if generation == 0:
-        counted(batch).write.mode("overwrite").partitionBy("bucket").parquet(target)
-        return
-    old = spark.read.parquet(f"{folder}/g={generation - 1}").select("bucket", "key", "copies", "first_record")
+    kind = dict(batch.dtypes)["record"]
+    newest = generations(spark, folder)
     # At most BUCKETS numbers.
-    touched = [r.bucket for r in batch.select("bucket").distinct().collect()]
-    ledger = fold(old.where(F.col("bucket").isin(touched)), batch).unionByName(old.where(~F.col("bucket").isin(touched)))
-    ledger.write.mode("overwrite").partitionBy("bucket").parquet(target)
+    touched = {r.bucket for r in batch.select("bucket").distinct().collect()}
+    old = stored(spark, folder, {b: g for b, g in newest.items() if b in touched}, kind)
+    number = max(newest.values(), default=-1) + 1
+    # One file a bucket.
+    fold(old, batch).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/g={number}")
+
+
+def current(spark: SparkSession, folder: str, record_type: str = "bigint") -> DataFrame:
+    """The whole ledger stored in ``folder``."""
+    return stored(spark, folder, generations(spark, folder), record_type)
 
 
 def copies(batch: DataFrame, ledger: DataFrame, total: int) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import canonical, consensus, encoding, leakage, ledger, packing, quota, survivor, topn
 from assayer.llm.sql import SQL
 from assayer.operators.reshape import latest_per_key
+from assayer.session import cut_lineage, shared_folder
 from assayer.sources.tables import table
 
 FIELDS = ("source", "category", "subcategory")
@@ -68,15 +71,16 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _ledger(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, int]:
-    """The keyed comments, the ledger after the older and then the newer half of the time they span, and their number."""
+    """The keyed comments, the stored ledger after the older and then the newer half of the time they span, and their number."""
     rows = table(spark, folder, "human_comments", "record_id", "screen_task_id", "observed_issue", "updated_at")
     span = rows.agg(F.min("updated_at").alias("a"), F.max("updated_at").alias("b"), F.count("*").alias("n")).first()
     newer = F.lit(False) if span.a is None else F.coalesce(F.col("updated_at") >= F.lit(span.a + (span.b - span.a) / 2), F.lit(False))
-    batches = [ledger.keyed(part, "screen_task_id", "observed_issue", "record_id") for part in (rows.where(~newer), rows.where(newer))]
-    kept = ledger.empty_ledger(spark)
-    for batch in batches:
-        kept = ledger.fold(kept, batch)
-    return ledger.keyed(rows, "screen_task_id", "observed_issue", "record_id"), kept, span.n
+    # The keys are worked out once and read again by both batches and by the search for copies.
+    keyed = cut_lineage(ledger.keyed(rows.withColumn("newer", newer), "screen_task_id", "observed_issue", "record_id", keep=["newer"]))
+    place = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    for batch in (keyed.where("NOT newer"), keyed.where("newer")):
+        ledger.fold_into(spark, place, batch)
+    return keyed, ledger.current(spark, place), span.n
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -214,11 +214,27 @@ def test_ledger_in_batches_equals_one_batch(spark, tmp_path):
     for k in range(3):
         batch = ledger.keyed(df.where(F.col("id") % 3 == k), "task", "text", "id", 8)
         parts = ledger.fold(parts, batch)
-        ledger.fold_into(spark, str(tmp_path / "l"), k, batch)
-    stored = spark.read.parquet(str(tmp_path / "l" / "g=2")).select("bucket", "key", "copies", "first_record")
+        ledger.fold_into(spark, str(tmp_path / "l"), batch)
+    stored = ledger.current(spark, str(tmp_path / "l"))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) == sorted(map(tuple, stored.collect()))
     assert whole.agg(F.sum("copies")).first()[0] == 3 * 10
     pairs = {tuple(r) for r in ledger.copies(keyed, whole, len(rows)).collect()}
     same = {(a, b) for b, a in [(1, 0), (2, 0), (3, 0), (11, 0), (5, 4), (12, 0), (13, 0), (14, 0), (15, 0), (23, 0), (16, 4), (17, 4), (18, 6), (19, 7), (22, 10)]}
     assert {p for p in pairs if p[1] < 24} == same
     assert ledger.copies(keyed.limit(0), whole.limit(0), 0).count() == 0
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    folder = str(tmp_path / "l")
+    rows = spark.createDataFrame([(i, "t", f"text {i % 40}") for i in range(80)], "id long, task string, text string")
+    keyed = ledger.keyed(rows, "task", "text", "id", 8)
+    ledger.fold_into(spark, folder, keyed.where("record < 70"))
+    last = keyed.where("record = 75")
+    ledger.fold_into(spark, folder, last)
+    bucket = last.first().bucket
+    assert {p.name for p in (tmp_path / "l" / "g=1").iterdir() if p.is_dir()} == {f"bucket={bucket}"}
+    assert ledger.generations(spark, folder)[bucket] == 1 and ledger.current(spark, folder).agg(F.sum("copies")).first()[0] == 71
+    # A generation without its mark was not written to the end and does not count.
+    (tmp_path / "l" / "g=1" / "_SUCCESS").unlink()
+    assert ledger.current(spark, folder).agg(F.sum("copies")).first()[0] == 70
+    assert ledger.current(spark, str(tmp_path / "none")).count() == 0
