@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` materialised with ``checkpoint()`` in ``shared_folder``."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table written in ``shared_folder``. Unlike a checkpoint it forgets the size estimates of its plan, which multiply with every join of an iteration."""
+    path = f"{shared_folder(df.sparkSession)}/t-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
