@@ -97,7 +97,7 @@ TEXTS = ("observed_issue", "suggested_fix")
 
 
 def _merge_values(spark: SparkSession, folder: str) -> DataFrame:
-    """The usable values of the comments that are merged: group_id, field_name, comment_id, value, dropped, updated_at, comment_source."""
+    """The usable values of the comments that are merged: group_id, field_name, comment_id, value, dropped, updated_at, comment_source, posterior."""
     reviews = table(spark, folder, "dup_reviews", "custom_id", "left_comment_id", "right_comment_id", "recommended_action", "reviewed_at")
     groups, dropped = survivor.merge_groups(reviews, "custom_id", "reviewed_at", "left_comment_id", "right_comment_id", "recommended_action")
     comments = table(spark, folder, "human_comments", "comment_id", "comment_source", *TEXTS, "updated_at")
@@ -105,7 +105,8 @@ def _merge_values(spark: SparkSession, folder: str) -> DataFrame:
     held = comments.join(member, "comment_id").join(dropped.withColumn("dropped", F.lit(1)), "comment_id", "left")
     pairs = ", ".join(f"'{f}', {f}" for f in TEXTS)
     long = held.selectExpr("group_id", "comment_id", "coalesce(dropped, 0) AS dropped", "updated_at", "comment_source", f"stack({len(TEXTS)}, {pairs}) AS (field_name, value)")
-    return survivor.usable_values(long)
+    usable = cut_lineage(survivor.usable_values(long))
+    return survivor.with_posteriors(usable, "comment_source")
 
 
 def p4_survivors(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,12 +122,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_fused(spark: SparkSession, folder: str) -> DataFrame:
     """As p4_survivors, by the posterior of Bayesian fusion with the comments' origin as source."""
-    values = _merge_values(spark, folder)
-    item = F.concat_ws("|", "group_id", "field_name")
-    claims = values.select(item.alias("item"), F.coalesce("comment_source", F.lit("unknown")).alias("source"), "value")
-    fused = survivor.posteriors(claims).select("item", "value", "posterior").distinct()
-    scored = values.withColumn("item", item).join(fused, ["item", "value"])
-    return survivor.survivors(scored, [-F.round("posterior", 9), F.col("dropped")])
+    return survivor.survivors(_merge_values(spark, folder))
 
 
 def _votes(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Groups are the connected components of the merge decisions. Values that are nothing (null, blank, a stand-in, the cut-off beginning of another
 value of the group) are set aside. Among the rest, Bayesian fusion with copy detection gives each value a posterior: sources have accuracies,
 estimated with the posteriors in turns; two sources that share many values nobody else has are taken to copy, and the vote of the one that copies is
-discounted. ``survivors`` takes the value that stands first by ``precedence``, then by posterior; without a precedence, the posterior decides.
+discounted. ``survivors`` takes the value that stands first by ``precedence`` and comment; the posterior decides between different values
+of one comment and, without a precedence, between all.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from assayer.operators.components import components
 from assayer.operators.lookup import lookup_join
-from assayer.session import cut_lineage
+from assayer.session import cut_lineage, written
 
 #: What people write instead of a text. Fixed values.
 STAND_INS = (
@@ -41,65 +42,75 @@ def usable_values(values: DataFrame) -> DataFrame:
     some = values.where(~is_nothing(F.col("value"))).withColumn("text", F.trim(F.regexp_replace("value", r"[\s\p{Z}]+", " ")))
     some = some.withColumn("stem", F.trim(F.regexp_replace("text", _CUT_MARK, "")))
     by = ["group_id", "field_name"]
+    texts = cut_lineage(some.groupBy(*by, "text", "stem").agg(F.count("*").alias("size")))
     # One array per group: as many numbers at most as the longest text has letters.
-    lengths = some.groupBy(*by).agg(F.collect_set(F.length("stem")).alias("lengths"), F.count("*").alias("size"), F.countDistinct("text").alias("texts"))
-    several = lengths.where("texts > 1").select(*by, "lengths", "size")
-    texts = lookup_join(some.select(*by, "text"), several, by, "size", some.count()).select(*by, "text", "lengths").distinct()
-    beginnings = texts.select(*by, "text", F.explode("lengths").alias("n")).where((F.col("n") > 0) & (F.col("n") < F.length("text")))
+    lengths = texts.groupBy(*by).agg(F.collect_set(F.length("stem")).alias("lengths"), F.count("*").alias("texts"))
+    several = lengths.where("texts > 1").select(*by, "lengths", "texts")
+    beginnings = lookup_join(texts.select(*by, "text"), several, by, "texts", texts.count()).select(*by, "text", F.explode("lengths").alias("n"))
     own = F.sha2("text", 256)
-    beginnings = beginnings.select(*by, F.expr("sha2(substring(text, 1, n), 256)").alias("h"), own.alias("of"))
+    # No more of a text than it has letters; the hash spreads a large group.
+    beginnings = beginnings.where((F.col("n") > 0) & (F.col("n") < F.length("text"))).select(*by, F.expr("sha2(substring(text, 1, n), 256)").alias("h"), own.alias("of"))
     # A beginning of two texts is one of another text, whichever is looked at.
     beginnings = beginnings.groupBy(*by, "h").agg(F.min("of").alias("one"), F.max("of").alias("two"))
-    marked = some.withColumn("h", F.sha2("stem", 256)).join(beginnings, [*by, "h"], "left")
-    cut = F.coalesce((F.col("one") != own) | (F.col("two") != own), F.lit(False))
-    return marked.where(~cut).drop("h", "one", "two", "text", "stem")
+    met = texts.withColumn("h", F.sha2("stem", 256)).join(beginnings, [*by, "h"])
+    cut = met.where((F.col("one") != own) | (F.col("two") != own)).select(*by, "text", "size", F.lit(True).alias("cut"))
+    marked = lookup_join(some, cut, [*by, "text"], "size", values.count(), "left")
+    return marked.where("cut IS NULL").drop("size", "cut", "text", "stem")
 
 
-def posteriors(claims: DataFrame, rounds: int = 4, false_values: int = 10, copy_rate: float = 0.8, copy_prior: float = 0.2) -> DataFrame:
+def posteriors(claims: DataFrame, false_values: int = 10, copy_rate: float = 0.8, copy_prior: float = 0.2, settled: float = 0.005, most_rounds: int = 40) -> DataFrame:
     """``claims`` (item, source, value; distinct) with the ``posterior`` of each claim's value among the item's values.
 
     Accuracy of a source: the mean posterior of its claims. A value has the sum of ln(n A / (1 - A)) over its sources, ``false_values`` being n.
     Dependence of two sources: the odds, by Bayes' rule, of the values they share on common items being true (posterior at least one half), false or different, with
     ``copy_rate`` of a copier's values copied; the source with the lower accuracy of the two (ties: the greater name) counts as the copier, and its
-    vote for a shared value is multiplied by 1 - copy_rate * P(dependent). Sources are few and items many: the counts by pair of sources are
-    combined before the shuffle; an item has one claim per source and value, so it makes no more pairs than the matrix of sources has cells.
+    vote for a shared value is multiplied by 1 - copy_rate * P(dependent). The turns end when no accuracy changes by more than ``settled``; after
+    five turns half of each change is taken. It is an error if they do not end in ``most_rounds``.
     """
-    claims = cut_lineage(claims.where("item IS NOT NULL AND source IS NOT NULL AND value IS NOT NULL").select("item", "source", "value").distinct())
+    claims = written(claims.where("item IS NOT NULL AND source IS NOT NULL AND value IS NOT NULL").select("item", "source", "value").distinct())
     n = float(false_values)
-    accuracy = claims.select("source").distinct().withColumn("accuracy", F.lit(0.8))
+    accuracy = written(claims.select("source").distinct().withColumn("accuracy", F.lit(0.8)))
+    said = claims.groupBy("item", "source").agg(F.count("*").alias("c"))
+    # Sources are few and items many: pairs of sources are counted, from one row per item and source and one per value and source.
+    met = written(_pairs_of(said, ["item"], (F.col("c") * F.col("d")).alias("x")).groupBy("s", "t").agg(F.sum("x").alias("met")))
+    shared = written(_pairs_of(claims.withColumn("c", F.lit(1)), ["item", "value"], F.lit(1).alias("x")).select("item", "value", "s", "t"))
     # Before anything is known of the truth, agreeing counts as agreeing on it: only sources that agree beyond their accuracy are then dependent,
     # and copies cannot outvote the rest in the first round.
-    out = claims.withColumn("posterior", F.lit(1.0))
-    copying = cut_lineage(_copying(out, accuracy, n, copy_rate, copy_prior))
-    for _ in range(rounds):
-        votes = claims.join(accuracy, "source")
-        votes = votes.withColumn("vote", F.log(F.lit(n) * F.col("accuracy") / (1 - F.col("accuracy"))))
-        other = claims.select("item", "value", F.col("source").alias("original"))
-        copied = votes.select("item", "value", "source").join(other, ["item", "value"]).join(copying, ["source", "original"])
-        kept = copied.groupBy("item", "value", "source").agg(F.exp(F.sum(F.log(1 - F.lit(copy_rate) * F.col("dependent")))).alias("kept"))
+    value = claims.select("item", "value").distinct().withColumn("posterior", F.lit(1.0))
+    for turn in range(most_rounds):
+        copying = _copying(shared, met, value, accuracy, n, copy_rate, copy_prior)
+        votes = claims.join(accuracy, "source").withColumn("vote", F.log(F.lit(n) * F.col("accuracy") / (1 - F.col("accuracy"))))
+        both = shared.select("item", "value", F.col("s").alias("source"), F.col("t").alias("original")).unionByName(shared.select("item", "value", F.col("t").alias("source"), F.col("s").alias("original")))
+        kept = both.join(copying, ["source", "original"]).groupBy("item", "value", "source").agg(F.exp(F.sum(F.log(1 - F.lit(copy_rate) * F.col("dependent")))).alias("kept"))
         votes = votes.join(kept, ["item", "value", "source"], "left").withColumn("vote", F.col("vote") * F.coalesce("kept", F.lit(1.0)))
         score = votes.groupBy("item", "value").agg(F.sum("vote").alias("score"))
         top = score.groupBy("item").agg(F.max("score").alias("top"))
         share = score.join(top, "item").withColumn("e", F.exp(F.col("score") - F.col("top")))
         whole = share.groupBy("item").agg(F.sum("e").alias("whole"))
-        value = share.join(whole, "item").select("item", "value", (F.col("e") / F.col("whole")).alias("posterior"))
-        out = cut_lineage(claims.join(value, ["item", "value"]))
-        accuracy = out.groupBy("source").agg(F.least(F.greatest(F.avg("posterior"), F.lit(0.05)), F.lit(0.95)).alias("accuracy"))
-        copying = cut_lineage(_copying(out, accuracy, n, copy_rate, copy_prior))
-    return out
-
-
-def _copying(claims: DataFrame, accuracy: DataFrame, n: float, rate: float, prior: float) -> DataFrame:
+        value = written(share.join(whole, "item").select("item", "value", (F.col("e") / F.col("whole")).alias("posterior")))
+        new = claims.join(value, ["item", "value"]).groupBy("source").agg(F.least(F.greatest(F.avg("posterior"), F.lit(0.05)), F.lit(0.95)).alias("new"))
+        # Turns that go back and forth are damped.
+        step = F.lit(1.0 if turn < 5 else 0.5)
+        now = written(accuracy.join(new, "source").select("source", (F.col("accuracy") + step * (F.col("new") - F.col("accuracy"))).alias("accuracy"), F.abs(F.col("new") - F.col("accuracy")).alias("change")))
+        change = now.agg(F.max("change")).first()[0] or 0.0
+        accuracy = now.drop("change")
+        if change <= settled:
+            return claims.join(value, ["item", "value"])
+    raise RuntimeError(f"accuracies still change by {change} after {most_rounds} rounds")
+
+
+def _pairs_of(said: DataFrame, by: list[str], *columns: Column) -> DataFrame:
+    """s < t of each two sources that meet in ``by``, with ``columns`` of their counts c and d. No more of one key than the square of the sources."""
+    left = said.select(*by, F.col("source").alias("s"), "c")
+    right = said.select(*by, F.col("source").alias("t"), F.col("c").alias("d"))
+    return left.join(right, by).where("s < t").select(*by, "s", "t", *columns)
+
+
+def _copying(shared: DataFrame, met: DataFrame, value: DataFrame, accuracy: DataFrame, n: float, rate: float, prior: float) -> DataFrame:
     """source, original, dependent: the probability that ``source`` copies from ``original``."""
-    truth = F.col("posterior") >= 0.5
-    left = claims.select("item", F.col("source").alias("s"), F.col("value").alias("v"), truth.alias("true"))
-    right = claims.select("item", F.col("source").alias("t"), F.col("value").alias("w"))
-    both = left.join(right, "item").where("s < t")
-    counts = both.groupBy("s", "t").agg(
-        F.sum(((F.col("v") == F.col("w")) & F.col("true")).cast("long")).alias("same_true"),
-        F.sum(((F.col("v") == F.col("w")) & ~F.col("true")).cast("long")).alias("same_false"),
-        F.sum((F.col("v") != F.col("w")).cast("long")).alias("different"),
-    )
+    truth = (F.col("posterior") >= 0.5).cast("long")
+    same = shared.join(value, ["item", "value"]).groupBy("s", "t").agg(F.sum(truth).alias("same_true"), F.sum(1 - truth).alias("same_false"))
+    counts = met.join(same, ["s", "t"], "left").na.fill(0, ["same_true", "same_false"]).withColumn("different", F.col("met") - F.col("same_true") - F.col("same_false"))
     with_a = counts.join(accuracy.select(F.col("source").alias("s"), F.col("accuracy").alias("x")), "s").join(accuracy.select(F.col("source").alias("t"), F.col("accuracy").alias("y")), "t")
     a = (F.col("x") + F.col("y")) / 2
     free_true, free_false = a * a, (1 - a) * (1 - a) / n
@@ -124,12 +135,24 @@ def merge_groups(reviews: DataFrame, review: str, at: str, a: str, b: str, actio
     return components(merges), dropped
 
 
+def with_posteriors(values: DataFrame, source: str, unknown: str = "unknown") -> DataFrame:
+    """``values`` with the ``posterior`` of each one in its group and field (see ``posteriors``); a null ``source`` counts as ``unknown``."""
+    item = F.to_json(F.struct("group_id", "field_name"))
+    claims = values.select(item.alias("__item"), F.coalesce(F.col(source), F.lit(unknown)).alias("source"), "value")
+    fused = posteriors(claims.withColumnRenamed("__item", "item")).groupBy("item", "value").agg(F.first("posterior").alias("posterior"))
+    sizes = values.groupBy(item.alias("__item"), "value").agg(F.count("*").alias("__n"))
+    told = fused.select(F.col("item").alias("__item"), "value", "posterior").join(sizes, ["__item", "value"])
+    return lookup_join(values.drop("posterior").withColumn("__item", item), told, ["__item", "value"], "__n", values.count()).drop("__item", "__n")
+
+
 def survivors(values: DataFrame, precedence: Sequence[Column] | None = None) -> DataFrame:
     """The surviving value of each group_id and field_name: group_id, field_name, comment_id, value.
 
-    ``values`` has these columns, those ``precedence`` speaks of and, without one, ``posterior`` (see ``posteriors``). Smaller precedence goes
-    first; equal ones go by the smaller comment_id. It is one aggregate, combined before the shuffle, so a group of any size is taken.
+    ``values`` has these columns, those ``precedence`` speaks of, and ``posterior`` (see ``with_posteriors``). Smaller precedence goes
+    first, then the smaller comment_id, then of one comment's values the one with the greatest posterior; without a precedence the greatest posterior goes
+    first. It is one aggregate, combined before the shuffle, so a group of any size is taken.
     """
-    first = list(precedence) if precedence is not None else [-F.col("posterior")]
-    best = F.min(F.struct(*(c.alias(f"p{i}") for i, c in enumerate(first)), "comment_id", "value"))
+    likely = -F.round("posterior", 9)
+    order = [*precedence, F.col("comment_id"), likely] if precedence is not None else [likely, F.col("comment_id")]
+    best = F.min(F.struct(*(c.alias(f"p{i}") for i, c in enumerate(order)), "comment_id", "value"))
     return values.groupBy("group_id", "field_name").agg(best.alias("b")).select("group_id", "field_name", "b.comment_id", "b.value")

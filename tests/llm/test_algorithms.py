@@ -142,11 +142,41 @@ def test_fusion_finds_accuracies_and_discounts_copies(spark):
     df = spark.createDataFrame(claims, "item string, source string, value string")
     best = survivor.posteriors(df).groupBy("item").agg(F.max_by("value", "posterior").alias("v"))
     right = best.where("v = 't'").count() / 300
+    assert survivor.posteriors(df.unionByName(df)).count() == df.distinct().count()
     votes = df.groupBy("item", "value").count().groupBy("item").agg(F.max_by("value", "count").alias("v")).where("v = 't'").count() / 300
     assert right > 0.7 and right > votes + 0.1
     assert survivor.posteriors(df.limit(0)).count() == 0
 
 
+def test_posterior_of_one_item_by_hand(spark):
+    """Two sources that never meet another claim: accuracies stay at the mean posterior of their claims."""
+    df = spark.createDataFrame([("i", "a", "x"), ("i", "b", "x"), ("i", "c", "y"), ("j", "a", "x"), ("j", "b", "z"), ("j", "c", "z")], "item string, source string, value string")
+    got = {(r.item, r.source): r.posterior for r in survivor.posteriors(df, copy_prior=1e-12).collect()}
+    acc = {"a": 0.8, "b": 0.8, "c": 0.8}
+    for _ in range(60):
+        post = {}
+        for item, claims in {"i": {"x": "ab", "y": "c"}, "j": {"x": "a", "z": "bc"}}.items():
+            e = {v: np.exp(sum(np.log(10 * acc[s] / (1 - acc[s])) for s in who)) for v, who in claims.items()}
+            post |= {(item, s): e[v] / sum(e.values()) for v, who in claims.items() for s in who}
+        acc = {s: (acc[s] + min(max((post["i", s] + post["j", s]) / 2, 0.05), 0.95)) / 2 for s in acc}
+    assert all(abs(got[k] - post[k]) < 0.02 for k in post), (got, post)
+
+
+def test_many_values_of_few_sources_stay_few_pairs(spark):
+    """One group holds all rows: 4,000 values said by two sources."""
+    df = spark.range(4000).select(F.lit("i").alias("item"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("value"))
+    assert survivor.posteriors(df).count() == 4000
+
+
+def test_posterior_decides_between_values_of_one_comment(spark):
+    rows = [("g", "f", "c1", "often", 0, "s1"), ("g", "f", "c1", "seldom", 0, "s1"), ("g", "f", "c2", "often", 1, "s2"), ("g", "f", "c3", "often", 1, "s3")]
+    df = spark.createDataFrame(rows, "group_id string, field_name string, comment_id string, value string, dropped int, source string")
+    values = survivor.with_posteriors(df, "source")
+    assert survivor.survivors(values, [F.col("dropped")]).first().value == "often"
+    assert survivor.survivors(values).first().comment_id == "c1"
+    assert survivor.with_posteriors(df.limit(0), "source").count() == 0
+
+
 # ---- 5: consensus
 
 
