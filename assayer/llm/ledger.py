@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from assayer.functions.text import unmark
 from assayer.operators.lookup import lookup_join
 
-BUCKETS = 256
+BUCKETS = 64
 #: A named field inside a text, "Name: value", after the beginning or a separator.
 _FIELD_START = r"(?=(?:^|[|;/,\n\r•·])[\s\p{Z}\p{P}]*\p{L}{2,20}[\s\p{Z}]*:)"
 _IS_FIELD = r"^[\s\p{Z}\p{P}|]*\p{L}{2,20}[\s\p{Z}]*:"
