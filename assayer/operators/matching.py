@@ -30,11 +30,11 @@ def relation_rank(relation: Column, order: tuple[str, ...] = tuple(WEIGHTS)) ->
     return F.try_element_at(F.create_map(*(F.lit(x) for i, r in enumerate(order) for x in (r, i + 1))), relation)
 
 
-def finalize(pairs: DataFrame) -> DataFrame:
+def finalize(pairs: DataFrame, fallback: bool = True) -> DataFrame:
     """``pairs`` (relation_a, confidence_a, relation_b, confidence_b, manual) with relation, confidence and decision_source.
 
-    The judges' shared relation with their mean confidence; else the manual one with confidence 1; else the surer judge's, ties by FALLBACK, then the
-    first. A missing confidence is less than any.
+    The judges' shared relation with their mean confidence, of those that are there; else the manual one with confidence 1; else, with ``fallback``, the surer
+    judge's, ties by FALLBACK, then the first, and without it nulls and manual_review. A missing confidence is less than any.
     """
     a, b = F.col("relation_a"), F.col("relation_b")
     agreed = F.coalesce(a == b, F.lit(False))
@@ -42,13 +42,25 @@ def finalize(pairs: DataFrame) -> DataFrame:
     ra, rb = (F.coalesce(relation_rank(x, FALLBACK), F.lit(999)) for x in (a, b))
     second = (cb > ca) | ((cb == ca) & (rb < ra))
     manual = F.col("manual").isNotNull()
+    mean = F.coalesce((F.col("confidence_a") + F.col("confidence_b")) / 2, "confidence_a", "confidence_b")
+    relation, confidence = F.when(agreed, a).when(manual, F.col("manual")), F.when(agreed, mean).when(manual, 1.0)
+    if fallback:
+        relation, confidence = relation.otherwise(F.when(second, b).otherwise(a)), confidence.otherwise(F.when(second, cb).otherwise(ca))
     return (
-        pairs.withColumn("relation", F.when(agreed, a).when(manual, F.col("manual")).otherwise(F.when(second, b).otherwise(a)))
-        .withColumn("confidence", F.when(agreed, (F.col("confidence_a") + F.col("confidence_b")) / 2).when(manual, 1.0).otherwise(F.when(second, cb).otherwise(ca)))
-        .withColumn("decision_source", F.when(agreed, "judge_agreement").when(manual, "manual_override").otherwise("confidence_fallback"))
+        pairs.withColumn("relation", relation)
+        .withColumn("confidence", confidence)
+        .withColumn("decision_source", F.when(agreed, "judge_agreement").when(manual, "manual_override").otherwise("confidence_fallback" if fallback else "manual_review"))
     )
 
 
+def valid_manual(manual: DataFrame, relation: str = "manual") -> DataFrame:
+    """``manual`` decisions, if each is null or one of WEIGHTS; an error that names some of the others, otherwise."""
+    wrong = manual.where(~F.col(relation).isin(*WEIGHTS)).select(relation).distinct().limit(5).collect()
+    if wrong:
+        raise ValueError(f"invalid manual relations: {[r[0] for r in wrong]}")
+    return manual
+
+
 def best_ranked(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """The pair of best relation of each key: rank, then confidence, then the smaller pair_id. Unknown relations take no part."""
     ranked = pairs.withColumn("__rank", relation_rank(F.col("relation"))).where("__rank IS NOT NULL")

@@ -77,15 +77,15 @@ def low_iou_audit(t: Tables):
     return reviewed_boxes(t).where(F.col("action").isin("keep_a", "keep_b") & (F.coalesce("iou", F.lit(0.0)) < 0.2)).select("custom_id", "action")
 
 
-@query(f"""WITH RECURSIVE c AS (SELECT comment_id AS k, screen_task_id || '|' || regexp_replace(lower(observed_issue), '[^a-z0-9]+', '', 'g') AS g, {_BOX} FROM (SELECT *, bounding_box AS b FROM human_comments) WHERE trim(observed_issue) <> '' AND screen_task_id IS NOT NULL),
+@query(f"""WITH RECURSIVE c AS (SELECT comment_id AS k, screen_task_id || '|' || regexp_replace(lower(observed_issue), '[^\\pL\\pN]+', '', 'g') AS g, {_BOX} FROM (SELECT *, bounding_box AS b FROM human_comments) WHERE regexp_matches(observed_issue, '[\\pL\\pN]') AND screen_task_id IS NOT NULL),
     e AS (SELECT l.k AS a, r.k AS b FROM c l JOIN c r ON l.g = r.g AND l.k <> r.k WHERE (NOT coalesce(l.ok, false) AND NOT coalesce(r.ok, false)) OR (l.ok AND r.ok AND (greatest(0, least(l.x1, r.x1) - greatest(l.x0, r.x0)) * greatest(0, least(l.y1, r.y1) - greatest(l.y0, r.y0)))
         / ((l.x1 - l.x0) * (l.y1 - l.y0) + (r.x1 - r.x0) * (r.y1 - r.y0) - greatest(0, least(l.x1, r.x1) - greatest(l.x0, r.x0)) * greatest(0, least(l.y1, r.y1) - greatest(l.y0, r.y0))) >= 0.5)),
     reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), comp AS (SELECT a AS comment_id, least(a, min(b)) AS component FROM reach GROUP BY a)
     SELECT comment_id, component, count(*) OVER (PARTITION BY component)::BIGINT AS size FROM comp""")
 def exact_dup_components(t: Tables):
     """Comments with the same issue in the same task whose boxes mean the same target, by component."""
-    df = t("human_comments", "comment_id", "screen_task_id", "observed_issue", "bounding_box").where("trim(observed_issue) <> ''")
-    df = df.withColumn("g", F.concat("screen_task_id", F.lit("|"), F.regexp_replace(F.lower("observed_issue"), "[^a-z0-9]+", "")))
+    df = t("human_comments", "comment_id", "screen_task_id", "observed_issue", "bounding_box").where(F.col("observed_issue").rlike(r"[\p{L}\p{N}]"))
+    df = df.withColumn("g", F.concat("screen_task_id", F.lit("|"), F.regexp_replace(F.lower("observed_issue"), r"[^\p{L}\p{N}]+", "")))
     return dedup.duplicate_components(df, "g", "comment_id", "bounding_box")
 
 
@@ -148,19 +148,6 @@ def judge_latest_valid(t: Tables):
     return votes(t).groupBy("judge_id").agg(F.count("*").alias("n"), F.count_if(e.isNull() & F.col("relation").isNotNull()).alias("valid"), F.count_if(e == "http_429").alias("http"), F.count_if(e == "invalid_json").alias("bad_json"), F.count_if(e == "missing_field").alias("missing"))
 
 
-@query(f"""WITH {VOTE} SELECT pair_id, a.relation AS relation_a, b.relation AS relation_b, a.confidence AS confidence_a, b.confidence AS confidence_b, coalesce(a.relation = b.relation, false) AS agreed
-    FROM (SELECT * FROM vote WHERE judge_id = 'j01') a FULL JOIN (SELECT * FROM vote WHERE judge_id = 'j09') b USING (pair_id)""")
-def judge_compare_wide(t: Tables):
-    """The judges j01 and j09 side by side, as the SQL says; every two judges are in judge_compare_all, and likewise for the other queries over two_judges."""
-    return two_judges(t).select("pair_id", "relation_a", "relation_b", "confidence_a", "confidence_b", F.coalesce(F.col("relation_a") == F.col("relation_b"), F.lit(False)).alias("agreed"))
-
-
-def two_judges(t: Tables, how: str = "full") -> DataFrame:
-    v = votes(t)
-    side = lambda judge, s: v.where(F.col("judge_id") == judge).select("pair_id", *(F.col(c).alias(f"{c}_{s}") for c in ("relation", "confidence", "error")))
-    return side("j01", "a").join(side("j09", "b"), "pair_id", how)
-
-
 @query(f"""WITH {VOTE} SELECT pair_id FROM (SELECT DISTINCT pair_id FROM judge_votes) WHERE pair_id NOT IN (SELECT pair_id FROM vote WHERE relation IS NOT NULL)""")
 def failed_ids(t: Tables):
     """Pairs without one valid vote."""
@@ -182,7 +169,7 @@ def judge_pairs(t: Tables, alone: bool = False) -> DataFrame:
 
 @query(f"""WITH {BOTH} SELECT pair_id, judge_a, judge_b, ra AS relation_a, rb AS relation_b, ca AS confidence_a, cb AS confidence_b, coalesce(ra = rb, false) AS agreed FROM duo
     UNION ALL SELECT pair_id, judge_id, NULL, relation, NULL, confidence, NULL, false FROM vote WHERE pair_id IN (SELECT pair_id FROM vote GROUP BY 1 HAVING count(*) = 1)""")
-def judge_compare_all(t: Tables):
+def judge_compare_wide(t: Tables):
     """Every two judges of a pair side by side, and the only judge of a pair."""
     return judge_pairs(t, alone=True).select("pair_id", *JUDGES, "relation_a", "relation_b", "confidence_a", "confidence_b", F.coalesce(F.col("relation_a") == F.col("relation_b"), F.lit(False)).alias("agreed"))
 
@@ -190,40 +177,38 @@ def judge_compare_all(t: Tables):
 _FALL = "CASE {x} WHEN 'contradiction' THEN 1 WHEN 'no_match' THEN 2 WHEN 'related_but_different' THEN 3 WHEN 'partial_overlap' THEN 4 WHEN 'equivalent' THEN 5 WHEN 'A_broader' THEN 6 WHEN 'B_broader' THEN 7 ELSE 999 END"
 
 
-@query(f"""WITH {VOTE}, {LBL}, two AS (SELECT pair_id, a.relation AS ra, b.relation AS rb, a.confidence AS ca, b.confidence AS cb, CASE WHEN l.decision_source = 'manual' THEN l.relation END AS manual FROM (SELECT * FROM vote WHERE judge_id = 'j01' AND relation IS NOT NULL) a
-    JOIN (SELECT * FROM vote WHERE judge_id = 'j09' AND relation IS NOT NULL) b USING (pair_id) JOIN lbl l USING (pair_id)),
+@query(f"""WITH {BOTH}, {LBL}, two AS (SELECT duo.*, CASE WHEN l.decision_source = 'manual' THEN l.relation END AS manual FROM duo JOIN lbl l USING (pair_id) WHERE ra IS NOT NULL AND rb IS NOT NULL),
     s AS (SELECT *, coalesce(cb, -1) > coalesce(ca, -1) OR (coalesce(cb, -1) = coalesce(ca, -1) AND {_FALL.format(x='rb')} < {_FALL.format(x='ra')}) AS second FROM two)
-    SELECT pair_id, CASE WHEN ra = rb THEN ra WHEN manual IS NOT NULL THEN manual WHEN second THEN rb ELSE ra END AS relation, round(CASE WHEN ra = rb THEN (ca + cb) / 2 WHEN manual IS NOT NULL THEN 1 WHEN second THEN coalesce(cb, -1) ELSE coalesce(ca, -1) END, 6)::DOUBLE AS confidence,
+    SELECT pair_id, judge_a, judge_b, CASE WHEN ra = rb THEN ra WHEN manual IS NOT NULL THEN manual WHEN second THEN rb ELSE ra END AS relation, round(CASE WHEN ra = rb THEN coalesce((ca + cb) / 2, ca, cb) WHEN manual IS NOT NULL THEN 1 WHEN second THEN coalesce(cb, -1) ELSE coalesce(ca, -1) END, 6)::DOUBLE AS confidence,
     CASE WHEN ra = rb THEN 'judge_agreement' WHEN manual IS NOT NULL THEN 'manual_override' ELSE 'confidence_fallback' END AS decision_source FROM s""")
 def match_finalize(t: Tables):
-    """The final relation of pairs that two judges read, with manual decisions and the fallback."""
+    """The final relation of a pair for every two judges with a valid vote on it, with manual decisions and the fallback."""
     manual = labels(t).select("pair_id", F.when(F.col("decision_source") == "manual", F.col("relation")).alias("manual"))
-    two = two_judges(t, "inner").where("relation_a IS NOT NULL AND relation_b IS NOT NULL").join(manual, "pair_id")
-    return M.finalize(two).select("pair_id", "relation", F.round("confidence", 6).alias("confidence"), "decision_source")
+    two = judge_pairs(t).where("relation_a IS NOT NULL AND relation_b IS NOT NULL").join(M.valid_manual(manual), "pair_id")
+    return M.finalize(two).select("pair_id", *JUDGES, "relation", F.round("confidence", 6).alias("confidence"), "decision_source")
 
 
-@query(f"""WITH {BOTH}, {LBL}, two AS (SELECT duo.*, CASE WHEN l.decision_source = 'manual' THEN l.relation END AS manual FROM duo JOIN lbl l USING (pair_id) WHERE ra IS NOT NULL AND rb IS NOT NULL),
-    s AS (SELECT *, coalesce(cb, -1) > coalesce(ca, -1) OR (coalesce(cb, -1) = coalesce(ca, -1) AND {_FALL.format(x='rb')} < {_FALL.format(x='ra')}) AS second FROM two)
-    SELECT pair_id, judge_a, judge_b, CASE WHEN ra = rb THEN ra WHEN manual IS NOT NULL THEN manual WHEN second THEN rb ELSE ra END AS relation, round(CASE WHEN ra = rb THEN (ca + cb) / 2 WHEN manual IS NOT NULL THEN 1 WHEN second THEN coalesce(cb, -1) ELSE coalesce(ca, -1) END, 6)::DOUBLE AS confidence,
-    CASE WHEN ra = rb THEN 'judge_agreement' WHEN manual IS NOT NULL THEN 'manual_override' ELSE 'confidence_fallback' END AS decision_source FROM s""")
-def match_finalize_all(t: Tables):
-    """match_finalize for every two judges with a valid vote on the pair."""
+@query(f"""WITH {BOTH}, {LBL}, two AS (SELECT duo.*, CASE WHEN l.decision_source = 'manual' THEN l.relation END AS manual FROM duo JOIN lbl l USING (pair_id) WHERE ra IS NOT NULL AND rb IS NOT NULL)
+    SELECT judge_a, judge_b, CASE WHEN ra = rb THEN 'judge_agreement' WHEN manual IS NOT NULL THEN 'manual_override' ELSE 'manual_review' END AS decision_source, count(*)::BIGINT AS n,
+    round(avg(CASE WHEN ra = rb THEN coalesce((ca + cb) / 2, ca, cb) WHEN manual IS NOT NULL THEN 1 END), 6) AS mean_confidence FROM two GROUP BY ALL""")
+def manual_review_counts(t: Tables):
+    """What becomes of the pairs of every two judges if disagreement is left to people: agreed, decided by hand, still to review."""
     manual = labels(t).select("pair_id", F.when(F.col("decision_source") == "manual", F.col("relation")).alias("manual"))
-    two = judge_pairs(t).where("relation_a IS NOT NULL AND relation_b IS NOT NULL").join(manual, "pair_id")
-    return M.finalize(two).select("pair_id", *JUDGES, "relation", F.round("confidence", 6).alias("confidence"), "decision_source")
+    two = judge_pairs(t).where("relation_a IS NOT NULL AND relation_b IS NOT NULL").join(M.valid_manual(manual), "pair_id")
+    return M.finalize(two, fallback=False).groupBy(*JUDGES, "decision_source").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
 @query(f"""WITH {BOTH} SELECT judge_a, judge_b, least(ra, rb) || ' | ' || greatest(ra, rb) AS label, count(*)::BIGINT AS n FROM duo WHERE ra <> rb GROUP BY ALL""")
-def disagreement_all(t: Tables):
-    """disagreement_pairs of every two judges."""
+def disagreement_pairs(t: Tables):
+    """How often every two judges said which two different relations."""
     df = judge_pairs(t).where("relation_a <> relation_b")
     return df.groupBy(*JUDGES, F.concat_ws(" | ", F.least("relation_a", "relation_b"), F.greatest("relation_a", "relation_b")).alias("label")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {BOTH}, c AS (SELECT judge_a, judge_b, ra, rb, count(*) AS n FROM duo GROUP BY ALL), f AS (SELECT j.judge_a, j.judge_b, x.relation AS relation_a, y.relation AS relation_b FROM (SELECT DISTINCT judge_a, judge_b FROM duo) j, relation_ranks x, relation_ranks y)
     SELECT f.judge_a, f.judge_b, relation_a, relation_b, coalesce(n, 0)::BIGINT AS n FROM f LEFT JOIN c ON c.judge_a = f.judge_a AND c.judge_b = f.judge_b AND ra = relation_a AND rb = relation_b""")
-def confusion_all(t: Tables):
-    """confusion_fixed_labels of every two judges that voted on a pair."""
+def confusion_fixed_labels(t: Tables):
+    """Relations of every two judges against each other, every label of the fixed set included."""
     counts = judge_pairs(t).groupBy(*JUDGES, "relation_a", "relation_b").agg(F.count("*").alias("n"))
     # Seven labels on either side, from arrays.
     every = F.array(*(F.lit(r) for r in M.WEIGHTS))
@@ -231,23 +216,6 @@ def confusion_all(t: Tables):
     return full.join(counts, [*JUDGES, "relation_a", "relation_b"], "left").select(*JUDGES, "relation_a", "relation_b", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-@query(f"""WITH {VOTE} SELECT least(a.relation, b.relation) || ' | ' || greatest(a.relation, b.relation) AS label, count(*)::BIGINT AS n FROM (SELECT * FROM vote WHERE judge_id = 'j01') a JOIN (SELECT * FROM vote WHERE judge_id = 'j09') b USING (pair_id) WHERE a.relation <> b.relation GROUP BY 1""")
-def disagreement_pairs(t: Tables):
-    df = two_judges(t, "inner").where("relation_a <> relation_b")
-    return df.groupBy(F.concat_ws(" | ", F.least("relation_a", "relation_b"), F.greatest("relation_a", "relation_b")).alias("label")).agg(F.count("*").alias("n"))
-
-
-@query(f"""WITH {VOTE} SELECT x.relation AS relation_a, y.relation AS relation_b, coalesce(n, 0)::BIGINT AS n FROM (SELECT relation FROM relation_ranks) x CROSS JOIN (SELECT relation FROM relation_ranks) y LEFT JOIN
-    (SELECT a.relation AS ra, b.relation AS rb, count(*) AS n FROM (SELECT * FROM vote WHERE judge_id = 'j01') a JOIN (SELECT * FROM vote WHERE judge_id = 'j09') b USING (pair_id) GROUP BY ALL) ON ra = x.relation AND rb = y.relation""")
-def confusion_fixed_labels(t: Tables):
-    """Two judges' relations against each other, every label of the fixed set included."""
-    counts = two_judges(t, "inner").groupBy("relation_a", "relation_b").agg(F.count("*").alias("n"))
-    ranks = t("relation_ranks", "relation").select(F.col("relation").alias("relation_a"))
-    # Seven labels, each with an array of the seven.
-    full = ranks.select("relation_a", F.explode(F.array(*(F.lit(r) for r in M.WEIGHTS))).alias("relation_b"))
-    return full.join(counts, ["relation_a", "relation_b"], "left").select("relation_a", "relation_b", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-
-
 # ---- matching
 
 
@@ -457,10 +425,6 @@ def expert_llm_pairs(t: Tables):
 
 FLAGS = ["same_usability_problem", "logical_conflict"]
 _SAME = "CASE {x} WHEN 'equivalent' THEN 'yes' WHEN 'A_broader' THEN 'yes' WHEN 'B_broader' THEN 'partial' WHEN 'partial_overlap' THEN 'partial' ELSE 'no' END"
-_FLAGS_SQL = f"""WITH {VOTE}, {LBL}, two AS (SELECT pair_id, a.relation AS ra, b.relation AS rb, l.relation, l.decision_source = 'manual' AS manual, {_SAME.format(x='a.relation')} AS fa, {_SAME.format(x='b.relation')} AS fb FROM (SELECT * FROM vote WHERE judge_id = 'j01' AND relation IS NOT NULL) a
-    JOIN (SELECT * FROM vote WHERE judge_id = 'j09' AND relation IS NOT NULL) b USING (pair_id) JOIN lbl l USING (pair_id)),
-    i AS (SELECT *, CASE relation WHEN 'equivalent' THEN 'yes' WHEN 'A_broader' THEN 'yes' WHEN 'B_broader' THEN 'yes' WHEN 'partial_overlap' THEN 'partial' WHEN 'related_but_different' THEN 'no' WHEN 'no_match' THEN 'no' END AS follows, coalesce(relation = ra, false) AS ka, coalesce(relation = rb, false) AS kb FROM two),
-    f AS (SELECT pair_id, follows, CASE WHEN manual AND follows IS NOT NULL THEN follows WHEN fa = fb THEN fa WHEN ka AND NOT kb THEN fa WHEN kb AND NOT ka THEN fb ELSE 'disagree' END AS same_usability_problem FROM i)"""
 
 
 def flagged(t: Tables, two: DataFrame) -> DataFrame:
@@ -475,31 +439,20 @@ def flagged(t: Tables, two: DataFrame) -> DataFrame:
     return M.finalize_flags(two.join(final, "pair_id"), FLAGS)
 
 
-@query(_FLAGS_SQL + " SELECT pair_id, same_usability_problem FROM f")
-def flag_finalize(t: Tables):
-    return flagged(t, two_judges(t, "inner")).select("pair_id", "same_usability_problem")
-
-
-@query(_FLAGS_SQL + " SELECT 'same_usability_problem' AS flag, count(follows)::BIGINT AS n, round(avg((same_usability_problem = follows)::INT), 6) AS share FROM f")
-def flag_consistency(t: Tables):
-    """How far the final flags are what the final relations imply."""
-    return M.flag_consistency(flagged(t, two_judges(t, "inner")), FLAGS[:1]).withColumn("share", F.round("share", 6))
-
-
 _FLAGS_ALL = f"""WITH {BOTH}, {LBL}, i AS (SELECT duo.*, l.decision_source = 'manual' AS manual, {_SAME.format(x='ra')} AS fa, {_SAME.format(x='rb')} AS fb, coalesce(l.relation = ra, false) AS ka, coalesce(l.relation = rb, false) AS kb,
     CASE l.relation WHEN 'equivalent' THEN 'yes' WHEN 'A_broader' THEN 'yes' WHEN 'B_broader' THEN 'yes' WHEN 'partial_overlap' THEN 'partial' WHEN 'related_but_different' THEN 'no' WHEN 'no_match' THEN 'no' END AS follows FROM duo JOIN lbl l USING (pair_id) WHERE ra IS NOT NULL AND rb IS NOT NULL),
     f AS (SELECT pair_id, judge_a, judge_b, follows, CASE WHEN manual AND follows IS NOT NULL THEN follows WHEN fa = fb THEN fa WHEN ka AND NOT kb THEN fa WHEN kb AND NOT ka THEN fb ELSE 'disagree' END AS same_usability_problem FROM i)"""
 
 
 @query(_FLAGS_ALL + " SELECT pair_id, judge_a, judge_b, same_usability_problem FROM f")
-def flag_finalize_all(t: Tables):
-    """flag_finalize for every two judges with a valid vote on the pair."""
+def flag_finalize(t: Tables):
+    """The final flag of a pair for every two judges with a valid vote on it."""
     return flagged(t, judge_pairs(t)).select("pair_id", *JUDGES, "same_usability_problem")
 
 
 @query(_FLAGS_ALL + " SELECT judge_a, judge_b, 'same_usability_problem' AS flag, count(follows)::BIGINT AS n, round(avg((same_usability_problem = follows)::INT), 6) AS share FROM f GROUP BY ALL")
-def flag_consistency_all(t: Tables):
-    """flag_consistency of every two judges."""
+def flag_consistency(t: Tables):
+    """How far the final flags of every two judges are what the final relations imply."""
     return M.flag_consistency(flagged(t, judge_pairs(t)), FLAGS[:1], JUDGES).withColumn("share", F.round("share", 6))
 
 

@@ -60,10 +60,69 @@ def catalog_sources(t: Tables) -> list[str]:
     return [r.label for r in t("guideline_catalog", "tier", "label").where("tier = 'source'").orderBy("label").collect()]
 
 
+def sources_of(t: Tables) -> list[G.Source]:
+    """The sources of the catalogue with their keys: about a hundred labels."""
+    return G.catalog_sources(t("guideline_catalog").collect())
+
+
+def _key(x: str) -> str:
+    return f"trim(regexp_replace(replace(lower({x}), '&', 'and'), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _clean(x: str) -> str:
+    return f"regexp_replace(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '^[ .;]+|[ .;]+$', '', 'g')"
+
+
+def _citations_sql(sources: str, begins: str) -> str:
+    """ref_id, m (mention), p (part), g (piece), source and piece of the citations in free text; ``begins`` tells whether a part x of source s begins one."""
+    return rf"""src AS (SELECT label AS source FROM guideline_catalog WHERE tier = 'source'), k AS (SELECT source, {_key('label')} AS key, coalesce(category, label) AS category, CASE WHEN tier = 'subcategory' THEN label END AS sub, canon_id FROM guideline_catalog WHERE tier <> 'source'),
+    r AS (SELECT ref_id, {_clean('raw_reference')} AS t, (SELECT string_agg(replace(source, '.', '\.'), '|' ORDER BY length(source) DESC) FROM src) AS pat FROM guidelines WHERE raw_reference IS NOT NULL AND NOT regexp_matches({_clean('raw_reference')}, '^[\[{{]')),
+    n AS (SELECT ref_id, unnest(regexp_extract_all(lower(t), lower(pat))) AS low, generate_subscripts(regexp_extract_all(lower(t), lower(pat)), 1) AS m, t, pat FROM r),
+    c AS (SELECT ref_id, m, source, {_clean("string_split_regex(t, '(?i)(' || pat || ')')[m + 1]")} AS chunk FROM n JOIN src ON lower(source) = low WHERE source IN ({sources})),
+    b AS (SELECT ref_id, m, source, unnest(string_split(regexp_replace(chunk, '\||\.\s+([A-Z])', chr(1) || '\1', 'g'), chr(1))) AS bar, generate_subscripts(string_split(regexp_replace(chunk, '\||\.\s+([A-Z])', chr(1) || '\1', 'g'), chr(1)), 1) AS p FROM c),
+    h AS (SELECT ref_id, m, p, source, unnest(list_filter(list_transform(string_split(bar, ';'), lambda z: {_clean('z')}), lambda z: z <> '')) AS x, generate_subscripts(list_filter(list_transform(string_split(bar, ';'), lambda z: {_clean('z')}), lambda z: z <> ''), 1) AS i FROM b),
+    g AS (SELECT *, sum(CASE WHEN i = 1 OR ({begins}) THEN 1 ELSE 0 END) OVER (PARTITION BY ref_id, m, p ORDER BY i) AS g FROM h),
+    cite AS (SELECT ref_id, m, p, g, source, {_clean("regexp_replace(string_agg(x, '; ' ORDER BY i), '^(—|–|-|>|/|\\\\|:)\\s*', '')")} AS piece, row_number() OVER (PARTITION BY ref_id, m ORDER BY p, g) AS nr FROM g GROUP BY ref_id, m, p, g, source)"""
+
+
+_SEG = r"""list_filter(list_transform(string_split_regex(piece, '\s*(—|–|>|/|\\|:)\s*'), lambda z: """ + _clean("z") + r"""), lambda z: z <> '')"""
+_KNOWN = "EXISTS (SELECT 1 FROM k WHERE k.source = h.source AND contains(" + _key("h.x") + ", k.key))"
+
+
+def _citations(t: Tables, rule: str) -> DataFrame:
+    sources = sources_of(t)
+    df = G.parse_references(t("guidelines", "ref_id", "raw_reference").where("NOT coalesce(raw_reference rlike '^[ .;]*[\\\\[{]', false)"), "raw_reference", "ref_id", sources)
+    return df.where(F.col("source").isin([s.name for s in sources if s.rule == rule]))
+
+
+@query("WITH " + _citations_sql("'PanelCrit', 'Quayside Checklist', 'Ferrow Access Notes'", "true") + f""" SELECT ref_id, m::INT AS mention, nr::INT AS piece, source, coalesce(s[1], piece) AS category, nullif(array_to_string(s[2:], '; '), '') AS evidence, piece AS raw_reference FROM (SELECT *, {_SEG} AS s FROM cite)""")
+def guideline_themes(t: Tables):
+    """Citations in free text of the sources that are read by their first segment."""
+    return _citations(t, "theme").drop("subcategory")
+
+
+@query("WITH " + _citations_sql("'Marlow Interface Guide'", _KNOWN) + f""", s AS (SELECT *, CASE WHEN len({_SEG}) = 0 THEN [piece] ELSE {_SEG} END AS s FROM cite), e AS (SELECT ref_id, m, nr, unnest(s) AS seg, generate_subscripts(s, 1) AS i FROM s),
+    hit AS (SELECT ref_id, m, nr, i, k.category, k.sub, row_number() OVER (PARTITION BY ref_id, m, nr, i ORDER BY (sub IS NOT NULL)::INT DESC, length(key) DESC, canon_id) AS o FROM e JOIN k ON k.source = 'Marlow Interface Guide' AND contains({_key('seg')}, key)),
+    best AS (SELECT ref_id, m, nr, i, category, sub, row_number() OVER (PARTITION BY ref_id, m, nr ORDER BY (sub IS NOT NULL)::INT DESC, i DESC) AS o FROM hit WHERE o = 1)
+    SELECT s.ref_id, s.m::INT AS mention, s.nr::INT AS piece, s.source, coalesce(b.category, s.s[1]) AS category, b.sub AS subcategory, nullif(array_to_string(list_filter(s.s, lambda z, j: j <> coalesce(b.i, 1)), '; '), '') AS evidence, s.piece AS raw_reference
+    FROM s LEFT JOIN best b ON b.o = 1 AND s.ref_id = b.ref_id AND s.m = b.m AND s.nr = b.nr""")
+def guideline_tree(t: Tables):
+    """Citations in free text of the source that is a tree of categories."""
+    return _citations(t, "tree")
+
+
+@query("WITH " + _citations_sql("'Tessel Heuristics'", _KNOWN) + f""", hit AS (SELECT cite.*, k.category AS cat, k.key, row_number() OVER (PARTITION BY ref_id, m, nr ORDER BY length(k.key) DESC NULLS LAST, canon_id) AS o FROM cite LEFT JOIN k ON k.source = cite.source AND contains({_key('piece')}, k.key)),
+    w AS (SELECT *, {_clean("regexp_replace(piece, '(?i)' || replace(key, ' ', '[^a-zA-Z0-9]+'), '')")} AS rest FROM hit WHERE o = 1)
+    SELECT ref_id, m::INT AS mention, nr::INT AS piece, source, coalesce(cat, piece) AS category, CASE WHEN cat IS NOT NULL THEN nullif({_clean("regexp_replace(rest, '\\s*(—|–|>|/|\\\\|:)\\s*', ' ')")}, '') END AS evidence, piece AS raw_reference FROM w""")
+def guideline_headings(t: Tables):
+    """Citations in free text of the source with numbered headings and other wordings."""
+    return _citations(t, "heuristic").drop("subcategory")
+
+
 @query()
 def guideline_parse(t: Tables):
-    """Every citation in raw_reference with its source, category, subcategory and evidence."""
-    return G.parse_references(t("guidelines", "ref_id", "raw_reference"), "raw_reference", "ref_id", catalog_sources(t), G.vocabulary(t("guideline_catalog")))
+    """Every citation in raw_reference, lists and objects included, with its source, category, subcategory and evidence."""
+    return G.parse_references(t("guidelines", "ref_id", "raw_reference"), "raw_reference", "ref_id", sources_of(t))
 
 
 @query("""SELECT ref_id, s.label AS source, (len(regexp_extract_all(lower(raw_reference), lower(s.label))))::BIGINT AS n FROM guidelines, (SELECT label FROM guideline_catalog WHERE tier = 'source') s WHERE contains(lower(raw_reference), lower(s.label))""")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,15 +80,30 @@ def codebook(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "section string, field string, value string, description string")
 
 
+def same_table(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables have the same columns, types and rows; whether a column may be null does not matter."""
+    if a.dtypes != b.dtypes:
+        return False
+    left, right = (df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("r")).groupBy("r").agg(F.count("*").alias("n")) for df in (a, b))
+    both = left.select("r", F.col("n").alias("x")).join(right.select("r", F.col("n").alias("y")), "r", "full")
+    return both.where("NOT (x <=> y)").limit(1).count() == 0
+
+
 def write_if_changed(df: DataFrame, path: str) -> bool:
-    """Writes ``df`` as Parquet unless the table there has the same rows. Whether it wrote."""
+    """Writes ``df`` as Parquet unless the table there has the same rows. Whether it wrote.
+
+    ``df`` may read the table itself: the new one is written beside it and takes its place when it is whole.
+    """
     spark = df.sparkSession
-    if exists(spark, path):
-        old = spark.read.parquet(path)
-        if old.schema == df.schema and not old.exceptAll(df).limit(1).count() and not df.exceptAll(old).limit(1).count():
-            return False
-    fresh = str(PurePosixPath(path))
-    df.write.mode("overwrite").parquet(fresh)
+    if exists(spark, path) and same_table(spark.read.parquet(path), df):
+        return False
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target, fresh = file(path), file(path.rstrip("/") + "._new")
+    df.write.mode("overwrite").parquet(fresh.toString())
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(target, True)
+    if not system.rename(fresh, target):
+        raise OSError(f"{fresh} could not take the place of {target}")
     return True
 
 

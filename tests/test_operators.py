@@ -137,12 +137,42 @@ def test_patch_may_set_null(spark):
     assert got == {"a": ("a", "s", "i", None), "b": ("b", "s", "new", "f")}
 
 
-def test_guidelines(spark):
-    vocab = spark.createDataFrame([("Apple", "color", "Foundations", "Color", 1), ("Apple", "typography", "Foundations", "Typography", 2), ("Apple", "foundations", "Foundations", None, 3), ("Nielsen", "consistency and standards", "Consistency and Standards", None, 4)], "source string, key string, category string, subcategory string, pos int")
-    df = spark.createDataFrame([(1, "Apple: Foundations > Color > low contrast; Nielsen — Consistency & Standards / labels vary"), (2, "apple: something else: why"), (3, ""), (4, None)], "id int, t string")
-    got = sorted(map(tuple, G.parse_references(df, "t", "id", ["Apple", "Nielsen"], vocab).collect()))
-    assert got == [(1, 1, "Apple", "Foundations", "Color", "Foundations; low contrast"), (1, 2, "Nielsen", "Consistency and Standards", None, "labels vary"), (2, 1, "Apple", "something else", None, "why")]
-    assert len(G.HEURISTICS) == 10
+STANDARD = {
+    "Nielsen Norman 10 Heuristics: Heuristic 4 (Consistency and standards) labels differ": [("Nielsen", "Consistency and Standards", None, "labels differ")],
+    "Nielsen - Visibility of System Status; NN/g: error prevention — no undo": [("Nielsen", "Visibility of System Status", None, None), ("Nielsen", "Error Prevention", None, "no undo")],
+    "Nielsen: Heuristic 1 (Feedback), Heuristic 5 (Prevent errors)": [("Nielsen", "Visibility of System Status", None, None), ("Nielsen", "Error Prevention", None, None)],
+    "Nielsen: feedback; it is slow; error recovery": [("Nielsen", "Visibility of System Status", None, "it is slow"), ("Nielsen", _RECOVER := "Help Users Recognize, Diagnose, and Recover from Errors", None, None)],
+    "Nielsen: nothing known": [("Nielsen", "nothing known", None, None)],
+    "Apple HIG: Components > Buttons > too small": [("Apple HIG", "Components", "Menus and Actions / Buttons", "Components; too small")],
+    "apple human interface guidelines (HIG) — Layout": [("Apple HIG", "Foundations", "Layout", None)],
+    "Apple HIG / Patterns / something": [("Apple HIG", "Patterns", None, "something")],
+    "Apple HIG: Navigation": [("Apple HIG", "Components", "Navigation and Search", None)],
+    "Apple HIG: touch targets": [("Apple HIG", "Foundations", "Layout", None)],
+    "Apple HIG: unheard of > here": [("Apple HIG", "unheard of", None, "here")],
+    "CrowCrit: Layout - crowded | CrowdCrit: Balance > left heavy": [("CrowdCrit", "Layout - crowded", None, None), ("CrowdCrit", "Balance", None, "left heavy")],
+    "CrowdCrit Visual Design: Clutter. Typography too thin": [("CrowdCrit", "Clutter", None, None), ("CrowdCrit", "Typography too thin", None, None)],
+    '[{"source": "Nielsen", "category": "Error recovery", "evidence": "no way back"}, {"source": "NN Group", "category": "x"}]': [("Nielsen", _RECOVER, None, "no way back"), ("NN Group", None, None, None)],
+    "[{'source': 'apple hig', 'category': 'Color', 'evidence': None}, 'plain text']": [("Apple HIG", "Foundations", "Color", None), (None, None, None, None)],
+    '{"source": "CrowdCrit", "category": "Contrast: low"}': [("CrowdCrit", "Contrast", None, "low")],
+    "[not a list Nielsen: feedback": [("Nielsen", "Visibility of System Status", None, None)],
+    "no source at all": [], "": [], " ; ": [],
+}
+
+
+def test_guidelines_of_the_three_sources(spark):
+    df = spark.createDataFrame([*enumerate(STANDARD), (900, None)], "id long, t string")
+    got: dict = {}
+    for r in sorted(G.parse_references(df, "t", "id", G.standard_sources()).collect(), key=lambda r: (r.id, r.mention, r.piece)):
+        got.setdefault(r.id, []).append((r.source, r.category, r.subcategory, r.evidence))
+    for i, (text, want) in enumerate(STANDARD.items()):
+        assert got.get(i, []) == want, text
+    assert 900 not in got and len(G.HEURISTICS) == 10
+    assert G.parse_references(df.limit(0), "t", "id", G.standard_sources()).count() == 0
+
+
+def test_keys_keep_their_first_place_and_take_the_last_value():
+    rows = G.Source("s", "tree", ("s",), {"Ab c": ("x", "1"), "de f": ("x", "2"), "ab  C": ("y", "3")}).vocabulary()
+    assert [(r["key"], r["category"], r["subcategory"]) for r in rows] == [("ab c", "y", "3"), ("de f", "x", "2")]
 
 
 def test_statistics(spark):
