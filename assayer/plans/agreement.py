@@ -9,6 +9,7 @@ from assayer.functions import scalars as S
 from assayer.operators import dedup, matching as M, reshape as R
 from assayer.operators.components import components
 from assayer.plans.registry import Registry, Tables
+from assayer.session import cut_lineage
 
 registry = Registry()
 query = registry.query
@@ -89,6 +90,52 @@ def exact_dup_components(t: Tables):
     return dedup.duplicate_components(df, "g", "comment_id", "bounding_box")
 
 
+TRIPLET = ["screen_task_id", "expected_standard", "observed_issue", "suggested_fix"]
+_ONCE = "(SELECT comment_id, comment_label, screen_task_id, expected_standard, observed_issue, suggested_fix, bounding_box FROM (SELECT *, row_number() OVER (PARTITION BY comment_id ORDER BY record_id) AS k FROM human_comments) WHERE k = 1)"
+_LINK = "greatest(0, least(l.x1, r.x1) - greatest(l.x0, r.x0)) * greatest(0, least(l.y1, r.y1) - greatest(l.y0, r.y0))"
+_OVER = f"{_LINK} / ((l.x1 - l.x0) * (l.y1 - l.y0) + (r.x1 - r.x0) * (r.y1 - r.y0) - {_LINK})"
+_TRIPLET_SQL = f"""c AS (SELECT comment_id AS k, comment_label, screen_task_id, observed_issue, concat_ws(chr(1), coalesce(screen_task_id, chr(2)), coalesce(expected_standard, chr(2)), coalesce(observed_issue, chr(2)), coalesce(suggested_fix, chr(2))) AS g, {_BOX} FROM (SELECT *, bounding_box AS b FROM {_ONCE})),
+    e AS (SELECT l.k AS a, r.k AS b FROM c l JOIN c r ON l.g = r.g AND l.k <> r.k WHERE (NOT coalesce(l.ok, false) AND NOT coalesce(r.ok, false)) OR (l.ok AND r.ok AND {_OVER} >= 0.5)),
+    reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), comp AS (SELECT a AS k, least(a, min(b)) AS component FROM reach GROUP BY a),
+    kept AS (SELECT c.* FROM c LEFT JOIN (SELECT k, row_number() OVER (PARTITION BY component ORDER BY comment_label NULLS LAST, k) AS o FROM comp JOIN c USING (k)) d USING (k) WHERE coalesce(o, 1) = 1)"""
+_REVIEW_SQL = f"""{_TRIPLET_SQL}, t AS (SELECT * FROM kept WHERE screen_task_id IS NOT NULL AND observed_issue IS NOT NULL),
+    f AS (SELECT l.k AS a, r.k AS b FROM t l JOIN t r ON l.screen_task_id = r.screen_task_id AND l.observed_issue = r.observed_issue AND l.k <> r.k WHERE NOT coalesce(l.ok, false) OR NOT coalesce(r.ok, false) OR {_OVER} >= 0.1),
+    far AS (SELECT a, b FROM f UNION SELECT far.a, f.b FROM far JOIN f ON far.b = f.a), rev AS (SELECT a AS comment_id, least(a, min(b)) AS component FROM far GROUP BY a)"""
+
+
+def once(t: Tables) -> DataFrame:
+    """Each comment once, by its first record."""
+    rest = ["comment_label", *TRIPLET, "bounding_box"]
+    first = t("human_comments", "record_id", "comment_id", *rest).groupBy("comment_id").agg(F.min_by(F.struct(*rest), "record_id").alias("r"))
+    return first.select("comment_id", "r.*")
+
+
+def after_triplets(t: Tables) -> DataFrame:
+    rows = dedup.drop_exact(once(t), TRIPLET, "comment_id", "comment_label", "bounding_box")
+    return rows.withColumn("g", F.when(F.col("screen_task_id").isNotNull() & F.col("observed_issue").isNotNull(), dedup.group_key(["screen_task_id", "observed_issue"])))
+
+
+@query(f"WITH RECURSIVE {_TRIPLET_SQL} SELECT k AS comment_id FROM kept")
+def triplet_dedup(t: Tables):
+    """Comments that are no repetition of an earlier one in all three parts and on the same target."""
+    return dedup.drop_exact(once(t), TRIPLET, "comment_id", "comment_label", "bounding_box").select("comment_id")
+
+
+@query(f"WITH RECURSIVE {_REVIEW_SQL} SELECT comment_id, component, count(*) OVER (PARTITION BY component)::BIGINT AS size FROM rev")
+def duplicate_review_groups(t: Tables):
+    """What is left to look at: the same issue in one task, with boxes that overlap somewhat or are missing."""
+    return dedup.duplicate_components(after_triplets(t), "g", "comment_id", "bounding_box", S.REVIEW_TARGET, missing_meets_all=True)
+
+
+@query(f"WITH RECURSIVE {_REVIEW_SQL} SELECT k AS comment_id FROM kept WHERE k NOT IN (SELECT comment_id FROM rev WHERE comment_id <> component)")
+def chosen_survivors(t: Tables):
+    """The reference after the review, for which the first comment of each group is chosen, with nothing left to look at."""
+    rows = cut_lineage(after_triplets(t))
+    review = cut_lineage(dedup.duplicate_components(rows, "g", "comment_id", "bounding_box", S.REVIEW_TARGET, missing_meets_all=True))
+    kept = dedup.apply_choices(rows, review, "comment_id", review.select(F.col("component").alias("comment_id")))
+    return dedup.assert_resolved(kept, "g", "comment_id", "bounding_box").select("comment_id")
+
+
 @query(f"""WITH RECURSIVE {DEC}, m AS (SELECT a, b, action FROM dec WHERE action IN ('keep_a', 'keep_b')), e AS (SELECT a, b FROM m UNION SELECT b, a FROM m), reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
     comp AS (SELECT a AS node, least(a, min(b)) AS component FROM reach GROUP BY a), dropped AS (SELECT DISTINCT CASE action WHEN 'keep_a' THEN b ELSE a END AS node FROM m)
     SELECT component, count(*)::BIGINT AS n_members, count(dropped.node)::BIGINT AS n_dropped, count(*) = count(dropped.node) AS contradiction FROM comp LEFT JOIN dropped USING (node) GROUP BY 1""")

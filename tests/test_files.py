@@ -36,6 +36,13 @@ def test_guarded_writes(spark, tmp_path):
     path = str(tmp_path / "t")
     assert files.read_or_empty(spark, path, "id int, x double").count() == 0
     assert files.write_if_changed(df, path) and not files.write_if_changed(df, path)
+    again = str(tmp_path / "again")
+    assert files.write_if_changed(df, again)
+    own = spark.read.parquet(again)
+    assert files.write_if_changed(own.unionByName(own), again) and spark.read.parquet(again).count() == 2 * df.count()
+    full = spark.range(3).selectExpr("id", "CASE WHEN id = 1 THEN 'x' END AS t")  # a column that may not be null, and nulls
+    other = str(tmp_path / "full")
+    assert files.write_if_changed(full, f"file://{other}") and not files.write_if_changed(full, f"file://{other}")
     assert files.load_or_make(spark, path, lambda: 1 / 0).count() == 2
     files.write_csv(df, str(tmp_path / "c"), {"x": 2}, ["id"])
     back = files.read_csv(spark, str(tmp_path / "c"), "id int, x double")

@@ -311,7 +311,7 @@ def test_every_pair_with_two_valid_votes_is_finalised(spark, folder):
     t = Without(spark, folder)
     valid = agreement.votes(t).where("relation IS NOT NULL").groupBy("pair_id").agg(F.count("*").alias("n")).where("n > 1")
     want = {r.pair_id: r.n * (r.n - 1) // 2 for r in valid.join(t("match_pairs", "pair_id").distinct(), "pair_id").collect()}
-    for query in (agreement.match_finalize_all, agreement.flag_finalize_all):
+    for query in (agreement.match_finalize, agreement.flag_finalize):
         got = {r.pair_id: r["count"] for r in query(t).groupBy("pair_id").count().collect()}
         assert want and got == want
 
@@ -324,3 +324,49 @@ def test_pairs_of_large_tasks_in_blocks(spark, block):
     got = [r.pair_id for r in df.collect()]
     want = {f"{m}_{e}_{c.split('_')[1]}" for t, e in experts for m, u, c in models if t == u and t}
     assert len(got) == len(want) == 205 * 21 + 1 and set(got) == want
+
+
+def test_choices_are_checked(spark):
+    rows = spark.createDataFrame([(k,) for k in "abcdef"], "id string")
+    review = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")], "id string, component string")
+    pick = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    assert sorted(r.id for r in dedup.apply_choices(rows, review, "id", pick("b", "c")).collect()) == ["b", "c", "e", "f"]
+    for wrong in (("b",), ("b", "e"), ("a", "b")):
+        with pytest.raises(ValueError):
+            dedup.apply_choices(rows, review, "id", pick(*wrong))
+
+
+def test_unrelated_comments_in_other_scripts_are_no_duplicates(spark):
+    """Texts without a Latin letter once had one empty key."""
+    from assayer.plans import agreement
+
+    rows = [(1, "c1", "t", "L", None, "Кнопка не видна", None, None), (2, "c2", "t", "L", None, "色が薄い", None, None), (3, "c3", "t", "L", None, "色が薄い。", None, None), (4, "c4", "t", "L", None, "...", None, None), (5, "c5", "t", "L", None, "???", None, None)]
+    df = spark.createDataFrame(rows, "record_id long, comment_id string, screen_task_id string, comment_label string, expected_standard string, observed_issue string, suggested_fix string, bounding_box struct<x_min: double, y_min: double, x_max: double, y_max: double>")
+    got = {(r.comment_id, r.component) for r in agreement.exact_dup_components(lambda name, *columns: df.select(*columns)).collect()}
+    assert got == {("c2", "c2"), ("c3", "c2")}
+
+
+def test_mean_of_one_confidence_and_manual_review(spark):
+    rows = [(1, "equivalent", 0.8, "equivalent", None, None), (2, "equivalent", None, "equivalent", None, None), (3, "no_match", 0.5, "equivalent", 0.9, None), (4, "no_match", 0.5, "equivalent", 0.9, "contradiction")]
+    df = spark.createDataFrame(rows, "id int, relation_a string, confidence_a double, relation_b string, confidence_b double, manual string")
+    got = {r.id: (r.relation, r.confidence, r.decision_source) for r in M.finalize(df, fallback=False).collect()}
+    assert got == {1: ("equivalent", 0.8, "judge_agreement"), 2: ("equivalent", None, "judge_agreement"), 3: (None, None, "manual_review"), 4: ("contradiction", 1.0, "manual_override")}
+    with pytest.raises(ValueError):
+        M.valid_manual(df.withColumn("manual", F.lit("other")))
+
+
+def test_boxes_against_all_pairs(spark):
+    """Edges of boxes that overlap, found in cells, connect what comparing all pairs connects, at both thresholds."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    boxes = [(f"k{i:03d}", "g" if i % 3 else "h", tuple(float(v) for v in (x, y, x + w, y + h))) for i, (x, y, w, h) in enumerate(zip(rng.random(120), rng.random(120), rng.random(120) ** 3 + 0.01, rng.random(120) ** 3 + 0.01))]
+    df = spark.createDataFrame(boxes, "k string, g string, b struct<x_min: double, y_min: double, x_max: double, y_max: double>")
+
+    def iou(p, q):
+        w, h = max(0, min(p[2], q[2]) - max(p[0], q[0])), max(0, min(p[3], q[3]) - max(p[1], q[1]))
+        return w * h / ((p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - w * h)
+
+    for least in (0.5, 0.1):
+        want = {(a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and a[1] == b[1] and iou(a[2], b[2]) >= least}
+        assert {tuple(r) for r in dedup.overlap_edges(df, "g", "k", "b", least).collect()} == want
