@@ -24,8 +24,9 @@ _BEFORE = r"(?<=^|[\[(,;|~·¦‖\t\n、；]|[,;|~·¦‖、；\[][\s\p{Z}]{1,4}
 _AFTER = rf"(?={_BLANK}*(?:$|[\],;|~·¦‖\t\n、；]|\(?\d{{1,3}}[.)]\s))"
 # The loops over escapes are possessive: Java runs those in a loop, any other group of alternatives in recursion that a long field would overflow.
 # They lose no match, for the quote that ends a span is never followed by another one.
+# The mark itself is looked for first: what stands before it is looked at nowhere else.
 _QUOTED = (
-    rf'{_BEFORE}(?:"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+"{_AFTER}'
+    rf'(?=["\'“„«‘]){_BEFORE}(?:"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+"{_AFTER}'
     rf"|'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'{_AFTER}"
     rf"|“[^”]*”{_AFTER}|„[^“”]*[“”]{_AFTER}|«[^»]*»{_AFTER}|‘.*?’{_AFTER})"
 )
@@ -55,8 +56,8 @@ def split_values(df: DataFrame, column: str, name: str, protected: Sequence[str]
     marks = F.concat(F.transform(F.sequence(F.lit(1), F.size("__spans")), lambda i: F.concat(F.lit(OPEN), (i - 1).cast("string"), F.lit(CLOSE))), F.array(F.lit("")))
     marks = F.when(F.size("__spans") > 0, marks).otherwise(F.array(F.lit("")))
     masked = F.array_join(F.zip_with("__between", marks, lambda a, b: F.concat(a, b)), "")
-    numbering = rf"(?:(?<=[\s\p{{Z}}{CLOSE}])\(\d{{1,3}}\)(?=[\s\p{{Z}}])|(?<=[\s\p{{Z}}{CLOSE}])\d{{1,3}}[.)](?=[\s\p{{Z}}]))"
-    pieces = F.split(masked, rf"[\n\r,{''.join(_java(d) for d in DELIMITERS)}]|(?<=[\s\p{{Z}}{CLOSE}])\+(?=[\s\p{{Z}}])|{numbering}", -1)
+    numbering = rf"(?:(?=\()(?<=[\s\p{{Z}}{CLOSE}])\(\d{{1,3}}\)(?=[\s\p{{Z}}])|(?=\d)(?<=[\s\p{{Z}}{CLOSE}])\d{{1,3}}[.)](?=[\s\p{{Z}}]))"
+    pieces = F.split(masked, rf"[\n\r,{''.join(_java(d) for d in DELIMITERS)}]|(?=\+)(?<=[\s\p{{Z}}{CLOSE}])\+(?=[\s\p{{Z}}])|{numbering}", -1)
 
     def restored(piece: Column) -> Column:
         """Each placeholder starts a part; the part's number looks the span up."""
