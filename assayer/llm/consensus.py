@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.operators.lookup import lookup_join
-from assayer.session import cut_lineage
+from assayer.session import cut_lineage, written
 
-STEPS, MORE_STEPS = 8, 5
+#: Steps of the iteration that are worked out at once, the change of a skill that ends it, and the most steps.
+STRIDE, SETTLED, MOST_STEPS = 4, 1e-3, 200
 #: Between a kind and what it is prefixed to.
 MARK = "\x1f"
 #: Agreement beyond chance and skills from which two annotators count as dependent.
@@ -55,21 +56,26 @@ def agreement(votes: DataFrame) -> DataFrame:
     return one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"), "n", "kappa"))
 
 
-def skills(start: DataFrame, matrix: DataFrame, steps: int = STEPS) -> DataFrame:
+def skills(start: DataFrame, matrix: DataFrame) -> DataFrame:
     """annotator, skill: the leading eigenvector of ``matrix``, so scaled that kappa is about the product of two skills.
 
     ``start`` has annotator and skill. Half of each step's result and half of the last one are taken, which settles its scale. A step needs no sum over
-    all annotators, so kinds that share none settle side by side. An annotator without a partner has skill 0.
+    all annotators, so kinds that share none settle side by side. An annotator without a partner has skill 0. The steps end when no skill changes by more
+    than SETTLED in one of them; it is an error if they do not end in MOST_STEPS.
     """
-    now = start
-    for _ in range(steps):
-        met = matrix.join(now.select(F.col("annotator").alias("b"), "skill"), "b")
-        found = met.groupBy("a").agg((F.sum(F.col("n") * F.col("kappa") * F.col("skill")) / F.greatest(F.sum(F.col("n") * F.col("skill") * F.col("skill")), F.lit(1e-9))).alias("new"))
-        found = found.select(F.col("a").alias("annotator"), F.least(F.greatest("new", F.lit(-2.0)), F.lit(2.0)).alias("new"))
-        now = now.join(found, "annotator", "left").select("annotator", F.when(F.col("new").isNull(), 0.0).otherwise((F.col("skill") + F.col("new")) / 2).alias("skill"))
-        # Every step is the same small plan.
-        now = cut_lineage(now)
-    return now
+    now = start.select("annotator", "skill")
+    for _ in range(0, MOST_STEPS, STRIDE):
+        for _ in range(STRIDE):
+            met = matrix.join(now.select(F.col("annotator").alias("b"), "skill"), "b")
+            found = met.groupBy("a").agg((F.sum(F.col("n") * F.col("kappa") * F.col("skill")) / F.greatest(F.sum(F.col("n") * F.col("skill") * F.col("skill")), F.lit(1e-9))).alias("new"))
+            found = found.select(F.col("a").alias("annotator"), F.least(F.greatest("new", F.lit(-2.0)), F.lit(2.0)).alias("new"))
+            step = F.when(F.col("new").isNull(), 0.0).otherwise((F.col("skill") + F.col("new")) / 2)
+            now = now.join(found, "annotator", "left").select("annotator", step.alias("skill"), F.abs(step - F.col("skill")).alias("change"))
+        # A few steps are one small plan.
+        now = written(now)
+        if (now.agg(F.max("change")).first()[0] or 0.0) <= SETTLED:
+            return now.drop("change")
+    raise RuntimeError(f"skills did not settle in {MOST_STEPS} steps")
 
 
 def _joined(votes: DataFrame) -> DataFrame:
@@ -87,20 +93,20 @@ def _name(c: str) -> Column:
 
 
 def _reliability(votes: DataFrame) -> DataFrame:
-    matrix = cut_lineage(agreement(votes))
+    matrix = written(agreement(votes))
     counts = votes.groupBy("annotator", "label").agg(F.count("*").alias("n"))
     # One row per annotator; kinds are a handful.
     own = counts.groupBy("annotator").agg(F.sum("n").alias("n_votes"), (F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("chance"))
     labels = counts.groupBy(_kind("annotator").alias("kind")).agg(F.greatest(F.count_distinct("label"), F.lit(2)).alias("labels"))
-    own = cut_lineage(own.join(labels, _kind("annotator") == F.col("kind")).drop("kind"))
+    own = written(own.join(labels, _kind("annotator") == F.col("kind")).drop("kind"))
     first = skills(own.select("annotator", F.lit(0.5).alias("skill")), matrix)
     a = first.select(F.col("annotator").alias("a"), F.col("skill").alias("sa"))
     b = first.select(F.col("annotator").alias("b"), F.col("skill").alias("sb"))
     judged = matrix.join(a, "a").join(b, "b").withColumn("tied", F.col("kappa") - F.col("sa") * F.col("sb") > DEPENDENT)
     # With three annotators or fewer there is nothing to tell a tie from skill by.
     partners = judged.groupBy("a").agg(F.count("*").alias("partners"))
-    judged = cut_lineage(judged.join(partners, "a").withColumn("tied", F.col("tied") & (F.col("partners") >= 3)).select("a", "b", "n", "kappa", "tied"))
-    final = skills(first, judged.where("NOT tied").drop("tied"), MORE_STEPS)
+    judged = written(judged.join(partners, "a").withColumn("tied", F.col("tied") & (F.col("partners") >= 3)).select("a", "b", "n", "kappa", "tied"))
+    final = skills(first, judged.where("NOT tied").drop("tied"))
     ties = judged.where("tied").groupBy(F.col("a").alias("annotator")).agg(F.count("*").alias("dependents"))
     skill = F.least(F.greatest("skill", F.lit(0.0)), F.lit(0.98))
     accuracy = F.least(skill + (1 - skill) * F.least("chance", 1.0 / F.col("labels")), F.lit(0.99))

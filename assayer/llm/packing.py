@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.session import cut_lineage
+
 CAPACITY = 2048
 GROUP_SIZE = 20_000
 #: The vocabulary file is never part of this repository.
@@ -80,15 +82,15 @@ def first_fit(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def pack(docs: DataFrame, key: str, text: str, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, total: int | None = None, seed: int = 7, group_size: int = GROUP_SIZE) -> DataFrame:
+def pack(docs: DataFrame, key: str, text: str, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, seed: int = 7, group_size: int = GROUP_SIZE) -> DataFrame:
     """container, place, offset, key, piece, start_token, n_tokens: where each non-empty text, or piece of one longer than ``capacity``, lies.
 
     A container holds ``capacity`` tokens at most; place counts its pieces from 1 and offset is the token it starts at. Null and empty texts are in no
-    container; repeated rows are packed as often as they occur. The same rows give the same containers. ``total`` is the number of rows of ``docs``, if known.
+    container; repeated rows are packed as often as they occur. The same rows give the same containers.
     """
-    total = docs.count() if total is None else total
-    groups = max(1, -(-total // group_size))
-    pieces = piece_sizes(docs, key, text, capacity, vocabulary)
+    # Tokenised once; the number of groups follows that of the pieces, of which a long text has many.
+    pieces = cut_lineage(piece_sizes(docs, key, text, capacity, vocabulary))
+    groups = max(1, -(-pieces.count() // group_size))
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(F.col("key"), "piece", "deal", F.lit(seed)), F.lit(groups)))
     kind = dict(pieces.dtypes)["key"]
 
@@ -105,6 +107,7 @@ def pack(docs: DataFrame, key: str, text: str, capacity: int = CAPACITY, vocabul
 
 
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: containers, tokens, fill_rate."""
-    whole = packed.agg(F.countDistinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"))
-    return whole.select("containers", "tokens", F.try_divide(F.col("tokens"), F.col("containers") * capacity).alias("fill_rate"))
+    """One row: containers, tokens, least_containers (what the tokens need at least) and fill_rate."""
+    whole = packed.agg(F.countDistinct("container").alias("containers"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
+    least = F.ceil(F.col("tokens") / capacity).cast("long")
+    return whole.select("containers", "tokens", least.alias("least_containers"), F.try_divide(F.col("tokens"), F.col("containers") * capacity).alias("fill_rate"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from assayer.llm import canonical, consensus, encoding, leakage, ledger, packing, quota, survivor, topn
 from assayer.llm.sql import SQL
 from assayer.operators.reshape import latest_per_key
-from assayer.session import cut_lineage, shared_folder
+from assayer.session import cut_lineage, shared_folder, written
 from assayer.sources.tables import table
 
 FIELDS = ("source", "category", "subcategory")
@@ -53,16 +53,29 @@ def p2_sample(spark: SparkSession, folder: str) -> DataFrame:
     return quota.quota_sample(_pairs(spark, folder), *_quota(spark, folder))
 
 
+#: Labels that judges may choose from, at most: they are held in the driver and in expressions.
+MOST_LABELS = 1000
+
+
+def _ranks(spark: SparkSession, folder: str) -> list:
+    """The rows of relation_ranks, whose number is checked."""
+    held = table(spark, folder, "relation_ranks").where("relation IS NOT NULL").orderBy("rank_no", "relation").limit(MOST_LABELS + 1).collect()
+    if len(held) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    return held
+
+
 def p3_top(spark: SparkSession, folder: str) -> DataFrame:
     """The three best pairs of each expert comment: expert_comment_id, rank, pair_id, relation, confidence."""
     rows = table(spark, folder, "match_pairs", "pair_id", "expert_comment_id", "relation", "confidence", "judged_at")
     latest = latest_per_key(rows, "pair_id", "judged_at", ["expert_comment_id", "relation", "confidence"])
-    ranks = table(spark, folder, "relation_ranks")
-    # One row per relation, a handful by its nature.
-    judged = latest.where("confidence IS NOT NULL AND NOT isnan(confidence)").join(F.broadcast(ranks), "relation")
+    ranks = {r.relation: r.rank_no for r in reversed(_ranks(spark, folder))}
+    rank = F.try_element_at(F.create_map(*(F.lit(x) for pair in ranks.items() for x in pair)), "relation") if ranks else F.lit(None).cast("int")
+    # Written once: its histogram, its size and its best rows are read from columns.
+    judged = written(latest.withColumn("rank_no", rank).where("confidence IS NOT NULL AND NOT isnan(confidence) AND rank_no IS NOT NULL"))
     bucket = (F.col("rank_no") * 1000 + 50 - F.floor(F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0)) * 50)).cast("int")
     order = [F.col("rank_no").asc(), F.col("confidence").desc(), F.col("pair_id").asc()]
-    best = topn.top_n(judged, "expert_comment_id", 3, bucket, order, table(spark, folder, "match_pairs").count())
+    best = topn.top_n(judged, "expert_comment_id", 3, bucket, order)
     return best.select("expert_comment_id", "rank", "pair_id", "relation", "confidence")
 
 
@@ -128,10 +141,10 @@ def p4_fused(spark: SparkSession, folder: str) -> DataFrame:
 def _votes(spark: SparkSession, folder: str) -> DataFrame:
     """The counted votes of the judges on pairs and of the raters on screen tasks."""
     judges = table(spark, folder, "judge_votes", "pair_id", "judge_id", "relation", "voted_at")
-    known = table(spark, folder, "relation_ranks", "relation").where("relation IS NOT NULL").select(F.col("relation").alias("label")).distinct()
-    # Seven labels; a spelling is led back to its label by letters alone.
+    # A spelling is led back to its label by letters alone.
     plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
-    spelled = F.create_map(*(x for r in known.collect() for x in (F.lit("".join(ch for ch in r.label.lower() if ch.isalnum())), F.lit(r.label))))
+    spellings = {"".join(ch for ch in r.relation.lower() if ch.isalnum()): r.relation for r in reversed(_ranks(spark, folder))}
+    spelled = F.create_map(*(F.lit(x) for pair in (spellings or {"": ""}).items() for x in pair))
     relation = F.coalesce(F.try_element_at(spelled, plain(F.col("relation"))), F.trim("relation"))
     raters = table(spark, folder, "raw_critiques", "screen_task_id", "rater_id", "aesthetics_rating", "rated_at")
     rating = F.when(F.col("aesthetics_rating").between(1, 10), F.col("aesthetics_rating"))
@@ -155,7 +168,7 @@ def p5_reliability(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
-    return packing.pack(docs, "doc_id", "text", total=docs.count())
+    return packing.pack(docs, "doc_id", "text")
 
 
 def p8_fill(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Buckets of the histogram of random keys, by category.
 BUCKETS = 1 << 14
+#: Cells with a target up to which they are broadcast; more are joined by shuffle.
+BROADCAST_CELLS = 100_000
 
 
 def settle(want: list[int], floors: list[int], there: list[int], shares: list[float], total: int) -> list[int]:
@@ -93,15 +95,16 @@ def quota_sample(rows: DataFrame, targets: DataFrame, unit: str, group: str, cat
     histogram = keyed.groupBy(group, category, "__bucket").agg(F.count("*").alias("__n"))
     counts = histogram.groupBy(group, category).agg(F.sum("__n").alias("available"))
     quotas = allot(targets, counts, group, category, share, floor, total).where("quota > 0").select(group, category, "quota")
+    few = F.broadcast if targets.count() <= BROADCAST_CELLS else (lambda df: df)
     running = F.sum("__n").over(Window.partitionBy(group, category).orderBy("__bucket"))
     # At most BUCKETS rows of a cell are in this window.
     cut = (
-        histogram.join(F.broadcast(quotas), [group, category])
+        histogram.join(few(quotas), [group, category])
         .withColumn("__sum", running)
         .where(F.col("__sum") >= F.col("quota"))
         .groupBy(group, category)
         .agg(F.min("__bucket").alias("__cut"), F.first("quota").alias("quota"))
     )
-    near = keyed.join(F.broadcast(cut), [group, category]).where(F.col("__bucket") <= F.col("__cut"))
+    near = keyed.join(few(cut), [group, category]).where(F.col("__bucket") <= F.col("__cut"))
     place = F.row_number().over(Window.partitionBy(group, category).orderBy("__key", unit))
     return near.withColumn("place", place).where(F.col("place") <= F.col("quota")).select(group, category, unit, "place")
