@@ -110,8 +110,28 @@ def find_texts(df: DataFrame, text: str, pattern: str, missing: bool = False) ->
     return df.where(~hit if missing else hit)
 
 
-def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
-    """Counts of two fields with their margins, which are named (all); nulls are named (null)."""
-    counts = df.groupBy(row, column).agg(F.count("*").alias("n")).select(F.coalesce(row, F.lit("(null)")).alias(row), F.coalesce(column, F.lit("(null)")).alias(column), "n")
-    cube = counts.cube(row, column).agg(F.sum("n").alias("n"))
-    return cube.select(F.coalesce(row, F.lit("(all)")).alias(row), F.coalesce(column, F.lit("(all)")).alias(column), "n")
+def crosstab(df: DataFrame, row: str | Sequence[str], column: str) -> DataFrame:
+    """Counts of fields with their margins, which are named (all); nulls are named (null). ``row`` may be several fields, which stand for one."""
+    rows = [row] if isinstance(row, str) else list(row)
+    counts = df.groupBy(*rows, column).agg(F.count("*").alias("n")).select(*(F.coalesce(F.col(c).cast("string"), F.lit("(null)")).alias(c) for c in (*rows, column)), "n")
+    # The fields of a row are rolled up together.
+    whole = counts.select(F.struct(*rows).alias("__r"), column, "n").cube("__r", column).agg(F.sum("n").alias("n"))
+    return whole.select(*(F.coalesce(F.col(f"__r.{c}"), F.lit("(all)")).alias(c) for c in rows), F.coalesce(column, F.lit("(all)")).alias(column), "n")
+
+
+def row_shares(df: DataFrame, row: Sequence[str], column: str, name: str = "share") -> DataFrame:
+    """Counts n of fields and their share of the row's; nulls are named (null)."""
+    named = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("(null)")).alias(c) for c in (*row, column)))
+    return share_of_group(named.groupBy(*row, column).agg(F.count("*").alias("n")), row, "n", name)
+
+
+def invalid_codes(codes: DataFrame, codebook: DataFrame) -> DataFrame:
+    """The rows of ``codes`` (field, value and more) whose field is not in ``codebook`` (field, value), or whose value is not allowed in it; values are compared as texts.
+
+    ``reason`` says which. A null value is no code yet and is allowed in a known field.
+    """
+    fields = codebook.select("field").distinct().withColumn("__known", F.lit(True))
+    allowed = codebook.select("field", F.col("value").cast("string").alias("value")).distinct().withColumn("__ok", F.lit(True))
+    told = codes.withColumn("value", F.col("value").cast("string")).join(fields, "field", "left").join(allowed, ["field", "value"], "left")
+    reason = F.when(F.col("__known").isNull(), "unknown field").when(F.col("value").isNotNull() & F.col("__ok").isNull(), "value not allowed")
+    return told.withColumn("reason", reason).where("reason IS NOT NULL").drop("__known", "__ok")

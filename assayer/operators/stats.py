@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def weight(a: Column, b: Column, q: int, kind: str) -> Column:
@@ -48,7 +49,7 @@ def cohen_kappa(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 
 
 def wilcoxon(df: DataFrame, keys: list[str], d: str) -> DataFrame:
-    """n, w, ties, z, median of the signed differences ``d`` by key; zeros do not take part in n, w and z.
+    """n, w, ties, z, zeros, median of the signed differences ``d`` by key; zeros do not take part in n, w and z.
 
     Differences are counted by value first, so ranks are taken over the few distinct ones and no key's rows are gathered.
     """
@@ -64,8 +65,32 @@ def wilcoxon(df: DataFrame, keys: list[str], d: str) -> DataFrame:
     n = F.col("n").cast("double")
     w = F.least("__plus", "__minus")
     z = F.try_divide(w - n * (n + 1) / 4, F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24))
-    median = values.groupBy(*keys).agg(F.expr("percentile(__d, 0.5, __c)").alias("median"))
-    return sums.withColumn("w", w).withColumn("z", z).join(median, keys).select(*keys, "n", "w", "ties", "z", "median")
+    median = values.groupBy(*keys).agg(F.expr("percentile(__d, 0.5, __c)").alias("median"), F.coalesce(F.sum(F.when(F.col("__d") == 0, F.col("__c"))), F.lit(0)).alias("zeros"))
+    return sums.withColumn("w", w).withColumn("z", z).join(median, keys).select(*keys, "n", "w", "ties", "z", "zeros", "median")
+
+
+#: Differences up to which the exact law of W is taken, where there are no ties and no zeros. Fixed value.
+MOST_EXACT = 50
+
+
+def wilcoxon_p(w: Column, n: Column, ties: Column, zeros: Column, z: Column) -> Column:
+    """The two-sided probability of W: by its exact law for small samples without ties and zeros, else by the normal law of z. For the few rows of a result."""
+
+    def tail(w, n, ties, zeros, z):
+        def one(w, n, ties, zeros, z):
+            if n and n <= MOST_EXACT and not ties and not zeros:
+                ways = [1]
+                for rank in range(1, int(n) + 1):
+                    longer = ways + [0] * rank
+                    for i, c in enumerate(ways):
+                        longer[i + rank] += c
+                    ways = longer
+                return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2 ** int(n))
+            return None if z is None or math.isnan(z) else math.erfc(abs(z) / math.sqrt(2))
+
+        return type(w)([one(*x) for x in zip(w, n, ties, zeros, z)])
+
+    return F.pandas_udf(tail, DoubleType())(w, n, ties, zeros, z)
 
 
 def two_sided(z: Column) -> Column:
@@ -77,34 +102,65 @@ def two_sided(z: Column) -> Column:
     return F.pandas_udf(tail, "double")(z)
 
 
-def t_quantile(p: float, df: int) -> float:
-    """Quantile of Student's t by bisection over its distribution, integrated by continued fractions."""
-
-    def beta_part(x: float, a: float, b: float) -> float:
-        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) if 0 < x < 1 else 0.0
-        if x > (a + 1) / (a + b + 2):
-            return 1 - beta_part(1 - x, b, a)
-        tiny, c, d, h = 1e-300, 1.0, 1 - (a + b) * x / (a + 1), 0.0
-        d = 1 / (d if abs(d) > tiny else tiny)
-        h = d
-        for m in range(1, 300):
-            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d = 1 + num * d
-                d = 1 / (d if abs(d) > tiny else tiny)
-                c = 1 + num / c
-                c = c if abs(c) > tiny else tiny
-                h *= d * c
-            if abs(d * c - 1) < 1e-14:
-                break
-        return front * h / a
+def beta_part(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by continued fractions."""
+    if not 0 < x < 1:
+        return 0.0 if x <= 0 else 1.0
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_part(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
+    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 1000):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + num * d
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = 1 + num / c
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1) < 1e-14:
+            break
+    return front * h / a
+
+
+def t_tail(t: float, df: float) -> float:
+    """The two-sided probability of Student's t."""
+    return beta_part(df / (df + t * t), df / 2, 0.5)
+
 
+def f_tail(f: float, d1: float, d2: float) -> float:
+    """The probability of an F as large or larger."""
+    return beta_part(d2 / (d2 + d1 * f), d2 / 2, d1 / 2) if f > 0 else 1.0
+
+
+def t_quantile(p: float, df: int) -> float:
+    """Quantile of Student's t by bisection over its distribution."""
     low, high = 0.0, 1e3
     for _ in range(200):
         mid = (low + high) / 2
-        low, high = (mid, high) if 1 - beta_part(df / (df + mid * mid), df / 2, 0.5) / 2 < p else (low, mid)
+        low, high = (mid, high) if 1 - t_tail(mid, df) / 2 < p else (low, mid)
     return (low + high) / 2
 
 
+def t_half_width(n: Column, se: Column, level: float = 0.95) -> Column:
+    """Half of the t interval of a mean of ``n`` values; null for fewer than two. For the few rows of a result."""
+
+    def half(n, se):
+        return type(se)([t_quantile((1 + level) / 2, int(k) - 1) * s if k and k > 1 and s is not None and not math.isnan(s) else None for k, s in zip(n, se)])
+
+    return F.pandas_udf(half, DoubleType())(n, se)
+
+
+def t_probability(t: Column, n: Column) -> Column:
+    """The two-sided probability of ``t`` with ``n`` - 1 degrees of freedom. For the few rows of a result."""
+
+    def tail(t, n):
+        return type(t)([None if x is None or math.isnan(x) or not k or k < 2 else t_tail(x, k - 1) for x, k in zip(t, n)])
+
+    return F.pandas_udf(tail, DoubleType())(t, n)
+
+
 def bootstrap_mean(df: DataFrame, keys: list[str], cluster: str, value: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """mean, low, high of each key: a 95 % interval from resampling whole clusters with replacement.
 
@@ -149,6 +205,29 @@ def icc(df: DataFrame, subject: str, rater: str, score: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(n, k, value)], "n_subjects long, n_raters long, icc double")
 
 
+def icc_pairs(df: DataFrame, subject: str, rater: str, score: str) -> DataFrame:
+    """left_rater, right_rater, n and the six intraclass correlations (icc1, icc2, icc3 of single ratings, icc1k, icc2k, icc3k of their means) of every two raters.
+
+    They are taken over the subjects that both rated; a rater's several scores of a subject count by their mean. Null where they are undefined. A subject makes
+    no more pairs than there are pairs of raters.
+    """
+    per = df.groupBy(F.col(subject).alias("s"), F.col(rater).alias("r")).agg(F.avg(score).alias("v")).where("s IS NOT NULL AND r IS NOT NULL AND v IS NOT NULL")
+    both = per.select("s", F.col("r").alias("left_rater"), F.col("v").alias("x")).join(per.select("s", F.col("r").alias("right_rater"), F.col("v").alias("y")), "s").where("left_rater < right_rater")
+    x, y = F.col("x"), F.col("y")
+    sums = both.groupBy("left_rater", "right_rater").agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x + y * y).alias("sq"), F.sum((x + y) * (x + y)).alias("sp"))
+    n, k = F.col("n"), 2
+    base = (F.col("sx") + F.col("sy")) * (F.col("sx") + F.col("sy")) / (k * n)
+    of_subjects, of_raters, whole = F.col("sp") / k - base, (F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy")) / n - base, F.col("sq") - base
+    told = sums.select(
+        "left_rater", "right_rater", "n", F.try_divide(of_subjects, n - 1).alias("r"), of_raters.alias("c"), F.try_divide(whole - of_subjects - of_raters, n - 1).alias("e"), ((whole - of_subjects) / n).alias("w")
+    )
+    r, c, e, w = (F.col(f) for f in "rcew")
+    return told.select(
+        "left_rater", "right_rater", "n", F.try_divide(r - w, r + w).alias("icc1"), F.try_divide(r - e, r + e + k * (c - e) / n).alias("icc2"), F.try_divide(r - e, r + e).alias("icc3"),
+        F.try_divide(r - w, r).alias("icc1k"), F.try_divide(r - e, r + (c - e) / n).alias("icc2k"), F.try_divide(r - e, r).alias("icc3k"),
+    )
+
+
 def shapiro(values) -> tuple[float, float]:
     """W and its p of up to 5000 values, by Royston's approximation."""
     import numpy as np
@@ -262,7 +341,7 @@ def bootstrap_gap(df: DataFrame, keys: list[str], cluster: str, side: str, value
 
 
 def manova(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
-    """n, groups, wilks, pillai of a one-way comparison of several scores at once, from sums of products by group; rows with a null take no part."""
+    """n, groups, wilks, pillai, f (of wilks), p of a one-way comparison of several scores at once, from sums of products by group; rows with a null take no part."""
     import numpy as np
 
     whole = df.where(F.col(group).isNotNull()).dropna(subset=columns)
@@ -285,4 +364,12 @@ def manova(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
         within, between = total - mean_sum, mean_sum - np.outer(s_all, s_all) / n
         wilks = float(np.linalg.det(within) / np.linalg.det(within + between))
         pillai = float(np.trace(between @ np.linalg.inv(within + between)))
-    return df.sparkSession.createDataFrame([(int(n), len(rows), wilks, pillai)], "n long, groups long, wilks double, pillai double")
+    f = p = None
+    if wilks is not None and wilks > 0:
+        # Rao's F; for two groups it is exact.
+        k, q = len(columns), len(rows) - 1
+        t = math.sqrt((k * k * q * q - 4) / (k * k + q * q - 5)) if k * k + q * q > 5 else 1.0
+        d1, d2 = k * q, t * (n - 1 - (k + q + 1) / 2) - k * q / 2 + 1
+        f = (1 - wilks ** (1 / t)) / wilks ** (1 / t) * d2 / d1
+        p = f_tail(f, d1, d2)
+    return df.sparkSession.createDataFrame([(int(n), len(rows), wilks, pillai, f, p)], "n long, groups long, wilks double, pillai double, f double, p double")

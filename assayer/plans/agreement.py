@@ -506,3 +506,24 @@ def flag_consistency(t: Tables):
 @query("""SELECT coalesce(model_short, '(all)') AS model_short, coalesce(relation, '(all)') AS relation, sum(n)::BIGINT AS n FROM (SELECT model_short, coalesce(relation, '(null)') AS relation, count(*) AS n FROM match_pairs GROUP BY ALL) GROUP BY CUBE (model_short, relation)""")
 def crosstab_margins(t: Tables):
     return R.crosstab(t("match_pairs", "model_short", "relation"), "model_short", "relation")
+
+
+@query("""WITH c AS (SELECT coalesce(model_short, '(null)') AS model_short, coalesce((relation = 'contradiction')::VARCHAR, '(null)') AS contradiction, coalesce(decision_source, '(null)') AS decision_source FROM match_pairs)
+    SELECT model_short, contradiction, decision_source, count(*)::BIGINT AS n FROM c GROUP BY ALL UNION ALL SELECT model_short, contradiction, '(all)', count(*)::BIGINT FROM c GROUP BY ALL
+    UNION ALL SELECT '(all)', '(all)', decision_source, count(*)::BIGINT FROM c GROUP BY ALL UNION ALL SELECT '(all)', '(all)', '(all)', count(*)::BIGINT FROM c""")
+def crosstab_two_keys(t: Tables):
+    """Models and whether they contradict, against how it was decided, with margins."""
+    return R.crosstab(t("match_pairs", "model_short", "relation", "decision_source").withColumn("contradiction", F.col("relation") == "contradiction"), ["model_short", "contradiction"], "decision_source")
+
+
+@query("""SELECT model_short, relation, n, round(n / sum(n) OVER (PARTITION BY model_short), 6)::DOUBLE AS share FROM (SELECT model_short, coalesce(relation, '(null)') AS relation, count(*)::BIGINT AS n FROM match_pairs GROUP BY ALL)""")
+def crosstab_row_shares(t: Tables):
+    return R.row_shares(t("match_pairs", "model_short", "relation"), ["model_short"], "relation").withColumn("share", F.round("share", 6))
+
+
+@query("""SELECT vote_id, field, value, CASE WHEN field = 'note' THEN 'unknown field' ELSE 'value not allowed' END AS reason FROM (SELECT vote_id, unnest(['relation', 'note']) AS field, unnest([relation, judge_id]) AS value FROM judge_votes)
+    WHERE field = 'note' OR (value IS NOT NULL AND value NOT IN (SELECT relation FROM relation_ranks))""")
+def codebook_validation(t: Tables):
+    """Codes of votes that the codebook does not allow: relations that are none as they stand, and a field that it does not know."""
+    codes = t("judge_votes", "vote_id", "relation", "judge_id").selectExpr("vote_id", "stack(2, 'relation', relation, 'note', judge_id) AS (field, value)")
+    return R.invalid_codes(codes, t("relation_ranks", F.lit("relation").alias("field"), F.col("relation").alias("value"))).select("vote_id", "field", "value", "reason")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import scalars as S
-from assayer.operators import reshape as R, stats as T
+from assayer.operators import matching as M, reshape as R, stats as T
+from assayer.operators.lookup import lookup_join
+from assayer.plans import agreement as A
 from assayer.plans.prepare import ASPECTS, SCALES
 from assayer.plans.registry import Registry, Tables
 
@@ -139,13 +141,14 @@ WILCOXON_SQL = RATED_SQL + """, z AS (SELECT model, aspect, abs(delta) AS m, del
 
 @query(WILCOXON_SQL + """SELECT model, aspect, n, least(coalesce(p, 0), all_w - coalesce(p, 0))::DOUBLE AS w, ties, round((least(coalesce(p, 0), all_w - coalesce(p, 0)) - n * (n + 1) / 4.0) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24.0), 6) AS z, median FROM a JOIN t USING (model, aspect) JOIN o USING (model, aspect)""")
 def wilcoxon_core(t: Tables):
-    return T.wilcoxon(rating_long(t), ["model", "aspect"], "delta").withColumn("z", F.round("z", 6))
+    return T.wilcoxon(rating_long(t), ["model", "aspect"], "delta").withColumn("z", F.round("z", 6)).drop("zeros")
 
 
 @query()
 def wilcoxon_p(t: Tables):
-    """wilcoxon_core with its normal p, stars and significance."""
-    out = T.wilcoxon(rating_long(t), ["model", "aspect"], "delta").withColumn("p", T.two_sided(F.col("z")))
+    """wilcoxon_core with its p (exact for small samples without ties), stars and significance."""
+    out = T.wilcoxon(rating_long(t), ["model", "aspect"], "delta")
+    out = out.withColumn("p", T.wilcoxon_p(F.col("w"), F.col("n"), F.col("ties"), F.col("zeros"), F.col("z")))
     return out.select("model", "aspect", "n", "median", "p", S.p_stars(F.col("p")).alias("stars"), (F.col("p") < 0.05).alias("significant"))
 
 
@@ -191,9 +194,7 @@ def bp_kappa_ci(t: Tables):
         df = rating_long(t).where(scale() == q)
         one = T.uniform_kappa(df, ["model", "aspect"], "expert_score", "llm_score", q, "quadratic")
         out = one if out is None else out.unionByName(one)
-    quantile = F.udf(lambda n: T.t_quantile(0.975, int(n) - 1) if n and n > 1 else None, "double")
-    half = quantile("n") * F.col("se")
-    out = out.where("n >= 10").withColumn("half", half).withColumn("p", T.two_sided(F.try_divide(F.col("kappa"), F.col("se"))))
+    out = out.where("n >= 10").withColumn("half", T.t_half_width(F.col("n"), F.col("se"))).withColumn("p", T.t_probability(F.try_divide(F.col("kappa"), F.col("se")), F.col("n")))
     return out.select("model", "aspect", "n", "kappa", (F.col("kappa") - F.col("half")).alias("low"), F.least(F.col("kappa") + F.col("half"), F.lit(1.0)).alias("high"), "p")
 
 
@@ -219,12 +220,14 @@ def paired_t(t: Tables):
     return rating_long(t).groupBy("model", "aspect").agg(F.count("*").alias("n"), F.round(F.try_divide(F.avg("delta"), d / F.sqrt(F.count("*"))), 6).alias("t"), d.alias("sd")).where("n >= 10 AND sd > 0").drop("sd")
 
 
-@query()
+@query("""WITH s AS (SELECT screen_task_id, rater_id, usability_rating AS v FROM (SELECT *, row_number() OVER (PARTITION BY screen_task_id, rater_id ORDER BY rated_at DESC, critique_id DESC) AS k FROM raw_critiques) WHERE k = 1 AND usability_rating BETWEEN 1 AND 10),
+    q AS (SELECT a.rater_id AS left_rater, b.rater_id AS right_rater, count(*)::BIGINT AS n, avg(a.v) AS ma, avg(b.v) AS mb, sum(a.v * a.v + b.v * b.v)::DOUBLE AS sq, sum((a.v + b.v) * (a.v + b.v)) / 2.0 AS sp FROM s a JOIN s b ON a.screen_task_id = b.screen_task_id AND a.rater_id < b.rater_id GROUP BY ALL),
+    m AS (SELECT left_rater, right_rater, n, (sp - 2 * n * ((ma + mb) / 2) ** 2) / nullif(n - 1, 0) AS r, n * ((ma - (ma + mb) / 2) ** 2 + (mb - (ma + mb) / 2) ** 2) AS c, (sq - sp - n * ((ma - (ma + mb) / 2) ** 2 + (mb - (ma + mb) / 2) ** 2)) / nullif(n - 1, 0) AS e, (sq - sp) / n AS w FROM q)
+    SELECT left_rater, right_rater, n, round((r - w) / nullif(r + w, 0), 6) AS icc1, round((r - e) / nullif(r + e + 2 * (c - e) / n, 0), 6) AS icc2, round((r - e) / nullif(r + e, 0), 6) AS icc3, round((r - w) / nullif(r, 0), 6) AS icc1k, round((r - e) / nullif(r + (c - e) / n, 0), 6) AS icc2k, round((r - e) / nullif(r, 0), 6) AS icc3k FROM m""")
 def icc(t: Tables):
-    """Agreement of the two raters with most tasks on the tasks both rated."""
-    s = scores(t).where("aspect = 'usability_rating'")
-    top = [r.rater_id for r in s.groupBy("rater_id").count().orderBy(F.desc("count"), "rater_id").limit(2).collect()]
-    return T.icc(s.where(F.col("rater_id").isin(top)), "screen_task_id", "rater_id", "score")
+    """The six intraclass correlations of every two raters over the tasks that both rated."""
+    out = T.icc_pairs(scores(t).where("aspect = 'usability_rating'"), "screen_task_id", "rater_id", "score")
+    return out.select("left_rater", "right_rater", "n", *(F.round(c, 6).alias(c) for c in ("icc1", "icc2", "icc3", "icc1k", "icc2k", "icc3k")))
 
 
 @query()
@@ -234,11 +237,32 @@ def bootstrap_ci(t: Tables):
     return T.bootstrap_mean(rating_long(t).join(apps, "screen_task_id").withColumn("e", F.abs("delta").cast("double")), ["model"], "app", "e")
 
 
-@query()
+GAP_SQL = f"""WITH {A.LBL}, h AS (SELECT comment_id, lower(trim(observed_issue)) AS text FROM (SELECT *, row_number() OVER (PARTITION BY comment_id ORDER BY record_id) AS k FROM human_comments) WHERE k = 1), f AS (SELECT comment_id, count(*) OVER (PARTITION BY text) >= 10 AS template FROM h WHERE text IS NOT NULL),
+    e AS (SELECT model_short, expert_comment_id, max({A.W}) AS w FROM lbl GROUP BY ALL)"""
+
+
+def template_weights(t: Tables) -> DataFrame:
+    """model_short, expert_comment_id, w (its best weight), template (whether ten expert comments or more have its text), app."""
+    first = t("human_comments", "record_id", "comment_id", "observed_issue", "screen_task_id").groupBy("comment_id").agg(F.min_by(F.struct("observed_issue", "screen_task_id"), "record_id").alias("r"))
+    texts = first.select("comment_id", F.lower(F.trim("r.observed_issue")).alias("text"), F.col("r.screen_task_id").alias("screen_task_id")).where("text IS NOT NULL")
+    often = texts.groupBy("text").agg(F.count("*").alias("n"))
+    flagged = lookup_join(texts, often, ["text"], "n", texts.count()).select(F.col("comment_id").alias("expert_comment_id"), (F.col("n") >= 10).alias("template"), "screen_task_id")
+    best = A.labels(t).groupBy("model_short", "expert_comment_id").agg(F.max(F.coalesce(M.relation_weight(F.col("relation")), F.lit(0.0))).alias("w"))
+    return best.join(flagged, "expert_comment_id").join(t("screen_tasks", "screen_task_id", "app"), "screen_task_id", "left")
+
+
+@query(GAP_SQL + """ SELECT model_short, round(avg(w) FILTER (template), 6) AS template_cov, round(avg(w) FILTER (NOT template), 6) AS other_cov, round(avg(w) FILTER (template) - avg(w) FILTER (NOT template), 6) AS gap FROM e JOIN f ON expert_comment_id = comment_id GROUP BY 1""")
 def coverage_gap(t: Tables):
-    """The gap in error between the promptings of a model: each side's interval by resampling apps."""
-    apps = t("screen_tasks", "screen_task_id", "app")
-    return T.bootstrap_mean(rating_long(t).join(apps, "screen_task_id").withColumn("e", F.abs("delta").cast("double")), ["model", "prompting"], "app", "e")
+    """How much better or worse a model covers expert comments of a frequent wording than others."""
+    side = lambda c: F.avg(F.when(c, F.col("w")))
+    out = template_weights(t).groupBy("model_short").agg(side(F.col("template")).alias("a"), side(~F.col("template")).alias("b"))
+    return out.select("model_short", F.round("a", 6).alias("template_cov"), F.round("b", 6).alias("other_cov"), F.round(F.col("a") - F.col("b"), 6).alias("gap"))
+
+
+@query()
+def coverage_gap_ci(t: Tables):
+    """coverage_gap with an interval from resampling apps."""
+    return T.bootstrap_gap(template_weights(t), ["model_short"], "app", "template", "w")
 
 
 @query()
@@ -264,5 +288,6 @@ def error_gap(t: Tables):
 
 @query()
 def manova(t: Tables):
-    """The raters compared on all five ratings at once."""
-    return T.manova(t("raw_critiques", "rater_id", *ASPECTS), "rater_id", list(ASPECTS))
+    """The first raters of the tasks, who stand for people, against the others on all five ratings at once."""
+    wide = scores(t).groupBy("screen_task_id", "rater_id", "first").pivot("aspect", list(ASPECTS)).agg(F.max("score"))
+    return T.manova(wide.withColumn("source", F.when(F.col("first"), "Human").otherwise("Model")), "source", list(ASPECTS))

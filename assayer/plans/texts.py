@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import scalars as S
-from assayer.operators import batch as B, guidelines as G, parser as P, reshape as R
+from assayer.operators import batch as B, guidelines as G, parser as P, prompts as PR, reshape as R
 from assayer.plans.registry import Registry, Tables
 
 registry = Registry()
@@ -245,6 +245,84 @@ def request_rows(t: Tables):
     return body.select("screen_task_id", F.get_json_object("line", "$.custom_id").alias("custom_id"), F.length(F.get_json_object("line", "$.body.messages[1].content")).alias("n_chars"))
 
 
+def _q(text: str) -> str:
+    return text.replace("'", "''")
+
+
+_BLOCKS = {a: PR.RATING_HEADER.replace("{guidelines}", PR.GUIDELINES_P1) + PR.TASK_LINE + "\n\n" + r + "\n" + PR.RETURN_LINE + f for a, (r, f, _) in PR.ASPECTS.items()}
+
+
+@query("SELECT screen_task_id, aspect, md5(replace(text, '{task}', task)) AS prompt FROM screen_tasks, (" + " UNION ALL ".join(f"SELECT '{a}' AS aspect, '{_q(x)}' AS text" for a, x in _BLOCKS.items()) + ") WHERE task IS NOT NULL")
+def rating_prompts(t: Tables):
+    """The prompts of all ratings without examples, by their digest."""
+    df = B.rating_schedule(t("screen_tasks", "screen_task_id"), list(PR.ASPECTS)).join(t("screen_tasks", "screen_task_id", "task"), "screen_task_id").where("task IS NOT NULL")
+    return df.select("screen_task_id", "aspect", F.md5(PR.rating_prompt(F.col("task"), F.col("aspect"), PR.GUIDELINES_P1)).alias("prompt"))
+
+
+@query("SELECT screen_task_id, version, md5(replace(text, '{task}', task)) AS prompt FROM screen_tasks, (" + " UNION ALL ".join(f"SELECT '{v}' AS version, '{_q(PR.critique_template(v).replace('{guidelines}', PR.GUIDELINES_P1 if v == 'p1' else PR.GUIDELINES))}' AS text" for v in PR.CRITIQUES) + ") WHERE task IS NOT NULL")
+def critique_prompts(t: Tables):
+    """The prompts of all critiques in every version, by their digest."""
+    df = t("screen_tasks", "screen_task_id", "task").where("task IS NOT NULL")
+    told = F.array(*(F.struct(F.lit(v).alias("version"), F.md5(PR.critique_prompt(F.col("task"), PR.GUIDELINES_P1 if v == "p1" else PR.GUIDELINES, v)).alias("prompt")) for v in PR.CRITIQUES))
+    return df.select("screen_task_id", F.inline(told))
+
+
+_BOX_TEXT = "CASE WHEN {b} IS NULL THEN 'unavailable' ELSE '[' || concat_ws(', ', printf('%.3f', {b}.x_min), printf('%.3f', {b}.y_min), printf('%.3f', {b}.x_max), printf('%.3f', {b}.y_max)) || ']' END"
+
+
+@query(f"""WITH h AS (SELECT comment_id, observed_issue, CASE WHEN bounding_box.x_min IS NULL OR bounding_box.x_max IS NULL OR bounding_box.y_min IS NULL OR bounding_box.y_max IS NULL THEN NULL ELSE bounding_box END AS b, screen_task_id FROM (SELECT *, row_number() OVER (PARTITION BY comment_id ORDER BY record_id) AS k FROM human_comments) WHERE k = 1)
+    SELECT pair_id, md5('{_q(chr(10).join(PR.MATCH_HEAD))}' || chr(10) || coalesce(s.task, '') || chr(10) || '{_q(chr(10).join(PR.MATCH_BOX))}' || chr(10) || {_BOX_TEXT.format(b='h.b')} || chr(10) || chr(10) || 'Comment A:' || chr(10) || coalesce(h.observed_issue, '') || chr(10) || chr(10) || 'Comment B:' || chr(10) || coalesce(m.llm_observed_issue, '')
+    || chr(10) || '{_q(chr(10).join(PR.MATCH_TAIL))}') AS prompt FROM (SELECT DISTINCT pair_id, screen_task_id, expert_comment_id, llm_observed_issue FROM match_pairs) m JOIN h ON h.comment_id = m.expert_comment_id LEFT JOIN screen_tasks s ON s.screen_task_id = m.screen_task_id""")
+def match_prompts(t: Tables):
+    """The question of each pair of an expert's and a model's comment, by its digest. A box that lacks a corner counts as none."""
+    first = t("human_comments", "record_id", "comment_id", "observed_issue", "bounding_box").groupBy(F.col("comment_id").alias("expert_comment_id")).agg(F.min_by(F.struct("observed_issue", "bounding_box"), "record_id").alias("r"))
+    b = F.col("r.bounding_box")
+    box = F.when(b["x_min"].isNotNull() & b["x_max"].isNotNull() & b["y_min"].isNotNull() & b["y_max"].isNotNull(), b)
+    pairs = t("match_pairs", "pair_id", "screen_task_id", "expert_comment_id", "llm_observed_issue").distinct().join(first, "expert_comment_id").join(t("screen_tasks", "screen_task_id", "task"), "screen_task_id", "left")
+    return pairs.select("pair_id", F.md5(PR.MATCH_REVIEW.prompt(F.col("task"), F.col("r.observed_issue"), box, F.col("llm_observed_issue"))).alias("prompt"))
+
+
+@query("""SELECT shape, screen_task_id AS custom_id, model, task AS text, 'sys' AS system, 0.5::DOUBLE AS temperature, 2048 AS max_tokens, CASE WHEN screen_id % 2 = 0 THEN ['sample image 1', 'target image'] ELSE ['target image'] END AS labels FROM
+    (SELECT * FROM screen_tasks WHERE trim(coalesce(task, '')) <> ''), (SELECT unnest(['chat', 'messages', 'parts']) AS shape, unnest(['m', 'm', 'models/m']) AS model)""")
+def request_previews(t: Tables):
+    """Request lines in three providers' shapes with a sample image for every other screen, read back."""
+    df = t("screen_tasks", "screen_task_id", "screen_id", "task").where("trim(coalesce(task, '')) <> ''")
+    images = F.array(F.when(F.col("screen_id") % 2 == 0, F.base64(F.lit("sample").cast("binary"))), F.base64(F.col("screen_task_id").cast("binary")))
+    args = (F.col("screen_task_id"), "m", "sys", F.col("task"), 0.5, 2048, images)
+    lines = {"chat": B.chat_request(*args, schema=PR.MATCH_REVIEW.schema), "messages": B.messages_request(*args), "parts": B.content_parts_request(*args, schema=PR.MATCH_REVIEW.schema)}
+    rows = df.select(F.inline(F.array(*(F.struct(F.lit(k).alias("shape"), v.alias("line")) for k, v in lines.items())))).withColumn("p", B.preview(F.col("line")))
+    return rows.select("shape", "p.custom_id", "p.model", "p.text", "p.system", "p.temperature", "p.max_tokens", F.transform("p.images", lambda x: x["label"]).alias("labels"))
+
+
+@query("""WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY screen_task_id ORDER BY rated_at DESC, critique_id DESC) AS k FROM raw_critiques WHERE screen_task_id IS NOT NULL) WHERE k = 1)
+    SELECT screen_task_id, NULL::INT AS trial, aesthetics_rating::DOUBLE AS aesthetics_rating, learnability::DOUBLE AS learnability, efficiency::DOUBLE AS efficiency, usability_rating::DOUBLE AS usability_rating, NULL::DOUBLE AS design_quality_rating FROM r""")
+def ratings_from_answers(t: Tables):
+    """Answers about two aspects, written as models do, led back to the columns they fill; the last answer counts and the third aspect was never asked."""
+    df = t("raw_critiques", "critique_id", "screen_task_id", "rated_at", "aesthetics_rating", "learnability", "efficiency", "usability_rating").where("screen_task_id IS NOT NULL")
+    noisy = lambda *columns: F.concat(F.lit("Sure:\n```json\n"), F.to_json(F.struct(*columns)), F.lit("\n```"))
+    asked = {"aesthetics_rating": noisy("aesthetics_rating"), "usability_rating": noisy("learnability", "efficiency", "usability_rating")}
+    rows = df.select("rated_at", "critique_id", F.inline(F.array(*(F.struct(F.concat("screen_task_id", F.lit(f"&aspect={a}")).alias("custom_id"), text.alias("text")) for a, text in asked.items()))))
+    return B.ratings_of(rows, ["rated_at", "critique_id"])
+
+
+@query("""SELECT o_orderkey AS job, CASE WHEN o_orderstatus = 'P' THEN 'retry_pending' ELSE o_orderstatus END AS status, CASE WHEN o_orderstatus <> 'P' THEN o_custkey::VARCHAR END AS batch_id, (o_orderstatus = 'P')::BIGINT AS n_attempts, CASE WHEN o_orderstatus = 'P' THEN o_custkey::VARCHAR END AS last_batch FROM orders""")
+def attempts_archive(t: Tables):
+    """Jobs whose attempt failed keep it and are ready to be submitted again."""
+    s, none = F.col("o_orderstatus"), F.lit(None).cast("string")
+    kept = "array<struct<input_file_id:string,batch_id:string,status:string,created_at:string,retrieved_at:string,error:string,check_failures:int,archived_at:string>>"
+    jobs = t("orders", "o_orderkey", "o_custkey", "o_orderstatus").select(
+        F.col("o_orderkey").alias("job"), none.alias("input_file_id"), F.col("o_custkey").cast("string").alias("batch_id"), s.alias("status"), none.alias("created_at"), none.alias("retrieved_at"), none.alias("error"), F.lit(0).alias("check_failures"), F.lit(None).cast(kept).alias("attempts")
+    )
+    out = B.archive_attempts(jobs, F.col("status") == "P", F.lit("now"))
+    return out.select("job", "status", "batch_id", F.greatest(F.coalesce(F.size("attempts"), F.lit(0)), F.lit(0)).cast("long").alias("n_attempts"), F.try_element_at("attempts", F.lit(-1))["batch_id"].alias("last_batch"))
+
+
+@query("""SELECT screen_task_id FROM screen_tasks WHERE screen_task_id NOT IN (SELECT min(screen_task_id) FROM screen_tasks GROUP BY screen_id ORDER BY screen_id LIMIT 50)""")
+def schedule_complement(t: Tables):
+    """The tasks outside the subset of subset_first_n."""
+    return t("screen_tasks", "screen_task_id").join(subset_first_n(t), "screen_task_id", "left_anti")
+
+
 @query()
 def pack_files(t: Tables):
     """Request lines packed into files of at most 20,000 bytes."""

@@ -370,3 +370,54 @@ def test_boxes_against_all_pairs(spark):
     for least in (0.5, 0.1):
         want = {(a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and a[1] == b[1] and iou(a[2], b[2]) >= least}
         assert {tuple(r) for r in dedup.overlap_edges(df, "g", "k", "b", least).collect()} == want
+
+
+def test_rating_prompts_with_examples(spark):
+    from assayer.operators import prompts
+
+    df = spark.createDataFrame([("Find {it}", "usability_rating"), (None, "usability_rating")], "task string, aspect string")
+    examples = [{"task": f"e{i}", "learnability": i, "efficiency": i, "usability_rating": 2 * i} for i in (1, 2, 3)]
+    text, none = (r[0] for r in df.select(prompts.rating_prompt(F.col("task"), F.col("aspect"), "G", examples)).collect())
+    assert none is None and text.count("Screen Task: ") == 4 and "Image 2 — mid rating\nScreen Task: e2\nExpert Learnability: 2, Efficiency: 2, Usability Rating: 4\n" in text
+    assert text.endswith('Screen Task: Find {it}\n' + prompts.RETURN_LINE + '{"learnability": <number>, "efficiency": <number>, "usability_rating": <number>}')
+    with pytest.raises(ValueError):
+        prompts.rating_prompt(F.col("task"), F.col("aspect"), "G", examples[:2])
+    with pytest.raises(Exception, match="unknown aspect"):
+        df.select(prompts.rating_prompt(F.col("task"), F.lit("speed"), "G")).collect()
+
+
+def test_duplicate_prompt_and_its_answers(spark):
+    from assayer.operators import prompts
+
+    box = "struct<x_min: double, y_min: double, x_max: double, y_max: double>"
+    df = spark.createDataFrame([("t", "a", (0.0, 0.0, 1.0, 1.0), None, (0.0, 0.0, 1.0, 0.5)), (None, "a", None, "b", None)], f"task string, l string, lb {box}, r string, rb {box}")
+    review = prompts.DUPLICATE_REVIEW
+    one, two = (r[0] for r in df.select(review.prompt(F.col("task"), F.col("l"), F.col("lb"), F.col("r"), F.col("rb"))).collect())
+    assert "Task: t\nComment A: a\nComment A bounding box: [0.000, 0.000, 1.000, 1.000]\nComment B: \nComment B bounding box: [0.000, 0.000, 1.000, 0.500]\nBBox IoU between annotated regions: 0.500\n" in one
+    assert "Task: \n" in two and two.count("unavailable") == 3
+    assert review.required()["recommended_action"] == ["keep_A", "keep_B", "keep_both", "manual_review"] and review.required()["reasoning"] is None
+
+
+def test_exact_and_normal_p(spark):
+    """Known values: W = 3 of six differences has p = 0.15625; F and t tails from tables."""
+    d = [1.0, -2.0, 3.0, 4.0, 5.0, 6.0]
+    out = T.wilcoxon(spark.createDataFrame([("k", x) for x in d], "k string, d double"), ["k"], "d")
+    row = out.withColumn("p", T.wilcoxon_p(F.col("w"), F.col("n"), F.col("ties"), F.col("zeros"), F.col("z"))).first()
+    assert row.w == 2.0 and abs(row.p - 6 / 64) < 1e-12
+    assert abs(T.t_tail(2.228139, 10) - 0.05) < 1e-6 and abs(T.f_tail(4.102821, 2, 10) - 0.05) < 1e-6 and abs(T.t_quantile(0.975, 10) - 2.228139) < 1e-5
+
+
+def test_icc_forms(spark):
+    """Two raters of a published example's kind, worked out by mean squares."""
+    import numpy as np
+
+    x = np.array([[9, 2], [6, 1], [8, 4], [7, 1], [10, 5], [6, 2]], dtype=float)
+    rows = [(str(i), r, float(v)) for i, pair in enumerate(x) for r, v in zip("ab", pair)]
+    got = T.icc_pairs(spark.createDataFrame(rows, "s string, r string, v double"), "s", "r", "v").first()
+    n, k = x.shape
+    ms_r = k * ((x.mean(1) - x.mean()) ** 2).sum() / (n - 1)
+    ms_c = n * ((x.mean(0) - x.mean()) ** 2).sum() / (k - 1)
+    ms_e = ((x - x.mean(1, keepdims=True) - x.mean(0) + x.mean()) ** 2).sum() / ((n - 1) * (k - 1))
+    ms_w = ((x - x.mean(1, keepdims=True)) ** 2).sum() / (n * (k - 1))
+    want = {"icc1": (ms_r - ms_w) / (ms_r + ms_w), "icc2": (ms_r - ms_e) / (ms_r + ms_e + 2 * (ms_c - ms_e) / n), "icc3": (ms_r - ms_e) / (ms_r + ms_e), "icc1k": (ms_r - ms_w) / ms_r, "icc2k": (ms_r - ms_e) / (ms_r + (ms_c - ms_e) / n), "icc3k": (ms_r - ms_e) / ms_r}
+    assert all(abs(got[name] - v) < 1e-9 for name, v in want.items())
