@@ -108,6 +108,11 @@ def p_stars(p: Column) -> Column:
     return F.when(p.isNull(), "").when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
 
 
+def p_text(p: Column) -> Column:
+    """A probability as it is written beside a figure."""
+    return F.when(p < 0.001, "p<0.001").otherwise(F.concat(F.lit("p="), F.format_string("%.3f", p)))
+
+
 def literal_list(text: Column) -> Column:
     """A list literal of quoted texts as array<string>; null if it is none."""
     return F.from_json(text, "array<string>", {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.functions.scalars import clean_text
 from assayer.operators.lookup import lookup_join
 from assayer.operators.reshape import first_per_key
 
@@ -259,3 +260,20 @@ def comment_pairs_in_blocks(experts: DataFrame, models: DataFrame, task: str = "
     both = left.join(right, [task, "__i", "__j"]).drop("__i", "__j")
     pair_id = F.concat_ws("_", "model_short", "expert_comment_id", F.regexp_extract("llm_comment_id", "[^_]*$", 0))
     return both.select(pair_id.alias("pair_id"), *both.columns)
+
+
+def expand_critiques(answers: DataFrame, model: str, task: str = "screen_task_id", critiques: str = "critiques") -> DataFrame:
+    """One row per comment of the JSON lists in ``critiques``: task, llm_comment_id (L_<model>_<task>_<number>) and the comment's fields with llm_ in front.
+
+    Comments are numbered in the order of the answer; the reference is taken from guideline_references or else guideline_reference, lists as JSON. Elements
+    that are no objects are no comments; comments without an issue are dropped after they were numbered. Lists that cannot be read give no row.
+    """
+    elements = F.filter(F.from_json(F.col(critiques), "array<string>"), lambda e: e.startswith("{"))
+    rows = answers.select(task, F.posexplode(elements).alias("__i", "__e"))
+    get = lambda name: F.get_json_object("__e", f"$.{name}")
+    number = F.lpad((F.col("__i") + 1).cast("string"), F.greatest(F.lit(3), F.length((F.col("__i") + 1).cast("string"))), F.lit("0"))
+    out = rows.select(
+        task, F.concat(F.lit(f"L_{model}_"), F.col(task), F.lit("_"), number).alias("llm_comment_id"), get("expected_standard").alias("llm_expected_standard"), clean_text(get("observed_issue")).alias("llm_observed_issue"),
+        get("suggested_fix").alias("llm_suggested_fix"), F.coalesce(get("guideline_references"), get("guideline_reference")).alias("llm_guideline_reference"),
+    )
+    return out.where("llm_observed_issue <> ''")

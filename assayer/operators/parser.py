@@ -10,11 +10,11 @@ from assayer.functions.scalars import BOX
 PARTS = ("expected_standard", "observed_issue", "suggested_fix")
 
 # Wordings that begin a part. Fixed values.
-_HEADER = r"(?iU)^\s*((?:llm\s+)?comment\s*[:#]?\s*\d+)\b[\s:,\-–—]*"
-_BOX = r"(?iU)(?:\bbounding\s*box\b|\bboundingbox\b)\s*[:\-]?\s*\[([^\]]+)\]"
-_EXPECTED = r"(?iU)\bthe\s+expected\s+standard\b|\bthe\s+standard\s+is\b|\nhe\s+expected\s+standard\s+is\b|\bhe\s+expected\s+standard\s+is\b"
-_OBSERVED = r"(?iU)\bin\s+the\s+current\s+design\b|\bin\s+the\s+current\s+layout\b|\bin\s+this\s+current\s+design\b|\bin\s+the\s+current\s+,"
-_FIX = r"(?iU)\bto\s+fix\s+this\b|\bto\s+fix\s+it\b"
+HEADER = r"(?iU)^\s*((?:llm\s+)?comment\s*[:#]?\s*\d+)\b[\s:,\-–—]*"
+BOX_PATTERN = r"(?iU)(?:\bbounding\s*box\b|\bboundingbox\b)\s*[:\-]?\s*\[([^\]]+)\]"
+EXPECTED = r"(?iU)\bthe\s+expected\s+standard\b|\bthe\s+standard\s+is\b|\nhe\s+expected\s+standard\s+is\b|\bhe\s+expected\s+standard\s+is\b"
+OBSERVED = r"(?iU)\bin\s+the\s+current\s+design\b|\bin\s+the\s+current\s+layout\b|\bin\s+this\s+current\s+design\b|\bin\s+the\s+current\s+,"
+FIX = r"(?iU)\bto\s+fix\s+this\b|\bto\s+fix\s+it\b"
 #: Connecting words after the expected standard, taken off one after the other.
 _GLUE = (r"is\s+that", r"is\s+to", "that", "to", "is")
 
@@ -39,22 +39,23 @@ def parse_comments(df: DataFrame, text: str, position: Column, name: str = "pars
     """``df`` with the struct ``name`` of the comment in ``text``; ``position`` labels comments without a header.
 
     A part runs from its first marker to the next part's first marker; the fix runs from its marker to the end. Without any marker all is the observed
-    issue. A box with fewer than four numbers is null. Null texts give null parts.
+    issue. A box with fewer than four numbers is null; the numbers of any box are in box_numbers. Null texts give null parts.
     """
     raw = _strip(F.coalesce(F.col(text), F.lit("")))
-    cid = F.regexp_extract("__raw", _HEADER, 1)
+    cid = F.regexp_extract("__raw", HEADER, 1)
     number = F.regexp_extract(cid, r"(?iU)comment\s*(\d+)", 1)
     plain = F.regexp_replace(F.concat(F.upper(F.substring(cid, 1, 1)), F.substring(cid, F.lit(2), F.length(cid))), r"(?iU)^llm\s+", "")
     label = F.when(cid == "", F.concat(F.lit("Comment "), position.cast("string"))).when(number != "", F.concat(F.lit("Comment "), number)).otherwise(_strip(plain))
     source = F.when(cid.rlike("(?iU)^llm\\b"), "LLM").otherwise("Human")
-    numbers = F.transform(F.regexp_extract_all(F.regexp_extract("__rest", _BOX, 1), F.lit(r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?"), F.lit(0)), lambda x: x.cast("double"))
+    numbers = F.transform(F.regexp_extract_all(F.regexp_extract("__rest", BOX_PATTERN, 1), F.lit(r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?"), F.lit(0)), lambda x: x.cast("double"))
+    listed = F.when(F.size(numbers) > 0, numbers)
     box = F.when(F.size(numbers) >= 4, F.struct(*(F.get(numbers, F.lit(i)).alias(k) for i, k in enumerate(BOX))))
     step = (
         df.withColumn("__raw", raw)
-        .withColumn("__rest", _strip(F.regexp_replace("__raw", _HEADER, "")))
-        .withColumn("__t", F.when(F.col("__rest").rlike(_BOX), _strip(F.concat(F.element_at(F.split("__rest", _BOX, 2), 1), F.lit(" "), F.element_at(F.split("__rest", _BOX, 2), 2)))).otherwise(F.col("__rest")))
+        .withColumn("__rest", _strip(F.regexp_replace("__raw", HEADER, "")))
+        .withColumn("__t", F.when(F.col("__rest").rlike(BOX_PATTERN), _strip(F.concat(F.element_at(F.split("__rest", BOX_PATTERN, 2), 1), F.lit(" "), F.element_at(F.split("__rest", BOX_PATTERN, 2), 2)))).otherwise(F.col("__rest")))
     )
-    for key, pattern in (("e", _EXPECTED), ("o", _OBSERVED), ("f", _FIX)):
+    for key, pattern in (("e", EXPECTED), ("o", OBSERVED), ("f", FIX)):
         step = step.withColumn(f"__{key}", F.nullif(F.regexp_instr("__t", F.lit(pattern)), F.lit(0))).withColumn(f"__{key}_end", F.col(f"__{key}") + F.length(F.regexp_extract("__t", pattern, 0)))
     length = F.length("__t") + 1
 
@@ -65,11 +66,11 @@ def parse_comments(df: DataFrame, text: str, position: Column, name: str = "pars
 
     none = F.col("__e").isNull() & F.col("__o").isNull() & F.col("__f").isNull()
     issue = F.when(none, _tidy(F.col("__t"))).otherwise(_tidy(segment("o", "ef")))
-    issue = _tidy(F.when(issue.rlike(_FIX), F.element_at(F.split(issue, _FIX, 2), 1)).otherwise(issue))
+    issue = _tidy(F.when(issue.rlike(FIX), F.element_at(F.split(issue, FIX, 2), 1)).otherwise(issue))
     tail = F.substring(F.col("__t"), F.col("__f_end"), length)
     tail = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(tail, r"(?U)^\s+", ""), r"(?iU)^(?:issue|issues)\b", ""), r"(?U)^\s+", ""), "^,", "")
     fields = F.struct(
-        label.alias("comment_label"), source.alias("comment_source"), box.alias("bounding_box"), _without_glue(segment("e", "of")).alias("expected_standard"), issue.alias("observed_issue"),
+        label.alias("comment_label"), source.alias("comment_source"), box.alias("bounding_box"), listed.alias("box_numbers"), _without_glue(segment("e", "of")).alias("expected_standard"), issue.alias("observed_issue"),
         F.when(F.col("__f").isNotNull(), _tidy(tail)).alias("suggested_fix"), F.trim(F.regexp_replace(F.translate("__raw", " ", " "), r"(?U)\s+", " ")).alias("raw_text"),
     )
     return step.select(*df.columns, fields.alias(name))

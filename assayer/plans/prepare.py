@@ -319,17 +319,6 @@ def elementwise_math(t: Tables):
     return t("embeddings", "vec_id", "label", "embedding").select("vec_id", "label", F.round(F.array_min("embedding").cast("double"), 6).alias("min_v"), F.round(F.array_max("embedding").cast("double"), 6).alias("max_v"), F.round(norm, 5).alias("norm"))
 
 
-@query("""SELECT a.vec_id AS left_id, a.next_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM
-    (SELECT *, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS next_id FROM embeddings) a JOIN embeddings b ON a.next_id = b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.15""")
-def cosine_candidates(t: Tables):
-    """Given pairs (neighbours by id within a label) that pass the cosine gate, as its SQL says. Not the candidates of a label: these are cosine_pairs."""
-    df = t("embeddings", "vec_id", "label", "embedding")
-    pairs = df.select("vec_id", F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id")).alias("right_id")).where("right_id IS NOT NULL")
-    left = pairs.join(df.select("vec_id", F.col("embedding").alias("a")), "vec_id")
-    both = left.join(df.select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("b")), "right_id").withColumn("c", S.cosine(F.col("a"), F.col("b")))
-    return both.where("c >= 0.15").select(F.col("vec_id").alias("left_id"), "right_id", F.round("c", 5).alias("cosine"))
-
-
 @query("""SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
     WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.40""")
 def cosine_pairs(t: Tables):

@@ -149,7 +149,7 @@ def wilcoxon_p(t: Tables):
     """wilcoxon_core with its p (exact for small samples without ties), stars and significance."""
     out = T.wilcoxon(rating_long(t), ["model", "aspect"], "delta")
     out = out.withColumn("p", T.wilcoxon_p(F.col("w"), F.col("n"), F.col("ties"), F.col("zeros"), F.col("z")))
-    return out.select("model", "aspect", "n", "median", "p", S.p_stars(F.col("p")).alias("stars"), (F.col("p") < 0.05).alias("significant"))
+    return out.select("model", "aspect", "n", "median", "p", S.p_stars(F.col("p")).alias("stars"), S.p_text(F.col("p")).alias("text"), (F.col("p") < 0.05).alias("significant"))
 
 
 @query(RATED_SQL + """SELECT model, aspect, m, (min(place) + (count(*) - 1) / 2.0)::DOUBLE AS avg_rank, count(*)::BIGINT AS n FROM (SELECT model, aspect, abs(delta) AS m, row_number() OVER (PARTITION BY model, aspect ORDER BY abs(delta)) AS place FROM long WHERE delta <> 0) GROUP BY ALL""")

@@ -6,13 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import scalars as S
-from assayer.operators import batch as B, guidelines as G, parser as P, prompts as PR, reshape as R
+from assayer.operators import batch as B, guidelines as G, matching as M, parser as P, prompts as PR, reshape as R
 from assayer.plans.registry import Registry, Tables
 
 registry = Registry()
 query = registry.query
 
 
+def _q(text: str) -> str:
+    return text.replace("'", "''")
+
+
+def _clean(x: str) -> str:
+    return f"regexp_replace(trim(regexp_replace({x}, '[\\s\\pZ]+', ' ', 'g')), '^[ .;]+|[ .;]+$', '', 'g')"
+
+
+def _key(x: str) -> str:
+    return f"trim(regexp_replace(replace(lower({x}), '&', 'and'), '[^a-z0-9]+', ' ', 'g'))"
+
+
 # ---- comments
 
 
@@ -26,10 +38,63 @@ def parse_comment_header(t: Tables):
     return df.select("record_id", "parsed.comment_label", "parsed.comment_source", lower.contains("the expected standard").alias("has_standard"), lower.contains("to fix this").alias("has_fix"))
 
 
-@query()
+def _re(pattern: str) -> str:
+    """A pattern of the parser for DuckDB, whose U means something else."""
+    return _q(pattern.replace("(?iU)", "(?i)"))
+
+
+def _tidy_sql(x: str) -> str:
+    return f"nullif(regexp_replace(regexp_replace({x}, '^[\\s,:\\-–—]+', ''), '[\\s,:\\-–—]+$', ''), '')"
+
+
+def _glue_sql(x: str) -> str:
+    x = f"regexp_replace({x}, '^[\\s,:\\-–—]+', '')"
+    for glue in ("is\\s+that", "is\\s+to", "that", "to", "is"):
+        x = f"regexp_replace({x}, '(?i)^(?:{glue})\\b\\s*', '')"
+    return _tidy_sql(x)
+
+
+@query(rf"""WITH a AS (SELECT record_id, regexp_replace(coalesce(raw_text, ''), '^\s+|\s+$', '', 'g') AS raw FROM human_comments), b AS (SELECT *, regexp_extract(raw, '{_re(P.HEADER)}', 1) AS cid, regexp_replace(regexp_replace(raw, '{_re(P.HEADER)}', ''), '^\s+|\s+$', '', 'g') AS rest FROM a),
+    c AS (SELECT *, list_transform(regexp_extract_all(regexp_extract(rest, '{_re(P.BOX_PATTERN)}', 1), '[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?'), lambda z: z::DOUBLE) AS nums, CASE WHEN regexp_matches(rest, '{_re(P.BOX_PATTERN)}') THEN regexp_replace(regexp_replace(rest, '{_re(P.BOX_PATTERN)}', ' '), '^\s+|\s+$', '', 'g') ELSE rest END AS t FROM b),
+    d AS (SELECT *, regexp_extract(t, '{_re(P.EXPECTED)}', 0) AS em, regexp_extract(t, '{_re(P.OBSERVED)}', 0) AS om, regexp_extract(t, '{_re(P.FIX)}', 0) AS fm FROM c),
+    e AS (SELECT *, CASE WHEN em <> '' THEN strpos(t, em) END AS e, CASE WHEN om <> '' THEN strpos(t, om) END AS o, CASE WHEN fm <> '' THEN strpos(t, fm) END AS f FROM d),
+    g AS (SELECT *, CASE WHEN e IS NOT NULL THEN substr(t, e + length(em), greatest(least(CASE WHEN o > e THEN o ELSE length(t) + 1 END, CASE WHEN f > e THEN f ELSE length(t) + 1 END) - e - length(em), 0)) END AS eseg,
+    CASE WHEN o IS NOT NULL THEN substr(t, o + length(om), greatest(least(CASE WHEN e > o THEN e ELSE length(t) + 1 END, CASE WHEN f > o THEN f ELSE length(t) + 1 END) - o - length(om), 0)) WHEN e IS NULL AND f IS NULL THEN t END AS oseg, CASE WHEN f IS NOT NULL THEN substr(t, f + length(fm)) END AS fseg FROM e),
+    h AS (SELECT *, {_tidy_sql('oseg')} AS issue FROM g)
+    SELECT record_id, 'Comment ' || CASE WHEN cid = '' THEN '1' ELSE regexp_extract(cid, '(\d+)$', 1) END AS comment_label, CASE WHEN regexp_matches(cid, '(?i)^llm\b') THEN 'LLM' ELSE 'Human' END AS comment_source, nums[1:4] AS box_numbers, {_glue_sql('eseg')} AS expected_standard,
+    {_tidy_sql(f"CASE WHEN regexp_matches(issue, '{_re(P.FIX)}') THEN left(issue, strpos(issue, regexp_extract(issue, '{_re(P.FIX)}', 0)) - 1) ELSE issue END")} AS observed_issue,
+    {_tidy_sql("regexp_replace(regexp_replace(regexp_replace(regexp_replace(fseg, '^\\s+', ''), '(?i)^(?:issue|issues)\\b', ''), '^\\s+', ''), '^,', '')")} AS suggested_fix, trim(regexp_replace(raw, '[\s\pZ]+', ' ', 'g')) AS raw_text FROM h""")
 def parse_comment_parts(t: Tables):
-    """All parts of the comments' texts."""
-    return P.parse_comments(t("human_comments", "record_id", "raw_text"), "raw_text", F.lit(1)).select("record_id", "parsed.*")
+    """All parts of the comments' texts. Numbers of a box are given as they stand, of a longer list the first four."""
+    df = P.parse_comments(t("human_comments", "record_id", "raw_text"), "raw_text", F.lit(1))
+    return df.select("record_id", *(f"parsed.{c}" for c in ("comment_label", "comment_source")), F.coalesce(F.slice("parsed.box_numbers", 1, 4), F.array().cast("array<double>")).alias("box_numbers"), *(f"parsed.{c}" for c in (*P.PARTS, "raw_text")))
+
+
+@query(rf"""SELECT ref_id, trim(regexp_replace(coalesce(evidence, ''), '[\s\pZ]+', ' ', 'g')) AS clean, {_clean("coalesce(evidence, '')")} AS phrase, {_clean("regexp_replace(" + _clean("coalesce(category, '')") + ", '^(—|–|>|/|\\\\|:|-)\\s*', '')")} AS reference, {_key("coalesce(category, '')")} AS key,
+    list_filter(list_transform(string_split(coalesce(raw_reference, ''), ';'), lambda z: {_clean('z')}), lambda z: z <> '') AS pieces, concat_ws(' / ', nullif({_clean("coalesce(category, '')")}, ''), nullif({_clean("coalesce(subcategory, '')")}, '')) AS concept, coalesce(evidence, '') || '|' AS null_as_empty FROM guidelines""")
+def text_functions(t: Tables):
+    """The text functions on free wordings: cleaned texts, phrases, references, keys, pieces and concept labels, nulls as empty."""
+    df = t("guidelines", "ref_id", "category", "subcategory", "evidence", "raw_reference")
+    concept = F.concat_ws(" / ", F.nullif(S.clean_phrase(F.col("category")), F.lit("")), F.nullif(S.clean_phrase(F.col("subcategory")), F.lit("")))
+    return df.select(
+        "ref_id", S.clean_text(F.col("evidence")).alias("clean"), S.clean_phrase(F.col("evidence")).alias("phrase"), S.clean_reference(F.col("category")).alias("reference"), S.normalize_key(F.col("category")).alias("key"),
+        S.split_clean(F.coalesce("raw_reference", F.lit("")), ";").alias("pieces"), concept.alias("concept"), F.concat(F.coalesce("evidence", F.lit("")), F.lit("|")).alias("null_as_empty"),
+    )
+
+
+@query("""WITH r AS (SELECT record_id, screen_task_id, observed_issue, suggested_fix, row_number() OVER (PARTITION BY record_id % 1000 ORDER BY record_id) AS nr, record_id % 2 = 0 AS plural FROM human_comments)
+    SELECT 'T' || (record_id % 1000) AS screen_task_id, 'L_m_T' || (record_id % 1000) || '_' || lpad(nr::VARCHAR, greatest(3, length(nr::VARCHAR))::INT, '0') AS llm_comment_id, trim(regexp_replace(coalesce(observed_issue, ''), '[\\s\\pZ]+', ' ', 'g')) AS llm_observed_issue, suggested_fix AS llm_suggested_fix,
+    CASE WHEN plural THEN '[{"source":"s"}]' ELSE 's' END AS llm_guideline_reference FROM r WHERE trim(regexp_replace(coalesce(observed_issue, ''), '[\\s\\pZ]+', ' ', 'g')) <> ''""")
+def llm_critiques_expand(t: Tables):
+    """Critiques that came as JSON lists, one row per comment: numbered in their order, the reference under either of its names, blank issues dropped."""
+    df = t("human_comments", "record_id", "observed_issue", "suggested_fix")
+    several = F.when(F.col("record_id") % 2 == 0, F.array(F.struct(F.lit("s").alias("source"))))
+    one = F.when(F.col("record_id") % 2 == 1, F.lit("s"))
+    said = F.to_json(F.struct("observed_issue", "suggested_fix", several.alias("guideline_references"), one.alias("guideline_reference")))
+    # A thousand lists of bounded share stand for the answers of a thousand tasks.
+    lists = df.groupBy(F.concat(F.lit("T"), (F.col("record_id") % 1000).cast("string")).alias("screen_task_id")).agg(F.array_sort(F.collect_list(F.struct("record_id", said.alias("j")))).alias("c"))
+    answers = lists.select("screen_task_id", F.concat(F.lit("["), F.array_join(F.transform("c", lambda x: x["j"]), ","), F.lit("]")).alias("critiques"))
+    return M.expand_critiques(answers, "m").select("screen_task_id", "llm_comment_id", "llm_observed_issue", "llm_suggested_fix", "llm_guideline_reference")
 
 
 @query("""WITH x AS (SELECT comment_id, screen_task_id, row_number() OVER (PARTITION BY screen_task_id ORDER BY comment_id) AS i, expected_standard, observed_issue, suggested_fix FROM human_comments),
@@ -65,14 +130,6 @@ def sources_of(t: Tables) -> list[G.Source]:
     return G.catalog_sources(t("guideline_catalog").collect())
 
 
-def _key(x: str) -> str:
-    return f"trim(regexp_replace(replace(lower({x}), '&', 'and'), '[^a-z0-9]+', ' ', 'g'))"
-
-
-def _clean(x: str) -> str:
-    return f"regexp_replace(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '^[ .;]+|[ .;]+$', '', 'g')"
-
-
 def _citations_sql(sources: str, begins: str) -> str:
     """ref_id, m (mention), p (part), g (piece), source and piece of the citations in free text; ``begins`` tells whether a part x of source s begins one."""
     return rf"""src AS (SELECT label AS source FROM guideline_catalog WHERE tier = 'source'), k AS (SELECT source, {_key('label')} AS key, coalesce(category, label) AS category, CASE WHEN tier = 'subcategory' THEN label END AS sub, canon_id FROM guideline_catalog WHERE tier <> 'source'),
@@ -245,10 +302,6 @@ def request_rows(t: Tables):
     return body.select("screen_task_id", F.get_json_object("line", "$.custom_id").alias("custom_id"), F.length(F.get_json_object("line", "$.body.messages[1].content")).alias("n_chars"))
 
 
-def _q(text: str) -> str:
-    return text.replace("'", "''")
-
-
 _BLOCKS = {a: PR.RATING_HEADER.replace("{guidelines}", PR.GUIDELINES_P1) + PR.TASK_LINE + "\n\n" + r + "\n" + PR.RETURN_LINE + f for a, (r, f, _) in PR.ASPECTS.items()}
 
 
