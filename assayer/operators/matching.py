@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.scalars import clean_text
+from assayer.operators.components import components
 from assayer.operators.lookup import lookup_join
 from assayer.operators.reshape import first_per_key
+from assayer.session import cut_lineage
 
 #: Credit of a pair by relation, in the order from best to worst. Fixed values.
 WEIGHTS = {"equivalent": 1.0, "A_broader": 0.85, "B_broader": 0.85, "partial_overlap": 0.5, "contradiction": 0.0, "related_but_different": 0.0, "no_match": 0.0}
@@ -120,7 +122,7 @@ def bipartite(cells: DataFrame, keys: list[str]) -> DataFrame:
     """coverage, support and matched sum of each of ``keys`` when every comment may be matched once.
 
     Only cells with a weight can matter, and of one comment no more than there are comments on the other side, counting those with a weight: its
-    best ones. So what a task gets is bounded by the square of the shorter side, however many cells a group has.
+    best ones. What is left of a group falls into connected parts, which are solved one by one; a part has no more cells than twice the square of its shorter side.
     """
     sizes = cells.groupBy(*keys).agg(F.count_distinct("expert_comment_id").alias("n_expert"), F.count_distinct("llm_comment_id").alias("n_llm"))
     some = cells.where("weight > 0")
@@ -129,9 +131,14 @@ def bipartite(cells: DataFrame, keys: list[str]) -> DataFrame:
     for side, other in (("expert_comment_id", "llm_comment_id"), ("llm_comment_id", "expert_comment_id")):
         place = F.row_number().over(Window.partitionBy(*keys, side).orderBy(F.desc("weight"), other))
         some = some.withColumn("__place", place).where(F.col("__place") <= F.col("__most"))
-    # One row per group with its few cells, so a batch of rows holds many groups.
+    # Comments that share no cell, directly or through others, are matched apart: a group falls into its connected parts, and a task solves one of them.
+    side = lambda c: F.to_json(F.struct(*keys, F.lit(c).alias("__side"), F.col(c).alias("__id")), {"ignoreNullFields": "false"})
+    some = cut_lineage(some.withColumn("__a", side("expert_comment_id")).withColumn("__b", side("llm_comment_id")))
+    parts = components(some.select("__a", "__b"), "__a", "__b").select(F.col("node").alias("__a"), F.col("component").alias("__part"))
+    some = some.join(parts, "__a")
     cell = F.collect_list(F.struct(F.col("expert_comment_id").alias("e"), F.col("llm_comment_id").alias("m"), F.col("weight").alias("w")))
-    grouped = some.groupBy(*keys).agg(F.max("__most").alias("__most"), F.max("weight").alias("__top"), cell.alias("__cells"))
+    short = F.least(F.count_distinct("expert_comment_id"), F.count_distinct("llm_comment_id"))
+    grouped = some.groupBy(*keys, "__part").agg(short.alias("__most"), F.max("weight").alias("__top"), cell.alias("__cells"))
     plain = grouped.where("__most <= 1").select(*keys, F.col("__top").alias("matched"))
     rest = grouped.where("__most > 1").select(*keys, *(F.col(f"__cells.{f}").alias(f"__{f}") for f in "emw"))
     kinds = dict(cells.dtypes)
@@ -150,7 +157,7 @@ def bipartite(cells: DataFrame, keys: list[str]) -> DataFrame:
                 sums.append(assignment(table))
             yield batch[keys].assign(matched=sums)
 
-    matched = plain.unionByName(rest.mapInPandas(solve, schema))
+    matched = plain.unionByName(rest.mapInPandas(solve, schema)).groupBy(*keys).agg(F.sum("matched").alias("matched"))
     out = sizes.join(matched, keys, "left").withColumn("matched", F.coalesce("matched", F.lit(0.0)))
     return out.select(*keys, (F.col("matched") / F.col("n_expert")).alias("coverage"), (F.col("matched") / F.col("n_llm")).alias("support"), "matched")
 
@@ -226,26 +233,12 @@ def similar_pairs(df: DataFrame, key: str, group: str, vector: str, least: float
     return met.groupBy(*by).applyInPandas(meet, f"left_id {kind}, right_id {kind}, cosine double")
 
 
-def comment_pairs(experts: DataFrame, models: DataFrame, model: str, task: str = "screen_task_id", most: int = 200) -> DataFrame:
-    """Every expert comment with every model comment of its task: pair_id and both sides' columns.
-
-    The result is what is to be judged, pair by pair, so a task must be of a size that can be judged: one with more than ``most`` comments on either
-    side is an error and not a silent flood of pairs.
-    """
-    for side in (experts, models):
-        if large := side.groupBy(task).count().where(F.col("count") > most).limit(1).collect():
-            raise ValueError(f"task {large[0][task]} has more than {most} comments on one side")
-    pair_id = F.concat(F.lit(model + "_"), "expert_comment_id", F.lit("_"), F.right("llm_comment_id", F.lit(3)))
-    both = experts.join(models, task)
-    return both.select(pair_id.alias("pair_id"), *both.columns)
-
-
-def comment_pairs_in_blocks(experts: DataFrame, models: DataFrame, task: str = "screen_task_id", block: int = 1000) -> DataFrame:
+def comment_pairs(experts: DataFrame, models: DataFrame, task: str = "screen_task_id", block: int = 1000) -> DataFrame:
     """Every expert comment with every model comment of its task, whatever the size of the task: pair_id and both sides' columns.
 
     ``experts`` has expert_comment_id, ``models`` has model_short and llm_comment_id. Both sides of a task are spread over blocks of about ``block``
     rows, and each two blocks meet under a key of their own, so no key makes more than about ``block`` squared pairs. The pair_id ends with the whole
-    number of the model comment, which is that of comment_pairs up to three digits; its last three alone would repeat in large tasks.
+    number of the model comment; its last three digits alone would repeat in large tasks.
     """
     counts = [side.where(F.col(task).isNotNull()).groupBy(task).agg(F.count("*").alias(n)) for side, n in ((experts, "__ne"), (models, "__nm"))]
     sizes = counts[0].join(counts[1], task)

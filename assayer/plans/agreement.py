@@ -124,7 +124,7 @@ def triplet_dedup(t: Tables):
 @query(f"WITH RECURSIVE {_REVIEW_SQL} SELECT comment_id, component, count(*) OVER (PARTITION BY component)::BIGINT AS size FROM rev")
 def duplicate_review_groups(t: Tables):
     """What is left to look at: the same issue in one task, with boxes that overlap somewhat or are missing."""
-    return dedup.duplicate_components(after_triplets(t), "g", "comment_id", "bounding_box", S.REVIEW_TARGET, missing_meets_all=True)
+    return dedup.duplicate_components(cut_lineage(after_triplets(t)), "g", "comment_id", "bounding_box", S.REVIEW_TARGET, missing_meets_all=True)
 
 
 @query(f"WITH RECURSIVE {_REVIEW_SQL} SELECT k AS comment_id FROM kept WHERE k NOT IN (SELECT comment_id FROM rev WHERE comment_id <> component)")
@@ -464,7 +464,7 @@ def expert_llm_pairs(t: Tables):
     """Every reference comment of a task with every model comment of it, tasks of any size included."""
     experts = t("human_comments", "screen_task_id", F.col("comment_id").alias("expert_comment_id")).distinct()
     models = t("match_pairs", "model_short", "screen_task_id", "llm_comment_id").distinct()
-    return M.comment_pairs_in_blocks(experts, models).select("pair_id", "model_short", "screen_task_id", "expert_comment_id", "llm_comment_id")
+    return M.comment_pairs(experts, models).select("pair_id", "model_short", "screen_task_id", "expert_comment_id", "llm_comment_id")
 
 
 # ---- flags

@@ -50,12 +50,14 @@ def task_ids(t: Tables):
 def dup_review(t: Tables):
     """Raters with several rows for a task: whether their ratings differ, the first one and whether the greatest occurs twice."""
     df = t("raw_critiques", "screen_task_id", "rater_id", "critique_id", "usability_rating", "aesthetics_rating")
-    rated = F.array_compact(F.collect_list("aesthetics_rating"))
+    # Counted by rating first: no list of a rater's rows, however many there are.
+    tops = df.where("aesthetics_rating IS NOT NULL").groupBy("screen_task_id", "rater_id", "aesthetics_rating").agg(F.count("*").alias("c"))
+    tied = tops.groupBy("screen_task_id", "rater_id").agg((F.max_by("c", "aesthetics_rating") > 1).alias("top_is_tied"))
     out = df.groupBy("screen_task_id", "rater_id").agg(
-        F.count("*").alias("n_rows"), ((F.count_distinct("usability_rating") > 1) | (F.count_distinct("aesthetics_rating") > 1)).alias("differs"),
-        F.min_by("aesthetics_rating", "critique_id").alias("first_rating"), (F.size(F.filter(rated, lambda x: x == F.array_max(rated))) > 1).alias("top_is_tied"),
-    )
-    return out.where("n_rows > 1")
+        F.count("*").alias("n_rows"), ((F.count_distinct("usability_rating") > 1) | (F.count_distinct("aesthetics_rating") > 1)).alias("differs"), F.min_by("aesthetics_rating", "critique_id").alias("first_rating")
+    )
+    out = out.where("n_rows > 1").join(tied, ["screen_task_id", "rater_id"], "left").withColumn("top_is_tied", F.coalesce("top_is_tied", F.lit(False)))
+    return out
 
 
 @query("""SELECT m.screen_task_id, m.app_category, s.screen_task_id IS NULL AS unknown_task, s.app_category IS NOT NULL AND s.app IS NULL AS no_app
@@ -135,8 +137,11 @@ def marker_missing_audit(t: Tables):
 def frequent_comments(t: Tables):
     """Comments that occur more than once, with the first five apps they stand at."""
     df = t("human_comments", "observed_issue", "comment_id", "screen_task_id").where("trim(coalesce(observed_issue, '')) <> ''").join(t("screen_tasks", "screen_task_id", "app"), "screen_task_id", "left")
-    apps = F.array_join(F.slice(F.array_sort(F.collect_set("app")), 1, 5), ", ")
-    return df.groupBy("observed_issue").agg(F.count("*").alias("n"), F.min("comment_id").alias("first_comment"), F.count_distinct("screen_task_id").alias("n_tasks"), apps.alias("apps")).where("n > 1")
+    counts = df.groupBy("observed_issue").agg(F.count("*").alias("n"), F.min("comment_id").alias("first_comment"), F.count_distinct("screen_task_id").alias("n_tasks")).where("n > 1")
+    # Each app once and the first five of them: no list of all.
+    first = R.first_per_key(df.where("app IS NOT NULL").select("observed_issue", "app").distinct(), ["observed_issue"], [F.asc("app")], 5)
+    apps = first.groupBy("observed_issue").agg(F.array_join(F.array_sort(F.collect_list("app")), ", ").alias("apps"))
+    return counts.join(apps, "observed_issue", "left").withColumn("apps", F.coalesce("apps", F.lit("")))
 
 
 @query("""SELECT screen_task_id, n FROM (SELECT screen_task_id, count(*) FILTER (x IS NULL)::BIGINT AS n FROM (SELECT screen_task_id, unnest([expected_standard, observed_issue, suggested_fix]) AS x FROM human_comments) GROUP BY 1) WHERE n > 0""")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import scalars as S
 from assayer.operators import batch as B, guidelines as G, matching as M, parser as P, prompts as PR, reshape as R
 from assayer.plans.registry import Registry, Tables
+from assayer.session import shared_folder
+from assayer.streaming import ingest
 
 registry = Registry()
 query = registry.query
@@ -399,19 +403,21 @@ def json_from_noise(t: Tables):
 
 @query("""SELECT user_id, n, props FROM (SELECT user_id, count(*)::BIGINT AS n, arg_max(props, event_id) AS props FROM events GROUP BY 1)""")
 def stream_latest_wins(t: Tables):
-    """The last record of each id, as the streaming ingest leaves it."""
-    df = t("events", "event_id", "user_id", "props")
-    n = df.groupBy("user_id").agg(F.count("*").alias("n"))
-    return B.latest_answers(df, "user_id", ["event_id"]).join(n, "user_id").select("user_id", "n", "props")
+    """The last record of each id, as the stream of events leaves it, with the number of its records."""
+    place = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    last = ingest.run(ingest.table_stream(t.spark, t.folder, "events", ["event_id", "user_id", "props"]), f"{place}/table", f"{place}/checkpoint", "user_id", ["event_id"])
+    n = t("events", "user_id").groupBy("user_id").agg(F.count("*").alias("n"))
+    return last.join(n, "user_id").select("user_id", "n", "props")
 
 
 @query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL""")
 def event_windows(t: Tables):
-    """Events by hour and type, as the windowed stream counts them."""
-    from assayer.streaming.ingest import windowed_counts
-
-    df = windowed_counts(t("events", "ts", "event_type"), "ts", ["event_type"], "1 hour", "2 hours")
-    return df.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """Events by hour and type, counted by a stream with a watermark; a window's latest count stands."""
+    place = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    counts = ingest.windowed_counts(ingest.table_stream(t.spark, t.folder, "events", ["ts", "event_type"]), "ts", ["event_type"], "1 hour", "2 hours")
+    keyed = counts.withColumn("key", F.concat_ws("|", F.col("start").cast("string"), "event_type"))
+    last = ingest.run(keyed, f"{place}/table", f"{place}/checkpoint", "key", ["n"], "update")
+    return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query("""SELECT s.screen_task_id, coalesce(r.v, s.screen_id) AS value, r.v IS NOT NULL AS answered FROM screen_tasks s LEFT JOIN (SELECT screen_task_id, arg_max(usability_rating, (rated_at, critique_id)) AS v FROM raw_critiques GROUP BY 1) r USING (screen_task_id)""")

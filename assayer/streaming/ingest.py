@@ -25,15 +25,26 @@ def merge_batch(folder: str, key: str, order: list[str]):
     return merge
 
 
+def run(stream: DataFrame, folder: str, checkpoint: str, key: str, order: list[str], mode: str = "append") -> DataFrame:
+    """Merges what ``stream`` brings now into ``folder`` and returns the table of latest records."""
+    query = stream.writeStream.outputMode(mode).foreachBatch(merge_batch(folder, key, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return current(stream.sparkSession, folder)
+
+
 def ingest(spark: SparkSession, source: str, schema: str, folder: str, checkpoint: str, key: str, order: list[str], files_per_batch: int = 1) -> DataFrame:
     """Reads what is new in the folder of JSON lines ``source``, merges it into ``folder`` and returns the table of latest records.
 
     The checkpoint remembers which files were taken, so a call after new files have come takes these only.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
-    query = stream.writeStream.foreachBatch(merge_batch(folder, key, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return current(spark, folder)
+    return run(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source), folder, checkpoint, key, order)
+
+
+def table_stream(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
+    """The Parquet table ``name`` of ``folder``, one file or a folder of them, as a stream of its files."""
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    # The pattern lets a single file be a source, too.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]").select(*columns)
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:

@@ -249,10 +249,9 @@ def test_flags_pairs_and_lists(spark):
     assert {r.pair_id: r.logical_conflict for r in final.collect()} == {"same": "no", "left": "no", "neither": "disagree", "manual": "yes"}
     assert M.flag_consistency(final, ["logical_conflict"]).first().share == 0.75
     experts = spark.createDataFrame([("t", "e1"), ("t", "e2"), ("u", "e3")], "screen_task_id string, expert_comment_id string")
-    models = spark.createDataFrame([("t", "L_001"), ("t", "L_002")], "screen_task_id string, llm_comment_id string")
-    assert sorted(r.pair_id for r in M.comment_pairs(experts, models, "m").collect()) == ["m_e1_001", "m_e1_002", "m_e2_001", "m_e2_002"]
-    with pytest.raises(ValueError):
-        M.comment_pairs(experts, models, "m", most=1)
+    models = spark.createDataFrame([("m", "t", "L_001"), ("m", "t", "L_002")], "model_short string, screen_task_id string, llm_comment_id string")
+    for block in (1, 1000):
+        assert sorted(r.pair_id for r in M.comment_pairs(experts, models, block=block).collect()) == ["m_e1_001", "m_e1_002", "m_e2_001", "m_e2_002"]
     with pytest.raises(ValueError):
         R.exclude(experts, "expert_comment_id", ["e1", "e9"])
     assert R.exclude(experts, "expert_comment_id", ["e1"]).count() == 2
@@ -320,7 +319,7 @@ def test_every_pair_with_two_valid_votes_is_finalised(spark, folder):
 def test_pairs_of_large_tasks_in_blocks(spark, block):
     experts = [("t", f"e{i}") for i in range(205)] + [("u", "e900"), (None, "e901"), ("w", "e902")]
     models = [("m", "t", f"L_{i:03d}") for i in range(20)] + [("m", "t", "L_1005"), ("k", "u", "L_001"), ("k", None, "L_002"), ("k", "v", "L_003")]
-    df = M.comment_pairs_in_blocks(spark.createDataFrame(experts, "screen_task_id string, expert_comment_id string"), spark.createDataFrame(models, "model_short string, screen_task_id string, llm_comment_id string"), block=block)
+    df = M.comment_pairs(spark.createDataFrame(experts, "screen_task_id string, expert_comment_id string"), spark.createDataFrame(models, "model_short string, screen_task_id string, llm_comment_id string"), block=block)
     got = [r.pair_id for r in df.collect()]
     want = {f"{m}_{e}_{c.split('_')[1]}" for t, e in experts for m, u, c in models if t == u and t}
     assert len(got) == len(want) == 205 * 21 + 1 and set(got) == want
