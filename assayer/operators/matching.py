@@ -118,6 +118,10 @@ def assignment(weights) -> float:
     return float(-sum(cost[r, c] for r, c in matched))
 
 
+#: Cells of a group from which it is solved in its connected parts; it changes the plan and not the result.
+SPLIT_CELLS = 20_000
+
+
 def bipartite(cells: DataFrame, keys: list[str]) -> DataFrame:
     """coverage, support and matched sum of each of ``keys`` when every comment may be matched once.
 
@@ -131,11 +135,17 @@ def bipartite(cells: DataFrame, keys: list[str]) -> DataFrame:
     for side, other in (("expert_comment_id", "llm_comment_id"), ("llm_comment_id", "expert_comment_id")):
         place = F.row_number().over(Window.partitionBy(*keys, side).orderBy(F.desc("weight"), other))
         some = some.withColumn("__place", place).where(F.col("__place") <= F.col("__most"))
-    # Comments that share no cell, directly or through others, are matched apart: a group falls into its connected parts, and a task solves one of them.
-    side = lambda c: F.to_json(F.struct(*keys, F.lit(c).alias("__side"), F.col(c).alias("__id")), {"ignoreNullFields": "false"})
-    some = cut_lineage(some.withColumn("__a", side("expert_comment_id")).withColumn("__b", side("llm_comment_id")))
-    parts = components(some.select("__a", "__b"), "__a", "__b").select(F.col("node").alias("__a"), F.col("component").alias("__part"))
-    some = some.join(parts, "__a")
+    some = cut_lineage(some.drop("__most", "__place"))
+    # Comments that share no cell, directly or through others, are matched apart: a large group falls into its connected parts, and a task solves one of them.
+    large = some.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > SPLIT_CELLS)
+    if large.limit(1).count():
+        side = lambda c: F.to_json(F.struct(*keys, F.lit(c).alias("__side"), F.col(c).alias("__id")), {"ignoreNullFields": "false"})
+        marked = lookup_join(some.withColumn("__g", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})), large.select(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("__g"), "__n"), ["__g"], "__n", some.count(), "left")
+        marked = cut_lineage(marked.withColumn("__a", F.when(F.col("__n").isNotNull(), side("expert_comment_id"))).withColumn("__b", F.when(F.col("__n").isNotNull(), side("llm_comment_id"))))
+        parts = components(marked.select("__a", "__b"), "__a", "__b").select(F.col("node").alias("__a"), F.col("component").alias("__part"))
+        some = marked.join(parts, "__a", "left").drop("__a", "__b", "__g", "__n")
+    else:
+        some = some.withColumn("__part", F.lit(None).cast("string"))
     cell = F.collect_list(F.struct(F.col("expert_comment_id").alias("e"), F.col("llm_comment_id").alias("m"), F.col("weight").alias("w")))
     short = F.least(F.count_distinct("expert_comment_id"), F.count_distinct("llm_comment_id"))
     grouped = some.groupBy(*keys, "__part").agg(short.alias("__most"), F.max("weight").alias("__top"), cell.alias("__cells"))

@@ -53,7 +53,10 @@ def test_assignment_against_all_permutations():
     assert M.assignment(np.zeros((0, 3))) == 0
 
 
-def test_bipartite_pruning_keeps_the_optimum(spark):
+@pytest.mark.parametrize("split", [5, 20_000])
+def test_bipartite_pruning_keeps_the_optimum(spark, monkeypatch, split):
+    """Whole groups and their connected parts give the same."""
+    monkeypatch.setattr(M, "SPLIT_CELLS", split)
     rng = np.random.default_rng(4)
     rows, want = [], {}
     for task in range(12):
