@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ast
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Thresholds of the overlap of two boxes. Fixed values.
 SAME_TARGET, REVIEW_TARGET = 0.50, 0.10
@@ -118,6 +121,28 @@ def literal_list(text: Column) -> Column:
     return F.from_json(text, "array<string>", {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
 
 
+def _as_json(texts):
+    def one(text):
+        try:
+            value = ast.literal_eval(text) if text is not None else None
+        except (ValueError, SyntaxError, MemoryError, RecursionError):
+            return None
+        return json.dumps(value, default=str) if isinstance(value, (list, tuple, dict)) else None
+
+    return texts.map(one)
+
+
+def python_literal(text: Column) -> Column:
+    """A Python literal of a list, tuple or dict as JSON; null for others. In Python, so for the rows only that nothing built in can read: nulls cost nothing."""
+    return F.pandas_udf(_as_json, StringType())(text)
+
+
+def any_literal_list(text: Column) -> Column:
+    """``literal_list``, and what only Python reads (None, tuples, joined strings) as its values; elements that are no texts are given as such."""
+    plain = literal_list(text)
+    return F.coalesce(plain, F.from_json(python_literal(F.when(plain.isNull(), text)), "array<string>"))
+
+
 def first_match(text: Column, patterns: Sequence[tuple[str, str]], otherwise: str) -> Column:
     """The name of the first of ``patterns`` (name, regular expression) that ``text`` holds."""
     out = None

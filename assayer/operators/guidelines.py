@@ -9,18 +9,15 @@ All of it is built-in expressions, row by row; only literals that are no JSON go
 
 from __future__ import annotations
 
-import ast
 import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from assayer.functions.scalars import clean_phrase, clean_reference, normalize_key
+from assayer.functions.scalars import clean_phrase, clean_reference, normalize_key, python_literal
 
 DELIMITER = r"\s*(?:—|–|>|/|\\|:)\s*"
 #: Most rows of a vocabulary that are broadcast.
@@ -270,19 +267,6 @@ def _pieces(chunk: Column, source: Source) -> Column:
     return out
 
 
-def _literal_as_json(texts: pd.Series) -> pd.Series:
-    """Python literals of lists and dicts as JSON; null for others."""
-
-    def one(text):
-        try:
-            value = ast.literal_eval(text) if text is not None else None
-        except (ValueError, SyntaxError, MemoryError, RecursionError):
-            return None
-        return json.dumps(value, default=str) if isinstance(value, (list, dict)) else None
-
-    return texts.map(one)
-
-
 def parse_references(df: DataFrame, text: str, key: str, sources: Sequence[Source]) -> DataFrame:
     """One row per citation of ``text``: key, mention, piece, source, category, subcategory, evidence, raw_reference.
 
@@ -299,7 +283,7 @@ def parse_references(df: DataFrame, text: str, key: str, sources: Sequence[Sourc
     rows = df.select(F.col(f"`{key}`").alias(key), clean_phrase(as_text).alias("__t"))
     rows = rows.withColumn("__is", F.col("__t").rlike(r"^[\[{]"))
     rows = rows.withColumn("__json", F.when(F.col("__is") & F.try_parse_json("__t").isNotNull(), F.col("__t")))
-    rows = rows.withColumn("__json", F.coalesce("__json", F.pandas_udf(_literal_as_json, StringType())(F.when(F.col("__is") & F.col("__json").isNull(), F.col("__t")))))
+    rows = rows.withColumn("__json", F.coalesce("__json", python_literal(F.when(F.col("__is") & F.col("__json").isNull(), F.col("__t")))))
     # What looks like a list and can be read as none is free text.
     wrapped = F.when(F.col("__json").startswith("{"), F.concat(F.lit("["), "__json", F.lit("]"))).otherwise(F.col("__json"))
     elements = F.from_json(wrapped, "array<string>")

@@ -340,7 +340,7 @@ def epoch_format(t: Tables):
 @query()
 def literal_lists(t: Tables):
     """Comments of the list literals with their sources, where both lists have as many entries."""
-    df = t("raw_critiques", "critique_id", "comments", "comments_source").select("critique_id", S.literal_list(F.col("comments")).alias("c"), S.literal_list(F.col("comments_source")).alias("s"))
+    df = t("raw_critiques", "critique_id", "comments", "comments_source").select("critique_id", S.any_literal_list(F.col("comments")).alias("c"), S.any_literal_list(F.col("comments_source")).alias("s"))
     zipped = df.where(F.size("c") == F.size("s")).select("critique_id", F.posexplode(F.arrays_zip("c", "s")).alias("pos", "z"))
     return zipped.select("critique_id", (F.col("pos") + 1).alias("pos"), F.col("z.c").alias("comment"), F.col("z.s").alias("source"))
 

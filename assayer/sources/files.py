@@ -44,8 +44,13 @@ def batch_number(name: Column) -> Column:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """The non-blank lines of text files: value, file, line (from 1), batch and is_retry, by which files are ordered.
 
-    Lines are numbered within their file, which one task reads whole.
+    Lines are numbered within their file, which one task reads whole. It is an error if there is no such file.
     """
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    here = system.globStatus(place)
+    if not here or (len(here) == 1 and here[0].isDirectory() and not system.listStatus(here[0].getPath())):
+        raise FileNotFoundError(f"no file at {path}")
     text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     lines = text.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value")).where("trim(value) <> ''")
     return lines.select("value", "file", (F.col("line") + 1).alias("line"), batch_number(F.col("file")).alias("batch"), F.col("file").contains("retry").alias("is_retry"))
@@ -133,14 +138,23 @@ def load_all(spark: SparkSession, template: str, models: dict[str, str]) -> Data
     return out
 
 
-def upsert_manifest(path: str, section: str, value: dict) -> None:
-    """Sets one section of a small JSON file, which is made if it is not there."""
+def upsert_manifest(spark: SparkSession, path: str, section: str, value: dict) -> None:
+    """Sets one section of a small JSON file on any file system, which is made if it is not there. It is written beside the old one and then takes its place."""
     import json
-    from pathlib import Path
 
-    file = Path(path)
-    held = json.loads(file.read_text()) if file.exists() else {}
-    file.write_text(json.dumps(held | {section: value}, indent=1, sort_keys=True))
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path
+    target, fresh = file(path), file(path + "._new")
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = {}
+    if system.exists(target):
+        held = json.loads(spark.read.text(path, wholetext=True).first().value)
+    out = system.create(fresh, True)
+    out.write(bytearray(json.dumps(held | {section: value}, indent=1, sort_keys=True).encode()))
+    out.close()
+    system.delete(target, False)
+    if not system.rename(fresh, target):
+        raise OSError(f"{fresh} could not take the place of {target}")
 
 
 def ask(df: DataFrame, prompt: str, answer: Callable[[list[str]], list[str]], name: str = "answer", size: int = 64) -> DataFrame:

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from assayer.sources import files
@@ -15,6 +17,9 @@ def test_csv_lines_images_and_codebook(spark, tmp_path):
     for name in ("responses-x-batch_10.jsonl", "responses-x-batch_2.jsonl", "responses-retry-batch_1.jsonl"):
         (d / name).write_text('{"a": 1}\n\n{"a": 2}\n')
     rows = files.read_lines(spark, str(d)).orderBy("is_retry", "batch", "line").collect()
+    for none in (tmp_path / "nowhere", tmp_path / "nothing*.jsonl"):
+        with pytest.raises(FileNotFoundError):
+            files.read_lines(spark, str(none))
     assert [(r.batch, r.line, r.is_retry) for r in rows] == [(2, 1, False), (2, 3, False), (10, 1, False), (10, 3, False), (1, 1, True), (1, 3, True)]
     docs = tmp_path / "docs"
     docs.mkdir()
@@ -74,9 +79,9 @@ def test_loaders_manifest_and_answers(spark, tmp_path):
     both = files.load_all(spark, str(tmp_path / "{model}"), {"one": "m1", "two": "m2"})
     assert sorted(map(tuple, both.collect())) == [("one", 1, "x", None), ("two", 2, None, 5)]
     path = str(tmp_path / "manifest.json")
-    files.upsert_manifest(path, "a", {"n": 1})
-    files.upsert_manifest(path, "b", {"n": 2})
-    files.upsert_manifest(path, "a", {"n": 3})
+    files.upsert_manifest(spark, path, "a", {"n": 1})
+    files.upsert_manifest(spark, path, "b", {"n": 2})
+    files.upsert_manifest(spark, path, "a", {"n": 3})
     assert json.loads(open(path).read()) == {"a": {"n": 3}, "b": {"n": 2}}
     (tmp_path / "c.json").write_text('[\n{"screen_task_id": "t", "comment_index": 0, "field": "f", "value": null}\n]')
     assert files.read_json(spark, str(tmp_path / "c.json"), "screen_task_id string, comment_index int, field string, value string").first().value is None

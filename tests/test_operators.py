@@ -423,3 +423,11 @@ def test_icc_forms(spark):
     ms_w = ((x - x.mean(1, keepdims=True)) ** 2).sum() / (n * (k - 1))
     want = {"icc1": (ms_r - ms_w) / (ms_r + ms_w), "icc2": (ms_r - ms_e) / (ms_r + ms_e + 2 * (ms_c - ms_e) / n), "icc3": (ms_r - ms_e) / (ms_r + ms_e), "icc1k": (ms_r - ms_w) / ms_r, "icc2k": (ms_r - ms_e) / (ms_r + (ms_c - ms_e) / n), "icc3k": (ms_r - ms_e) / ms_r}
     assert all(abs(got[name] - v) < 1e-9 for name, v in want.items())
+
+
+def test_lists_that_only_python_reads(spark):
+    from assayer.functions import scalars
+
+    texts = {"['a', \"b\"]": ["a", "b"], "['a', None]": ["a", None], "('x', 'y')": ["x", "y"], "['it' 's']": ["its"], "no list": None, "[": None, "[]": []}
+    df = spark.createDataFrame([*enumerate(texts), (90, None)], "id int, t string").withColumn("v", scalars.any_literal_list(F.col("t")))
+    assert {r.id: r.v for r in df.collect()} == dict(enumerate(texts.values())) | {90: None}
