@@ -328,6 +328,21 @@ def test_pairs_of_large_tasks_in_blocks(spark, block):
     assert len(got) == len(want) == 205 * 21 + 1 and set(got) == want
 
 
+def test_pairs_come_in_order(spark):
+    """In such an order that written pairs take little room: the experts of a block, sorted, for one model comment after the other."""
+    experts = spark.createDataFrame([("t", f"e{i * 7 % 40:02d}") for i in range(40)], "screen_task_id string, expert_comment_id string")
+    models = spark.createDataFrame([("m", "t", f"L_{i:03d}") for i in range(30)], "model_short string, screen_task_id string, llm_comment_id string")
+    runs = [(k, [r.expert_comment_id for r in rows]) for k, rows in itertools.groupby(M.comment_pairs(experts, models).collect(), lambda r: r.llm_comment_id)]
+    assert len(runs) == 30 and all(es == [f"e{i:02d}" for i in range(40)] for _, es in runs)
+
+
+def test_pairs_of_one_sided_tasks_and_nulls(spark):
+    experts = spark.createDataFrame([("t", "e1"), ("t", None), *[("x", f"e{i}") for i in range(10, 20)]], "screen_task_id string, expert_comment_id string")
+    models = spark.createDataFrame([("m", "t", "L_001"), (None, "t", "L_002"), *[("m", "y", f"L_{i}") for i in range(10, 20)]], "model_short string, screen_task_id string, llm_comment_id string")
+    got = M.comment_pairs(experts, models, block=3).select("pair_id", "model_short", "expert_comment_id", "llm_comment_id").collect()
+    assert {tuple(r) for r in got} == {("m_e1_001", "m", "e1", "L_001"), (None, None, "e1", "L_002"), (None, "m", None, "L_001"), (None, None, None, "L_002")} and len(got) == 4
+
+
 def test_choices_are_checked(spark):
     rows = spark.createDataFrame([(k,) for k in "abcdef"], "id string")
     review = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")], "id string, component string")
