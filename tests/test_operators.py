@@ -336,6 +336,17 @@ def test_pairs_come_in_order(spark):
     assert len(runs) == 30 and all(es == [f"e{i:02d}" for i in range(40)] for _, es in runs)
 
 
+def test_pairs_of_large_tasks_come_in_order(spark):
+    """Blocks hold comments that follow each other by id, so one model comment after the other meets whole stretches of experts; every pair comes once, with all columns."""
+    experts = spark.createDataFrame([("t", f"e{i * 7 % 400:03d}", i) for i in range(400)], "screen_task_id string, expert_comment_id string, seen int").repartition(5)
+    models = spark.createDataFrame([("m", "t", f"L_{i * 7 % 300:03d}", {"n": i}) for i in range(300)], "model_short string, screen_task_id string, llm_comment_id string, tags map<string, int>").repartition(5)
+    rows = M.comment_pairs(experts, models, block=100).collect()
+    assert len(rows) == len({(r.expert_comment_id, r.llm_comment_id) for r in rows}) == 400 * 300
+    assert all(r.pair_id == f"m_{r.expert_comment_id}_{r.llm_comment_id[2:]}" and r.seen * 7 % 400 == int(r.expert_comment_id[1:]) and r.tags["n"] * 7 % 300 == int(r.llm_comment_id[2:]) for r in rows)
+    follows = [int(b.expert_comment_id[1:]) - int(a.expert_comment_id[1:]) == 1 for a, b in itertools.pairwise(rows) if a.llm_comment_id == b.llm_comment_id]
+    assert all(follows) and len(follows) > 0.9 * len(rows)
+
+
 def test_pairs_of_one_sided_tasks_and_nulls(spark):
     experts = spark.createDataFrame([("t", "e1"), ("t", None), *[("x", f"e{i}") for i in range(10, 20)]], "screen_task_id string, expert_comment_id string")
     models = spark.createDataFrame([("m", "t", "L_001"), (None, "t", "L_002"), *[("m", "y", f"L_{i}") for i in range(10, 20)]], "model_short string, screen_task_id string, llm_comment_id string")
